@@ -258,11 +258,13 @@ def oracle_sql() -> dict[str, str]:
         "brand_search_topics": _topic_volume(BRAND_HIT),
         "brand_search_keywords": _top_keywords(BRAND_HIT),
         "brand_search_kpis": _keyword_kpis(BRAND_HIT),
+        "brand_search_kpis_mapped": _keyword_kpis(BRAND_HIT),
         "brand_exact_rows": _with(
             select=f"SELECT {KW_ROWS} FROM mapped WHERE list_contains(brands_list, '{catalog.BRAND_TERM}')"
         ),
         "topic_search_brands": _brand_volume(TOPIC_HIT),
         "topic_search_keywords": _top_keywords(TOPIC_HIT),
+        "topic_search_keywords_mapped": _top_keywords(TOPIC_HIT),
         "topic_search_kpis": _keyword_kpis(TOPIC_HIT),
         "topic_search_regex": _topic_volume(f"regexp_matches(lower(topic), '{catalog.TOPIC_PATTERN}')", n=None),
         "overview_topics": _topic_volume("TRUE"),
@@ -270,6 +272,7 @@ def oracle_sql() -> dict[str, str]:
         "overview_brands": _brand_volume("TRUE"),
         "overview_brands_plain": _brand_volume("TRUE"),
         "overview_kpis": _keyword_kpis("TRUE"),
+        "overview_kpis_mapped": _keyword_kpis("TRUE"),
         "keywords_filtered": _with(
             select=(
                 f"SELECT {KW_ROWS} FROM mapped WHERE date BETWEEN DATE '{K0}' AND DATE '{K1}' "

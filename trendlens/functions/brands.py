@@ -16,8 +16,10 @@ tuple of scalars gives ``[]``.
 from __future__ import annotations
 
 import ast
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,10 @@ PLAIN_LIST_PATTERN = rf"\A\[(?:{_WS}{_ITEM}{_WS}(?:,{_WS}{_ITEM}{_WS})*+)?\]\z"
 
 STRING_ARRAY = T.ArrayType(T.StringType())
 
+# The UDF below travels to the Python workers by value, so executors need no
+# copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def literal_list(text: str | None) -> list[str] | None:
     """Python-literal evaluation of one odd cell; ``None`` input stays ``None``."""
@@ -65,6 +71,16 @@ def is_plain_list(c: Column | str) -> Column:
     return as_col(c).rlike(PLAIN_LIST_PATTERN)
 
 
+def could_be_sequence(c: Column | str) -> Column:
+    """False where Python could not evaluate the text to a list or tuple.
+
+    A list display needs ``[``, a tuple needs ``(`` or a comma; text with none
+    of them evaluates (if at all) to a scalar, a set or a dict, all of which
+    give ``[]`` here.  Such cells never need the Python path.
+    """
+    return as_col(c).rlike(r"[\[(,]")
+
+
 def parse_brands(c: Column | str, exact: bool = True) -> Column:
     text = as_col(c)
     plain = text.isNotNull() & is_plain_list(text)
@@ -72,7 +88,7 @@ def parse_brands(c: Column | str, exact: bool = True) -> Column:
     empty = F.array().cast(STRING_ARRAY)
     if not exact:
         return F.coalesce(parsed, empty)
-    # The UDF sees null for plain and null cells: Spark evaluates a Python UDF
-    # for every row, so only odd cells should carry text across.
-    odd = _literal_lists(F.when(text.isNotNull() & ~plain, text))
+    # The UDF sees null for all other cells: Spark evaluates a Python UDF for
+    # every row, so only odd cells that may be sequences carry text across.
+    odd = _literal_lists(F.when(text.isNotNull() & ~plain & could_be_sequence(text), text))
     return F.coalesce(parsed, odd, empty)

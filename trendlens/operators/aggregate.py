@@ -102,7 +102,7 @@ def brand_volume(df: DataFrame, brands: str = "brands_list") -> DataFrame:
     A brand listed twice in one row counts twice; rows with ``[]`` vanish.
     """
     return (
-        df.select(F.explode(brands).alias("brand"), "volume")
+        df.select(F.explode_outer(brands).alias("brand"), "volume")
         .filter(F.col("brand").isNotNull())
         .groupBy("brand")
         .agg(total("volume", "volume"))
@@ -123,7 +123,7 @@ def brand_volume_eager(
     pair's topic count and sum per brand.
     """
     per_pair = (
-        keywords.select(level1, level2, F.explode(brands).alias("brand"), "volume")
+        keywords.select(level1, level2, F.explode_outer(brands).alias("brand"), "volume")
         .filter(F.col("brand").isNotNull())
         .groupBy(level1, level2, "brand")
         .agg(F.sum("volume").alias("volume"))

@@ -17,14 +17,19 @@ def with_brands_list(df: DataFrame, source: str = "brands", name: str = "brands_
 
 
 def explode_brands(df: DataFrame, keep: Sequence[str] = ("keyword", "volume"), brands: str = "brands_list") -> DataFrame:
-    """One row per listed brand (R2); rows with ``[]`` vanish, duplicates stay."""
-    return df.select(*keep, F.explode(brands).alias("brand"))
+    """One row per listed brand (R2); rows with ``[]`` vanish, duplicates stay.
+
+    ``explode_outer`` + a null filter rather than ``explode``: for the latter
+    Spark infers ``size(list) > 0`` below the projection and evaluates the list
+    parser twice.
+    """
+    return df.select(*keep, F.explode_outer(brands).alias("brand")).filter(F.col("brand").isNotNull())
 
 
 def distinct_brands(df: DataFrame, brands: str = "brands_list") -> DataFrame:
     """Sorted distinct brands."""
     return (
-        df.select(F.explode(brands).alias("brand"))
+        df.select(F.explode_outer(brands).alias("brand"))
         .filter(F.col("brand").isNotNull())
         .distinct()
         .orderBy("brand")

@@ -39,15 +39,20 @@ def topic_map(
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after a measured row count stays under ``max_rows``.
-
-    Runs one job (the count); the frame is persisted first, so the join reuses
-    the computed rows.  Above the bound the frame is returned without a hint
-    and Spark plans a shuffle join (AQE may still convert it at run time).
+    """Write ``df`` once, then broadcast it only if its row count is at most
+    ``max_rows``.
+
+    The frame is written as Parquet under ``spark.checkpoint.dir`` (one job) and
+    read back, so the join does not recompute it, an executor loss cannot lose
+    it, and the row count comes from the Parquet footers without a data scan.
+    Above the bound no hint is given and Spark plans a sort-merge join, with
+    AQE splitting skewed partitions.
     """
-    df = df.persist()
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    from trendlens.sources.writers import materialize
+
+    written = materialize(df, "broadcast_candidate")
+    n = written.count()
+    return F.broadcast(written) if n <= max_rows else written
 
 
 def attach_topics(

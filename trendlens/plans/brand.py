@@ -1,25 +1,34 @@
 """Brand-volume reports (M8-M12): keywords joined to topics, searched by brand
 or topic, summed per topic and per brand.
 
-Plan shapes chosen for scale:
-
-* Brand search filters the keyword rows *before* the topic join (the brand text
-  does not depend on the map); topic search must filter after it.
-* The top-50 keyword table takes its candidates from the keyword side first:
-  every keyword gives at least one joined row, so the 50 best joined rows come
-  from keywords whose (volume, keyword) is among the 50 best such keys.  Only
-  those rows (ties included, so the result is exact) meet the map.
-* The overview sums are computed below the fan-out join (eager aggregation).
+The dashboard joins every keyword to every topic of its (level1, level2) pair
+and then counts the copies ("volume attributed in full to each topic").  A
+keyword's topics depend on its pair alone, so the reports here never build
+those copies:
+
+* ``pair_topics``: one row per (pair, topic label) for the pairs the keywords
+  use - a small frame (pairs x topics per pair), with the fallback label for
+  pairs the map does not know.
+* Sums, counts and brand volumes are aggregated per pair (or per pair and
+  brand) first and then weighted by the pair's number of topic rows.
+* The top-50 keyword table takes its candidates from the keyword side: every
+  keyword gives at least one row, so the best rows come from keywords whose
+  (volume, keyword) key is among the best keys; a bounded top-k finds them
+  and only they (ties included, so the result is exact) meet their topics.
+
+The same reports on the joined rows (``*_mapped``) stay available and serve
+as the reference in tests; exports always write the joined rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendlens.functions.brands import parse_brands
+from trendlens.functions.text import matches
 from trendlens.operators import aggregate as agg
 from trendlens.operators import filters as flt
 from trendlens.operators import topn
@@ -32,6 +41,7 @@ TOP_BRANDS = 15
 TOP_KEYWORDS = 50
 KEYWORD_COLUMNS = ("keyword", "topic", "volume", "brands")
 SEARCH_TYPES = ("Brand", "Topic")
+L1, L2 = "level1", "level2"
 
 
 def map_from_facts(facts: DataFrame) -> DataFrame:
@@ -39,31 +49,38 @@ def map_from_facts(facts: DataFrame) -> DataFrame:
     return topic_map(facts, "topic", "category", "sub_category")
 
 
+def with_lists(keywords: DataFrame, exact: bool = True) -> DataFrame:
+    """Parsed ``brands_list`` and coerced ``date`` on the keyword rows."""
+    if "brands_list" not in keywords.columns:
+        keywords = keywords.withColumn("brands_list", parse_brands("brands", exact=exact))
+    return parse_dates(keywords, "date")
+
+
 def prepare_keywords(
     keywords: DataFrame,
     tmap: DataFrame | None,
     exact: bool = True,
     broadcast: bool | str | None = "auto",
-    level1: str = "level1",
-    level2: str = "level2",
 ) -> DataFrame:
-    """Keyword rows with ``topic``, ``category``, ``sub_category`` and
-    ``brands_list`` (M8: D1, B5/B6, R1, A7).
+    """The joined keyword rows (M8: D1, B5/B6, R1, A7): keyword columns, then
+    ``topic``, ``category``, ``sub_category``, ``brands_list``.
 
-    ``broadcast='auto'`` counts the map first and broadcasts it only under a
-    fixed row bound (one small job); ``True``/``False``/``None`` skip the count
-    (``None`` leaves the choice to Spark and AQE).
+    Lists are parsed before the join, once per keyword rather than once per
+    copy.  ``broadcast='auto'`` writes the map once and broadcasts it only
+    under a fixed row bound; ``True`` hints without a check (for maps known to
+    be small); ``None`` leaves the choice to Spark and AQE.
     """
+    kw = with_lists(keywords, exact)
     if tmap is not None and broadcast == "auto":
-        tmap = broadcast_if_small(tmap)
-        broadcast = None
-    mapped = attach_topics(keywords, tmap, level1, level2, broadcast=bool(broadcast) if broadcast else None)
-    mapped = mapped.withColumn("brands_list", parse_brands("brands", exact=exact))
-    return parse_dates(mapped, "date")
+        tmap, broadcast = broadcast_if_small(tmap), None
+    mapped = attach_topics(kw, tmap, L1, L2, broadcast=bool(broadcast) if broadcast else None)
+    rest = [c for c in mapped.columns if c != "brands_list"]
+    return mapped.select(*rest, "brands_list")
 
 
 def keyword_filters(kw: DataFrame, date_range=None, country=None) -> DataFrame:
-    """Day range and country filters (M9: C4, C6)."""
+    """Day range and country filters (M9: C4, C6); they touch keyword columns
+    only, so they run before any join."""
     out = flt.by_dates(kw, "date" if "date" in kw.columns else None, date_range)
     if "country" in kw.columns:
         out = flt.by_value(out, "country", country)
@@ -81,44 +98,114 @@ def brand_rows(kw: DataFrame, brand: str | None, mode: str = "contains", exact:
 
 
 def topic_rows(kw: DataFrame, topic: str | None, mode: str = "contains") -> DataFrame:
-    """Rows whose topic label contains ``topic``."""
+    """Joined rows whose topic label contains ``topic``."""
     return flt.search(kw, "topic", topic, mode)
 
 
-def top_topics_by_volume(rows: DataFrame, n: int = TOP_TOPICS) -> DataFrame:
-    """Volume and keyword count per topic, best ``n``."""
-    return topn.top_n(agg.topic_volume(rows), n, "volume", "topic")
-
-
-def top_brands_by_volume(rows: DataFrame, n: int = TOP_BRANDS) -> DataFrame:
-    """Volume per brand, best ``n``."""
-    return topn.top_n(agg.brand_volume(rows), n, "volume", "brand")
-
-
-def top_keywords(rows: DataFrame, n: int = TOP_KEYWORDS) -> DataFrame:
-    """The ``n`` largest keyword rows with a rank."""
-    table = rows.select(*KEYWORD_COLUMNS)
+# --- pair-level building blocks ----------------------------------------------
+
+
+def pair_topics(keywords: DataFrame, tmap: DataFrame | None) -> DataFrame:
+    """(level1, level2, topic): the topic labels each keyword pair receives."""
+    pairs = keywords.select(L1, L2).distinct()
+    return attach_topics(pairs, tmap, L1, L2).select(L1, L2, "topic")
+
+
+def _on_pair(left: str, right: str) -> Column:
+    return F.col(f"{left}.{L1}").eqNullSafe(F.col(f"{right}.{L1}")) & F.col(f"{left}.{L2}").eqNullSafe(
+        F.col(f"{right}.{L2}")
+    )
+
+
+def pair_copies(topics: DataFrame) -> DataFrame:
+    """Rows each keyword of a pair turns into: the pair's topic rows."""
+    return topics.groupBy(L1, L2).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def _weighted(per_pair: DataFrame, copies: DataFrame, cols: list[str]) -> DataFrame:
+    """Join per-pair aggregates to their copy counts (pairs without copies drop)."""
+    j = per_pair.alias("p").join(copies.alias("c"), _on_pair("p", "c"), "inner")
+    return j.select(*[F.col(f"p.{c}").alias(c) for c in cols], F.col("c.copies").alias("copies"))
+
+
+def eager_topic_volume(keywords: DataFrame, topics: DataFrame) -> DataFrame:
+    """E4 from per-pair sums: volume and keyword count per topic label."""
+    per_pair = keywords.groupBy(L1, L2).agg(
+        F.sum("volume").alias("volume"), F.count("keyword").alias("keyword_count")
+    )
+    j = per_pair.alias("p").join(topics.alias("t"), _on_pair("p", "t"), "inner")
+    return (
+        j.filter(F.col("t.topic").isNotNull())
+        .groupBy(F.col("t.topic").alias("topic"))
+        .agg(agg.total("p.volume", "volume"), agg.total("p.keyword_count", "keyword_count"))
+    )
+
+
+def eager_brand_volume(keywords: DataFrame, copies: DataFrame) -> DataFrame:
+    """E5 from per-(pair, brand) sums weighted by the pair's copies."""
+    per_pair = (
+        keywords.select(L1, L2, F.explode_outer("brands_list").alias("brand"), "volume")
+        .filter(F.col("brand").isNotNull())
+        .groupBy(L1, L2, "brand")
+        .agg(F.sum("volume").alias("volume"))
+    )
+    w = _weighted(per_pair, copies, ["brand", "volume"])
+    return w.groupBy("brand").agg(agg.total(F.col("volume") * F.col("copies"), "volume"))
+
+
+def eager_kpis(keywords: DataFrame, topics: DataFrame, copies: DataFrame) -> DataFrame:
+    """E8 without the copies: total_keywords, unique_topics, total_volume,
+    unique_brands.  Three one-row aggregates are stacked and folded with
+    ``max`` (no cross join)."""
+    per_pair = keywords.groupBy(L1, L2).agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
+    w = _weighted(per_pair, copies, ["n", "volume"])
+    sums = w.agg(
+        agg.total(F.col("n") * F.col("copies"), "total_keywords"),
+        agg.total(F.col("volume") * F.col("copies"), "total_volume"),
+    )
+    n_topics = topics.agg(F.count_distinct("topic").alias("unique_topics"))
+    brands = keywords.select(L1, L2, F.explode_outer("brands_list").alias("brand")).filter(F.col("brand").isNotNull())
+    kept = brands.alias("b").join(copies.alias("c"), _on_pair("b", "c"), "left_semi")
+    n_brands = kept.agg(F.count_distinct("brand").alias("unique_brands"))
+    stacked = sums.unionByName(n_topics, allowMissingColumns=True).unionByName(n_brands, allowMissingColumns=True)
+    return stacked.agg(
+        F.max("total_keywords").alias("total_keywords"),
+        F.max("unique_topics").alias("unique_topics"),
+        F.max("total_volume").alias("total_volume"),
+        F.max("unique_brands").alias("unique_brands"),
+    )
+
+
+def eager_top_keywords(keywords: DataFrame, topics: DataFrame, n: int = TOP_KEYWORDS, semi: bool = False) -> DataFrame:
+    """G4 + F1: the ``n`` best joined rows, built from candidate keywords only.
+
+    ``semi=True`` first keeps keywords whose pair has any topic row (needed
+    when ``topics`` was filtered); the pair list is written once and broadcast
+    only under a row bound.
+    """
+    cands = keywords
+    if semi:
+        pairs = broadcast_if_small(topics.select(L1, L2).distinct())
+        cands = keywords.alias("k").join(pairs.alias("q"), _on_pair("k", "q"), "left_semi")
+    keys = topn.top_n(cands.select("volume", "keyword"), n, "volume", "keyword")
+    on_key = F.col("c.volume").eqNullSafe(F.col("t.volume")) & F.col("c.keyword").eqNullSafe(F.col("t.keyword"))
+    picked = cands.alias("c").join(F.broadcast(keys.alias("t")), on_key, "left_semi")
+    rows = picked.alias("k").join(topics.alias("p"), _on_pair("k", "p"), "inner")
+    table = rows.select(
+        F.col("k.keyword").alias("keyword"),
+        F.col("p.topic").alias("topic"),
+        F.col("k.volume").alias("volume"),
+        F.col("k.brands").alias("brands"),
+    )
     return topn.ranked_top(table, n, "volume", "keyword", "topic", "brands")
 
 
-def top_keywords_prejoin(
-    keywords: DataFrame,
-    tmap: DataFrame | None,
-    n: int = TOP_KEYWORDS,
-    level1: str = "level1",
-    level2: str = "level2",
-) -> DataFrame:
-    """:func:`top_keywords` of the mapped rows, joining only candidate keywords.
+def top_keywords_prejoin(keywords: DataFrame, tmap: DataFrame | None, n: int = TOP_KEYWORDS) -> DataFrame:
+    """Top keyword rows of the joined table for unfiltered topics."""
+    return eager_top_keywords(keywords, pair_topics(keywords, tmap), n)
 
-    The candidates are all keyword rows whose (volume, keyword) key is among
-    the ``n`` best keys; a bounded top-k finds those keys and a broadcast
-    semi-join (at most ``n`` keys) picks their rows, ties included.
-    """
-    keys = topn.top_n(keywords.select("volume", "keyword"), n, "volume", "keyword")
-    cond = F.col("c.volume").eqNullSafe(F.col("t.volume")) & F.col("c.keyword").eqNullSafe(F.col("t.keyword"))
-    candidates = keywords.alias("c").join(F.broadcast(keys.alias("t")), cond, "left_semi")
-    mapped = attach_topics(candidates, tmap, level1, level2)
-    return top_keywords(mapped, n)
+
+# --- reports -------------------------------------------------------------------
 
 
 @dataclass
@@ -130,46 +217,112 @@ class BrandReport:
     keywords: DataFrame | None
 
 
-def brand_search(kw: DataFrame, brand: str, mode: str = "contains", exact: bool = False) -> BrandReport:
-    """Search by brand (M10): KPIs, top topics, top keyword rows."""
-    rows = brand_rows(kw, brand, mode, exact)
-    return BrandReport(rows, keyword_kpis(rows), top_topics_by_volume(rows), None, top_keywords(rows))
-
-
-def topic_search(kw: DataFrame, topic: str, mode: str = "contains") -> BrandReport:
-    """Search by topic (M11): KPIs, top brands, top keyword rows."""
-    rows = topic_rows(kw, topic, mode)
-    return BrandReport(rows, keyword_kpis(rows), None, top_brands_by_volume(rows), top_keywords(rows))
-
+def _label_filter(topics: DataFrame, term: str | None, mode: str) -> DataFrame:
+    return topics if not term else topics.filter(matches("topic", term, mode))
 
-def overview(kw: DataFrame) -> BrandReport:
-    """No search value (M12): KPIs, top topics, top brands."""
-    return BrandReport(kw, keyword_kpis(kw), top_topics_by_volume(kw), top_brands_by_volume(kw), None)
 
-
-def overview_eager(keywords: DataFrame, tmap: DataFrame | None, exact: bool = True) -> BrandReport:
-    """M12 sums computed below the fan-out join: one row per category pair (or
-    per pair and brand) meets the map instead of one per keyword."""
-    kw = keywords.withColumn("brands_list", parse_brands("brands", exact=exact))
-    topics = topn.top_n(agg.topic_volume_eager(kw, tmap), TOP_TOPICS, "volume", "topic")
-    brands = topn.top_n(agg.brand_volume_eager(kw, tmap), TOP_BRANDS, "volume", "brand")
-    return BrandReport(kw, None, topics, brands, None)
+def brand_search(
+    keywords: DataFrame,
+    tmap: DataFrame | None,
+    brand: str,
+    mode: str = "contains",
+    exact: bool = False,
+    lists_exact: bool = True,
+) -> BrandReport:
+    """Search by brand (M10): KPIs, top-15 topics, top-50 keyword rows."""
+    kw = brand_rows(with_lists(keywords, lists_exact), brand, mode, exact)
+    topics = pair_topics(kw, tmap)
+    copies = pair_copies(topics)
+    return BrandReport(
+        rows=attach_topics(kw, tmap, L1, L2),
+        kpis=eager_kpis(kw, topics, copies),
+        topics=topn.top_n(eager_topic_volume(kw, topics), TOP_TOPICS, "volume", "topic"),
+        brands=None,
+        keywords=eager_top_keywords(kw, topics),
+    )
+
+
+def topic_search(
+    keywords: DataFrame,
+    tmap: DataFrame | None,
+    topic: str,
+    mode: str = "contains",
+    lists_exact: bool = True,
+) -> BrandReport:
+    """Search by topic label (M11): KPIs, top-15 brands, top-50 keyword rows."""
+    kw = with_lists(keywords, lists_exact)
+    topics = _label_filter(pair_topics(kw, tmap), topic, mode)
+    copies = pair_copies(topics)
+    return BrandReport(
+        rows=topic_rows(attach_topics(kw, tmap, L1, L2), topic, mode),
+        kpis=eager_kpis(kw, topics, copies),
+        topics=None,
+        brands=topn.top_n(eager_brand_volume(kw, copies), TOP_BRANDS, "volume", "brand"),
+        keywords=eager_top_keywords(kw, topics, semi=True),
+    )
+
+
+def overview(keywords: DataFrame, tmap: DataFrame | None, lists_exact: bool = True) -> BrandReport:
+    """No search value (M12): KPIs, top-15 topics, top-15 brands."""
+    kw = with_lists(keywords, lists_exact)
+    topics = pair_topics(kw, tmap)
+    copies = pair_copies(topics)
+    return BrandReport(
+        rows=attach_topics(kw, tmap, L1, L2),
+        kpis=eager_kpis(kw, topics, copies),
+        topics=topn.top_n(eager_topic_volume(kw, topics), TOP_TOPICS, "volume", "topic"),
+        brands=topn.top_n(eager_brand_volume(kw, copies), TOP_BRANDS, "volume", "brand"),
+        keywords=None,
+    )
 
 
 def brand_report(
-    kw: DataFrame,
+    keywords: DataFrame,
+    tmap: DataFrame | None,
     search_type: str = "Brand",
     search_value: str | None = None,
     date_range=None,
     country=None,
     mode: str = "contains",
 ) -> BrandReport:
-    """The brand tab (M9-M12): filters, then the view for the search type."""
+    """The brand tab (M9-M12): keyword filters, then the view for the search."""
     if search_type not in SEARCH_TYPES:
         raise ValueError(f"search_type must be one of {SEARCH_TYPES}")
-    rows = keyword_filters(kw, date_range, country)
+    kw = keyword_filters(with_lists(keywords), date_range, country)
     if not search_value:
-        return overview(rows)
+        return overview(kw, tmap)
     if search_type == "Brand":
-        return brand_search(rows, search_value, mode)
-    return topic_search(rows, search_value, mode)
+        return brand_search(kw, tmap, search_value, mode)
+    return topic_search(kw, tmap, search_value, mode)
+
+
+# --- the same reports over the joined rows ------------------------------------
+
+
+def top_topics_by_volume(rows: DataFrame, n: int = TOP_TOPICS) -> DataFrame:
+    """Volume and keyword count per topic, best ``n``."""
+    return topn.top_n(agg.topic_volume(rows), n, "volume", "topic")
+
+
+def top_brands_by_volume(rows: DataFrame, n: int = TOP_BRANDS) -> DataFrame:
+    """Volume per brand, best ``n``."""
+    return topn.top_n(agg.brand_volume(rows), n, "volume", "brand")
+
+
+def top_keywords(rows: DataFrame, n: int = TOP_KEYWORDS) -> DataFrame:
+    """The ``n`` largest joined rows with a rank."""
+    return topn.ranked_top(rows.select(*KEYWORD_COLUMNS), n, "volume", "keyword", "topic", "brands")
+
+
+def brand_search_mapped(mapped: DataFrame, brand: str, mode: str = "contains", exact: bool = False) -> BrandReport:
+    rows = brand_rows(mapped, brand, mode, exact)
+    return BrandReport(rows, keyword_kpis(rows), top_topics_by_volume(rows), None, top_keywords(rows))
+
+
+def topic_search_mapped(mapped: DataFrame, topic: str, mode: str = "contains") -> BrandReport:
+    rows = topic_rows(mapped, topic, mode)
+    return BrandReport(rows, keyword_kpis(rows), None, top_brands_by_volume(rows), top_keywords(rows))
+
+
+def overview_mapped(mapped: DataFrame) -> BrandReport:
+    return BrandReport(mapped, keyword_kpis(mapped), top_topics_by_volume(mapped), top_brands_by_volume(mapped), None)

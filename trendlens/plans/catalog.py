@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendlens.functions.nulls import PANDAS_NA_TOKENS, parse_timestamp
-from trendlens.functions.text import day_text, thousands
+from trendlens.functions.text import day_text, matches, thousands
 from trendlens.operators import aggregate as agg
 from trendlens.operators import filters as flt
 from trendlens.operators import topn
@@ -185,17 +185,24 @@ def brand_values(spark, d):
     return distinct_brands(with_brands_list(fx.keywords(spark, d)))
 
 
+def _kw(spark, d):
+    return fx.keywords(spark, d)
+
+
 def brand_search_topics(spark, d):
-    return brand.brand_search(_prepared(spark, d), BRAND_TERM).topics
+    return brand.brand_search(_kw(spark, d), _map(spark, d), BRAND_TERM).topics
 
 
 def brand_search_keywords(spark, d):
-    rows = brand.brand_rows(fx.keywords(spark, d), BRAND_TERM)
-    return brand.top_keywords_prejoin(rows, _map(spark, d))
+    return brand.brand_search(_kw(spark, d), _map(spark, d), BRAND_TERM).keywords
 
 
 def brand_search_kpis(spark, d):
-    return brand.brand_search(_prepared(spark, d), BRAND_TERM).kpis
+    return brand.brand_search(_kw(spark, d), _map(spark, d), BRAND_TERM).kpis
+
+
+def brand_search_kpis_mapped(spark, d):
+    return brand.brand_search_mapped(_prepared(spark, d), BRAND_TERM).kpis
 
 
 def brand_exact_rows(spark, d):
@@ -203,38 +210,48 @@ def brand_exact_rows(spark, d):
 
 
 def topic_search_brands(spark, d):
-    return brand.topic_search(_prepared(spark, d), TOPIC_TERM).brands
+    return brand.topic_search(_kw(spark, d), _map(spark, d), TOPIC_TERM).brands
 
 
 def topic_search_keywords(spark, d):
-    return brand.topic_search(_prepared(spark, d), TOPIC_TERM).keywords
+    return brand.topic_search(_kw(spark, d), _map(spark, d), TOPIC_TERM).keywords
+
+
+def topic_search_keywords_mapped(spark, d):
+    return brand.topic_search_mapped(_prepared(spark, d), TOPIC_TERM).keywords
 
 
 def topic_search_kpis(spark, d):
-    return brand.topic_search(_prepared(spark, d), TOPIC_TERM).kpis
+    return brand.topic_search(_kw(spark, d), _map(spark, d), TOPIC_TERM).kpis
 
 
 def topic_search_regex(spark, d):
-    return agg.topic_volume(brand.topic_rows(_prepared(spark, d), TOPIC_PATTERN, mode="regex"))
+    kw = brand.with_lists(_kw(spark, d))
+    topics = brand.pair_topics(kw, _map(spark, d))
+    return brand.eager_topic_volume(kw, topics.filter(matches("topic", TOPIC_PATTERN, "regex")))
 
 
 def overview_topics(spark, d):
-    return brand.overview(_prepared(spark, d)).topics
+    return brand.overview_mapped(_prepared(spark, d)).topics
 
 
 def overview_topics_eager(spark, d):
-    return brand.overview_eager(fx.keywords(spark, d), _map(spark, d)).topics
+    return brand.overview(_kw(spark, d), _map(spark, d)).topics
 
 
 def overview_brands(spark, d):
-    return brand.overview_eager(fx.keywords(spark, d), _map(spark, d)).brands
+    return brand.overview(_kw(spark, d), _map(spark, d)).brands
 
 
 def overview_brands_plain(spark, d):
-    return brand.overview(_prepared(spark, d)).brands
+    return brand.overview_mapped(_prepared(spark, d)).brands
 
 
 def overview_kpis(spark, d):
+    return brand.overview(_kw(spark, d), _map(spark, d)).kpis
+
+
+def overview_kpis_mapped(spark, d):
     return keyword_kpis(_prepared(spark, d))
 
 
@@ -374,9 +391,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         brand_search_topics,
         brand_search_keywords,
         brand_search_kpis,
+        brand_search_kpis_mapped,
         brand_exact_rows,
         topic_search_brands,
         topic_search_keywords,
+        topic_search_keywords_mapped,
         topic_search_kpis,
         topic_search_regex,
         overview_topics,
@@ -384,6 +403,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         overview_brands,
         overview_brands_plain,
         overview_kpis,
+        overview_kpis_mapped,
         keywords_filtered,
         keyword_filter_counts,
         export_categories_csv,
