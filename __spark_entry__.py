@@ -312,6 +312,12 @@ def oracle_sql() -> dict[str, str]:
             select="SELECT topic, raw_conversations, date_text, TRY_CAST(date_text AS TIMESTAMP) AS parsed FROM t",
         ),
         "partitioned_roundtrip": _with(select=f"SELECT {FACTS_COLS} FROM topic_facts"),
+        "streamed_rollup": _with(
+            select=(
+                f"SELECT date, level1, level2, topic, {', '.join(_s(m) for m in METRICS)} "
+                "FROM topic_facts GROUP BY date, level1, level2, topic"
+            )
+        ),
         "daily_rollup": _with(
             select=(
                 f"SELECT date, level1, level2, topic, {', '.join(_s(m) for m in METRICS)} "

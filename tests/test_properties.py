@@ -73,3 +73,15 @@ def test_rollup_totals_equal_detail(spark):
     a = roll.agg(F.sum("raw_conversations")).first()[0]
     b = facts.agg(F.sum("raw_conversations")).first()[0]
     assert a == b
+
+
+def test_composite_reports_run(spark):
+    facts = fx.topic_facts(spark, SF_SMALL)
+    rep = trending.trending_report(facts, level1=catalog.LEVEL1, date_range=catalog.DATE_RANGE)
+    assert rep.caption == " (category: STANDARD, dates: 1996-01-01 to 1998-12-31)"
+    assert rep.kpis.first().total_rows == rep.rows.count()
+    assert rep.chart_top.count() <= 10 and rep.table_top.count() <= 10 and rep.trend.count() > 0
+    kw, m = fx.keywords(spark, SF_SMALL), catalog._map(spark, SF_SMALL)
+    for st, val in (("Brand", "Brand#1"), ("Topic", "red"), ("Brand", None)):
+        b = brand.brand_report(kw, m, st, val, date_range=("1995-01-01", "1995-02-28"), country="US")
+        assert b.kpis.first().total_keywords == b.rows.count()

@@ -25,6 +25,7 @@ from trendlens.plans import brand, trending
 from trendlens.plans.export import export_categories
 from trendlens.plans.roles import detect_roles
 from trendlens.session import scratch_path
+from trendlens.streaming import read_rollup, start_rollup_stream
 from trendlens.sources import fixtures as fx
 from trendlens.sources.readers import normalise_nulls, read_csv, read_parquet
 from trendlens.sources.writers import hash_sample, rollup, write_csv, write_parquet, write_partitioned
@@ -292,14 +293,14 @@ def _category_dataset(spark, d) -> str:
 def export_categories_csv(spark, d):
     src = _category_dataset(spark, d)
     out = scratch_path(spark, "export_csv")
-    export_categories(spark, src, EXPORT_CATEGORIES, out, fmt="csv", single_file=True)
+    export_categories(spark, src, EXPORT_CATEGORIES, out, fmt="csv")
     return read_csv(spark, out, schema=FACT_SCHEMA)
 
 
 def export_categories_parquet(spark, d):
     src = _category_dataset(spark, d)
     first, second = scratch_path(spark, "export_pq"), scratch_path(spark, "export_pq_named")
-    export_categories(spark, src, EXPORT_CATEGORIES, first, fmt="parquet", single_file=True, second_out=second)
+    export_categories(spark, src, EXPORT_CATEGORIES, first, fmt="parquet", second_out=second)
     return read_parquet(spark, second)
 
 
@@ -354,6 +355,18 @@ def daily_rollup(spark, d):
     return spark.read.parquet(out)
 
 
+def streamed_rollup(spark, d):
+    """A20 as a stream: the fact rows land as several files, micro-batches of
+    two files each are pre-aggregated, the partial sums are added up."""
+    facts = _facts(spark, d)
+    src = scratch_path(spark, "landing")
+    facts.repartition(6).write.parquet(src)
+    sink, ckpt = scratch_path(spark, "rollup_parts"), scratch_path(spark, "rollup_ckpt")
+    q = start_rollup_stream(spark, src, facts.schema, sink, ckpt, files_per_batch=2)
+    q.awaitTermination()
+    return read_rollup(spark, sink)
+
+
 def hash_sample_rows(spark, d):
     return hash_sample(_facts(spark, d), ["topic", "date"], buckets=4, keep=0)
 
@@ -413,6 +426,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         parsed_dates,
         partitioned_roundtrip,
         daily_rollup,
+        streamed_rollup,
         hash_sample_rows,
     )
 }

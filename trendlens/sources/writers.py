@@ -1,9 +1,11 @@
 """Sinks and data-preparation jobs.
 
 Writers are the only functions that run a Spark job.  By default they write in
-parallel, one file per task; ``single_file=True`` funnels the *final* write
-through one task with ``repartition(1)``, which keeps the upstream stages
-parallel (``coalesce(1)`` would pull the whole upstream into that one task).
+parallel, one file per task.  ``single_file=True`` (the export jobs' "one file
+to download") funnels the *final* write through one task with
+``repartition(1)``, which at least keeps the upstream stages parallel
+(``coalesce(1)`` would pull the whole upstream into that one task); it is meant
+for small, already filtered or aggregated outputs, never for a full table.
 """
 
 from __future__ import annotations
