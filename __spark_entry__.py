@@ -114,13 +114,13 @@ def _ranked_top(where: str = "TRUE", n: int = 10, extra: str = "") -> str:
     )
 
 
-def _trend(extra: str = "") -> str:
+def _trend(extra: str = "", where: str = "TRUE") -> str:
     return _with(
-        _sums_cte(),
+        _sums_cte(where),
         f"top AS (SELECT topic FROM sums WHERE lower(topic) NOT IN {TOTALS} ORDER BY {ORDER_CONV} LIMIT 10)",
         "trend AS (SELECT date AS date_only, topic, CAST(COALESCE(SUM(raw_conversations), 0) AS BIGINT) "
         "AS raw_conversations FROM topic_facts WHERE topic IN (SELECT topic FROM top) AND date IS NOT NULL "
-        "GROUP BY date, topic)",
+        f"AND ({where}) GROUP BY date, topic)",
         select=f"SELECT date_only, topic, raw_conversations{extra} FROM trend",
     )
 
@@ -239,6 +239,22 @@ def oracle_sql() -> dict[str, str]:
         "topic_group_count": _with(
             select="SELECT COUNT(*) AS groups FROM (SELECT DISTINCT topic FROM topic_facts WHERE topic IS NOT NULL)"
         ),
+        "report_kpis": _with(
+            select=(
+                "SELECT COUNT(*) AS total_rows, COUNT(DISTINCT topic) AS unique_topics, "
+                f"{_s('raw_conversations', 'total_conversations')}, {_s('raw_users', 'total_users')} "
+                f"FROM topic_facts WHERE {level_and_dates}"
+            )
+        ),
+        "report_table_top": _ranked_top(level_and_dates),
+        "report_chart_top": _with(
+            _sums_cte(level_and_dates),
+            select=(
+                f"SELECT topic, {', '.join(METRICS)} FROM sums WHERE lower(topic) NOT IN {TOTALS} "
+                f"ORDER BY {ORDER_CONV} LIMIT 10"
+            ),
+        ),
+        "report_trend": _trend(where=level_and_dates),
         "labelled_top": _ranked_top(extra=", format('{:,}', raw_conversations) AS conversations_label"),
         "labelled_trend": _trend(extra=", strftime(date_only, '%Y-%m-%d') AS day_text"),
         "topic_map": _with(select="SELECT topic, category, sub_category FROM topic_map"),

@@ -105,6 +105,36 @@ def topic_rows(kw: DataFrame, topic: str | None, mode: str = "contains") -> Data
 # --- pair-level building blocks ----------------------------------------------
 
 
+def pair_brand_summary(keywords: DataFrame) -> DataFrame:
+    """One pass over the keyword rows, grouped by (level1, level2, brand).
+
+    ``posexplode_outer`` yields at least one row per keyword; the row-level
+    measures (``n``, ``keyword_count``, ``row_volume``) are taken from each
+    keyword's first row only (list position 0, or no brand at all), the brand
+    measure ``brand_volume`` from every listed brand (duplicates count twice).
+    Summing the row-level measures over brands gives the per-pair totals.
+    The result has one row per (pair, brand): small, and every brand-tab
+    aggregate below is derived from it.
+    """
+    ex = keywords.select(
+        L1, L2, "keyword", "volume", F.posexplode_outer("brands_list").alias("_pos", "brand")
+    )
+    first = F.col("_pos").isNull() | (F.col("_pos") == 0)
+    return ex.groupBy(L1, L2, "brand").agg(
+        F.count_if(first).alias("n"),
+        F.count_if(first & F.col("keyword").isNotNull()).alias("keyword_count"),
+        F.sum(F.when(first, F.col("volume"))).alias("row_volume"),
+        F.sum(F.when(F.col("brand").isNotNull(), F.col("volume"))).alias("brand_volume"),
+    )
+
+
+def pair_totals(summary: DataFrame) -> DataFrame:
+    """Per pair: keyword rows, non-null keywords, volume."""
+    return summary.groupBy(L1, L2).agg(
+        F.sum("n").alias("n"), F.sum("keyword_count").alias("keyword_count"), F.sum("row_volume").alias("volume")
+    )
+
+
 def pair_topics(keywords: DataFrame, tmap: DataFrame | None) -> DataFrame:
     """(level1, level2, topic): the topic labels each keyword pair receives."""
     pairs = keywords.select(L1, L2).distinct()
@@ -128,12 +158,9 @@ def _weighted(per_pair: DataFrame, copies: DataFrame, cols: list[str]) -> DataFr
     return j.select(*[F.col(f"p.{c}").alias(c) for c in cols], F.col("c.copies").alias("copies"))
 
 
-def eager_topic_volume(keywords: DataFrame, topics: DataFrame) -> DataFrame:
-    """E4 from per-pair sums: volume and keyword count per topic label."""
-    per_pair = keywords.groupBy(L1, L2).agg(
-        F.sum("volume").alias("volume"), F.count("keyword").alias("keyword_count")
-    )
-    j = per_pair.alias("p").join(topics.alias("t"), _on_pair("p", "t"), "inner")
+def summary_topic_volume(totals: DataFrame, topics: DataFrame) -> DataFrame:
+    """E4 from per-pair totals: volume and keyword count per topic label."""
+    j = totals.alias("p").join(topics.alias("t"), _on_pair("p", "t"), "inner")
     return (
         j.filter(F.col("t.topic").isNotNull())
         .groupBy(F.col("t.topic").alias("topic"))
@@ -141,31 +168,24 @@ def eager_topic_volume(keywords: DataFrame, topics: DataFrame) -> DataFrame:
     )
 
 
-def eager_brand_volume(keywords: DataFrame, copies: DataFrame) -> DataFrame:
+def summary_brand_volume(summary: DataFrame, copies: DataFrame) -> DataFrame:
     """E5 from per-(pair, brand) sums weighted by the pair's copies."""
-    per_pair = (
-        keywords.select(L1, L2, F.explode_outer("brands_list").alias("brand"), "volume")
-        .filter(F.col("brand").isNotNull())
-        .groupBy(L1, L2, "brand")
-        .agg(F.sum("volume").alias("volume"))
-    )
-    w = _weighted(per_pair, copies, ["brand", "volume"])
-    return w.groupBy("brand").agg(agg.total(F.col("volume") * F.col("copies"), "volume"))
+    w = _weighted(summary.filter(F.col("brand").isNotNull()), copies, ["brand", "brand_volume"])
+    return w.groupBy("brand").agg(agg.total(F.col("brand_volume") * F.col("copies"), "volume"))
 
 
-def eager_kpis(keywords: DataFrame, topics: DataFrame, copies: DataFrame) -> DataFrame:
+def summary_kpis(summary: DataFrame, totals: DataFrame, topics: DataFrame, copies: DataFrame) -> DataFrame:
     """E8 without the copies: total_keywords, unique_topics, total_volume,
     unique_brands.  Three one-row aggregates are stacked and folded with
     ``max`` (no cross join)."""
-    per_pair = keywords.groupBy(L1, L2).agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
-    w = _weighted(per_pair, copies, ["n", "volume"])
+    w = _weighted(totals, copies, ["n", "volume"])
     sums = w.agg(
         agg.total(F.col("n") * F.col("copies"), "total_keywords"),
         agg.total(F.col("volume") * F.col("copies"), "total_volume"),
     )
     n_topics = topics.agg(F.count_distinct("topic").alias("unique_topics"))
-    brands = keywords.select(L1, L2, F.explode_outer("brands_list").alias("brand")).filter(F.col("brand").isNotNull())
-    kept = brands.alias("b").join(copies.alias("c"), _on_pair("b", "c"), "left_semi")
+    listed = summary.filter(F.col("brand").isNotNull())
+    kept = listed.alias("b").join(copies.alias("c"), _on_pair("b", "c"), "left_semi")
     n_brands = kept.agg(F.count_distinct("brand").alias("unique_brands"))
     stacked = sums.unionByName(n_topics, allowMissingColumns=True).unionByName(n_brands, allowMissingColumns=True)
     return stacked.agg(
@@ -176,6 +196,59 @@ def eager_kpis(keywords: DataFrame, topics: DataFrame, copies: DataFrame) -> Dat
     )
 
 
+@dataclass
+class PairFrames:
+    """The small frames a brand report is computed from."""
+
+    summary: DataFrame
+    totals: DataFrame
+    topics: DataFrame
+    copies: DataFrame
+
+    def topic_volume(self) -> DataFrame:
+        return summary_topic_volume(self.totals, self.topics)
+
+    def brand_volume(self) -> DataFrame:
+        return summary_brand_volume(self.summary, self.copies)
+
+    def kpis(self) -> DataFrame:
+        return summary_kpis(self.summary, self.totals, self.topics, self.copies)
+
+
+def pair_frames(
+    keywords: DataFrame,
+    tmap: DataFrame | None,
+    label_term: str | None = None,
+    mode: str = "contains",
+    materialize: bool = False,
+) -> PairFrames:
+    """Summary of the keyword rows, the pairs' topic labels (optionally only
+    those matching ``label_term``) and copy counts.
+
+    ``materialize=True`` writes the summary once under ``spark.checkpoint.dir``
+    so that all outputs of a report read it instead of scanning the keywords
+    again (one job at build time).
+    """
+    summary = pair_brand_summary(keywords)
+    if materialize:
+        from trendlens.sources.writers import materialize as write_once
+
+        summary = write_once(summary, "pair_brand_summary")
+    totals = pair_totals(summary)
+    topics = _label_filter(pair_topics(totals, tmap), label_term, mode)
+    return PairFrames(summary, totals, topics, pair_copies(topics))
+
+
+def eager_topic_volume(keywords: DataFrame, topics: DataFrame) -> DataFrame:
+    """E4 from per-pair sums of the keyword rows and their topic labels."""
+    return summary_topic_volume(pair_totals(pair_brand_summary(keywords)), topics)
+
+
+def eager_brand_volume(keywords: DataFrame, copies: DataFrame) -> DataFrame:
+    """E5 from per-(pair, brand) sums weighted by the pair's copies."""
+    return summary_brand_volume(pair_brand_summary(keywords), copies)
+
+
 def eager_top_keywords(keywords: DataFrame, topics: DataFrame, n: int = TOP_KEYWORDS, semi: bool = False) -> DataFrame:
     """G4 + F1: the ``n`` best joined rows, built from candidate keywords only.
 
@@ -228,17 +301,17 @@ def brand_search(
     mode: str = "contains",
     exact: bool = False,
     lists_exact: bool = True,
+    materialize: bool = False,
 ) -> BrandReport:
     """Search by brand (M10): KPIs, top-15 topics, top-50 keyword rows."""
     kw = brand_rows(with_lists(keywords, lists_exact), brand, mode, exact)
-    topics = pair_topics(kw, tmap)
-    copies = pair_copies(topics)
+    pf = pair_frames(kw, tmap, materialize=materialize)
     return BrandReport(
         rows=attach_topics(kw, tmap, L1, L2),
-        kpis=eager_kpis(kw, topics, copies),
-        topics=topn.top_n(eager_topic_volume(kw, topics), TOP_TOPICS, "volume", "topic"),
+        kpis=pf.kpis(),
+        topics=topn.top_n(pf.topic_volume(), TOP_TOPICS, "volume", "topic"),
         brands=None,
-        keywords=eager_top_keywords(kw, topics),
+        keywords=eager_top_keywords(kw, pf.topics),
     )
 
 
@@ -248,30 +321,31 @@ def topic_search(
     topic: str,
     mode: str = "contains",
     lists_exact: bool = True,
+    materialize: bool = False,
 ) -> BrandReport:
     """Search by topic label (M11): KPIs, top-15 brands, top-50 keyword rows."""
     kw = with_lists(keywords, lists_exact)
-    topics = _label_filter(pair_topics(kw, tmap), topic, mode)
-    copies = pair_copies(topics)
+    pf = pair_frames(kw, tmap, topic, mode, materialize=materialize)
     return BrandReport(
         rows=topic_rows(attach_topics(kw, tmap, L1, L2), topic, mode),
-        kpis=eager_kpis(kw, topics, copies),
+        kpis=pf.kpis(),
         topics=None,
-        brands=topn.top_n(eager_brand_volume(kw, copies), TOP_BRANDS, "volume", "brand"),
-        keywords=eager_top_keywords(kw, topics, semi=True),
+        brands=topn.top_n(pf.brand_volume(), TOP_BRANDS, "volume", "brand"),
+        keywords=eager_top_keywords(kw, pf.topics, semi=True),
     )
 
 
-def overview(keywords: DataFrame, tmap: DataFrame | None, lists_exact: bool = True) -> BrandReport:
+def overview(
+    keywords: DataFrame, tmap: DataFrame | None, lists_exact: bool = True, materialize: bool = False
+) -> BrandReport:
     """No search value (M12): KPIs, top-15 topics, top-15 brands."""
     kw = with_lists(keywords, lists_exact)
-    topics = pair_topics(kw, tmap)
-    copies = pair_copies(topics)
+    pf = pair_frames(kw, tmap, materialize=materialize)
     return BrandReport(
         rows=attach_topics(kw, tmap, L1, L2),
-        kpis=eager_kpis(kw, topics, copies),
-        topics=topn.top_n(eager_topic_volume(kw, topics), TOP_TOPICS, "volume", "topic"),
-        brands=topn.top_n(eager_brand_volume(kw, copies), TOP_BRANDS, "volume", "brand"),
+        kpis=pf.kpis(),
+        topics=topn.top_n(pf.topic_volume(), TOP_TOPICS, "volume", "topic"),
+        brands=topn.top_n(pf.brand_volume(), TOP_BRANDS, "volume", "brand"),
         keywords=None,
     )
 
@@ -284,16 +358,22 @@ def brand_report(
     date_range=None,
     country=None,
     mode: str = "contains",
+    materialize: bool = True,
 ) -> BrandReport:
-    """The brand tab (M9-M12): keyword filters, then the view for the search."""
+    """The brand tab (M9-M12): keyword filters, then the view for the search.
+
+    With ``materialize=True`` (default) the per-(pair, brand) summary is written
+    once, so the KPIs, topic and brand tables come from one pass over the
+    keywords; the keyword table makes one more (bounded top-k) pass.
+    """
     if search_type not in SEARCH_TYPES:
         raise ValueError(f"search_type must be one of {SEARCH_TYPES}")
     kw = keyword_filters(with_lists(keywords), date_range, country)
     if not search_value:
-        return overview(kw, tmap)
+        return overview(kw, tmap, materialize=materialize)
     if search_type == "Brand":
-        return brand_search(kw, tmap, search_value, mode)
-    return topic_search(kw, tmap, search_value, mode)
+        return brand_search(kw, tmap, search_value, mode, materialize=materialize)
+    return topic_search(kw, tmap, search_value, mode, materialize=materialize)
 
 
 # --- the same reports over the joined rows ------------------------------------

@@ -153,6 +153,26 @@ def topic_group_count(spark, d):
     return agg.group_count(agg.topic_totals(_facts(spark, d)))
 
 
+def _report(spark, d):
+    return trending.trending_report(_facts(spark, d), level1=LEVEL1, date_range=DATE_RANGE)
+
+
+def report_kpis(spark, d):
+    return _report(spark, d).kpis
+
+
+def report_table_top(spark, d):
+    return _report(spark, d).table_top
+
+
+def report_chart_top(spark, d):
+    return _report(spark, d).chart_top
+
+
+def report_trend(spark, d):
+    return _report(spark, d).trend
+
+
 def labelled_top(spark, d):
     top = trending.top_topics(_facts(spark, d), 10)
     return top.withColumn("conversations_label", thousands("raw_conversations"))
@@ -394,6 +414,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         level2_page2,
         topic_values_page2,
         topic_group_count,
+        report_kpis,
+        report_table_top,
+        report_chart_top,
+        report_trend,
         labelled_top,
         labelled_trend,
         topic_map,

@@ -126,6 +126,42 @@ def caption(level1=None, level2=None, date_range=None) -> str:
     return f" ({', '.join(parts)})" if parts else ""
 
 
+def trend_base(df: DataFrame, roles: Roles, day_name: str = "date_only") -> DataFrame:
+    """One aggregate by (day, topic) over all rows: row count and metric sums.
+
+    Null days and null topics stay groups here, so every trending output can be
+    derived from this frame: KPIs count all rows, per-topic sums drop the null
+    topic, the trend drops the null day.
+    """
+    metrics = [m for m in dict.fromkeys((roles.conversations, roles.messages, roles.users)) if m]
+    if metrics:
+        agg.check_numeric(df, *metrics)
+    day = F.to_date(F.col(roles.date)) if roles.date else F.lit(None).cast("date")
+    return df.groupBy(day.alias(day_name), F.col(roles.topic)).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(m).alias(m) for m in metrics]
+    )
+
+
+def _base_sums(base: DataFrame, roles: Roles) -> tuple[DataFrame, str]:
+    metrics = [m for m in dict.fromkeys((roles.conversations, roles.messages, roles.users)) if m]
+    topic = roles.topic
+    keyed = base.filter(F.col(topic).isNotNull()).groupBy(topic)
+    if metrics:
+        return keyed.agg(*[agg.total(m, m) for m in metrics]), roles.conversations or metrics[0]
+    return keyed.agg(F.sum("_rows").alias("count")), "count"
+
+
+def _base_kpis(base: DataFrame, roles: Roles) -> DataFrame:
+    return base.agg(
+        agg.total("_rows", "total_rows"),
+        F.count_distinct(roles.topic).alias("unique_topics"),
+        agg.total(roles.conversations, "total_conversations")
+        if roles.conversations
+        else agg.typed_null().alias("total_conversations"),
+        agg.total(roles.users, "total_users") if roles.users else agg.typed_null().alias("total_users"),
+    )
+
+
 @dataclass
 class TrendingReport:
     rows: DataFrame
@@ -144,20 +180,40 @@ def trending_report(
     level2=None,
     date_range=None,
     n: int = TOP_N,
+    materialize: bool = True,
+    day_name: str = "date_only",
 ) -> TrendingReport:
     """The trending tab (M7) as lazy frames: filtered rows (for export), KPIs,
-    chart top-N (totals left out), table top-N (totals kept), daily trend."""
+    chart top-N (totals left out), table top-N (totals kept), daily trend.
+
+    All outputs but ``rows`` come from one (day, topic) aggregate of the
+    filtered rows; ``materialize=True`` writes it once under
+    ``spark.checkpoint.dir`` (one job now), so the facts are scanned once for
+    the whole report instead of once per output.
+    """
     roles = present(roles or detect_roles(df.columns), df.columns)
+    if roles.topic is None:
+        raise ValueError("a topic column is needed to aggregate")
     rows = filtered(df, roles, level1, level2, date_range)
-    sums, sort_col = aggregated(rows, roles)
+    base = trend_base(rows, roles, day_name)
+    if materialize:
+        from trendlens.sources.writers import materialize as write_once
+
+        base = write_once(base, "trend_base")
+    sums, sort_col = _base_sums(base, roles)
     chart = topn.top_n(flt.drop_totals(sums, roles.topic), n, sort_col, roles.topic)
     table = topn.ranked_top(sums, n, sort_col, roles.topic)
     trend = None
     if roles.date and roles.conversations:
-        trend = daily_trend(rows, n, roles)
+        metric = roles.conversations
+        dated = base.filter(F.col(day_name).isNotNull() & F.col(roles.topic).isNotNull())
+        picked = rows_of_top(dated, chart, roles.topic)
+        trend = picked.select(
+            day_name, roles.topic, F.coalesce(F.col(metric), F.lit(0)).alias(metric)
+        ).orderBy(day_name, roles.topic)
     return TrendingReport(
         rows=rows,
-        kpis=agg.trend_kpis(rows, roles.topic, roles.conversations, roles.users),
+        kpis=_base_kpis(base, roles),
         chart_top=chart,
         table_top=table,
         trend=trend,
