@@ -34,6 +34,9 @@ def test_eager_equals_mapped(spark):
     assert rows(agg.topic_volume(mapped)) == rows(brand.eager_topic_volume(brand.with_lists(kw), brand.pair_topics(kw, m)))
     assert rows(eager.brands) == rows(plain.brands)
     assert rows(eager.kpis) == rows(plain.kpis)
+    lazy = brand.overview(kw, m, materialize=False)
+    assert rows(lazy.kpis) == rows(plain.kpis) and rows(lazy.brands) == rows(plain.brands)
+    assert rows(lazy.topics) == rows(plain.topics)
     for term in ("Brand#1", "Brand#2"):
         e, p = brand.brand_search(kw, m, term), brand.brand_search_mapped(mapped, term)
         assert rows(e.kpis) == rows(p.kpis) and rows(e.topics) == rows(p.topics)

@@ -230,12 +230,14 @@ def pair_frames(
     again (one job at build time).
     """
     summary = pair_brand_summary(keywords)
+    pairs_from = keywords  # the pair columns alone: no list parsing on this branch
     if materialize:
         from trendlens.sources.writers import materialize as write_once
 
         summary = write_once(summary, "pair_brand_summary")
+        pairs_from = summary
     totals = pair_totals(summary)
-    topics = _label_filter(pair_topics(totals, tmap), label_term, mode)
+    topics = _label_filter(pair_topics(pairs_from, tmap), label_term, mode)
     return PairFrames(summary, totals, topics, pair_copies(topics))
 
 
@@ -301,7 +303,7 @@ def brand_search(
     mode: str = "contains",
     exact: bool = False,
     lists_exact: bool = True,
-    materialize: bool = False,
+    materialize: bool = True,
 ) -> BrandReport:
     """Search by brand (M10): KPIs, top-15 topics, top-50 keyword rows."""
     kw = brand_rows(with_lists(keywords, lists_exact), brand, mode, exact)
@@ -321,7 +323,7 @@ def topic_search(
     topic: str,
     mode: str = "contains",
     lists_exact: bool = True,
-    materialize: bool = False,
+    materialize: bool = True,
 ) -> BrandReport:
     """Search by topic label (M11): KPIs, top-15 brands, top-50 keyword rows."""
     kw = with_lists(keywords, lists_exact)
@@ -336,7 +338,7 @@ def topic_search(
 
 
 def overview(
-    keywords: DataFrame, tmap: DataFrame | None, lists_exact: bool = True, materialize: bool = False
+    keywords: DataFrame, tmap: DataFrame | None, lists_exact: bool = True, materialize: bool = True
 ) -> BrandReport:
     """No search value (M12): KPIs, top-15 topics, top-15 brands."""
     kw = with_lists(keywords, lists_exact)
