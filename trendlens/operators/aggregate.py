@@ -77,7 +77,6 @@ def topic_volume_eager(
     tmap: DataFrame | None,
     level1: str = "level1",
     level2: str = "level2",
-    broadcast: bool | None = None,
 ) -> DataFrame:
     """E4 with the aggregate pushed below the fan-out join.
 
@@ -88,7 +87,7 @@ def topic_volume_eager(
     pairs = keywords.groupBy(level1, level2).agg(
         F.sum("volume").alias("volume"), F.count("keyword").alias("keyword_count")
     )
-    mapped = attach_topics(pairs, tmap, level1, level2, broadcast=broadcast)
+    mapped = attach_topics(pairs, tmap, level1, level2)
     return (
         mapped.filter(F.col("topic").isNotNull())
         .groupBy("topic")

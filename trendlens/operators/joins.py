@@ -60,14 +60,13 @@ def attach_topics(
     tmap: DataFrame | None,
     level1: str = "level1",
     level2: str = "level2",
-    broadcast: bool | None = None,
 ) -> DataFrame:
     """Give every keyword row its topic label (D1 + B5, or B6 without a map).
 
     Output: the keyword columns (any old ``topic`` dropped), then ``topic``,
     ``category``, ``sub_category`` from the map (null when nothing matched).
-    ``broadcast=True`` adds a broadcast hint (pass a map already checked with
-    :func:`broadcast_if_small`); ``None`` leaves the choice to Spark and AQE.
+    The join strategy is Spark's (size statistics, AQE) unless the map comes
+    from :func:`broadcast_if_small`, which carries a checked broadcast hint.
     """
     kw = keywords.drop("topic") if "topic" in keywords.columns else keywords
     if tmap is None:
@@ -77,8 +76,6 @@ def attach_topics(
         F.col("category"),
         F.col("sub_category"),
     )
-    if broadcast:
-        m = F.broadcast(m)
     cond = F.col(f"k.{level1}").eqNullSafe(F.col("m.category")) & F.col(f"k.{level2}").eqNullSafe(
         F.col("m.sub_category")
     )

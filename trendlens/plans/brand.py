@@ -36,6 +36,8 @@ from trendlens.operators.brands import has_brand, keyword_kpis
 from trendlens.operators.joins import attach_topics, broadcast_if_small, topic_map
 from trendlens.sources.readers import parse_dates
 
+# List sizes of the brand reports, the keyword table's columns
+# and the two search types.
 TOP_TOPICS = 15
 TOP_BRANDS = 15
 TOP_KEYWORDS = 50
@@ -60,20 +62,22 @@ def prepare_keywords(
     keywords: DataFrame,
     tmap: DataFrame | None,
     exact: bool = True,
-    broadcast: bool | str | None = "auto",
+    broadcast: str | None = "auto",
 ) -> DataFrame:
     """The joined keyword rows (M8: D1, B5/B6, R1, A7): keyword columns, then
     ``topic``, ``category``, ``sub_category``, ``brands_list``.
 
     Lists are parsed before the join, once per keyword rather than once per
     copy.  ``broadcast='auto'`` writes the map once and broadcasts it only
-    under a fixed row bound; ``True`` hints without a check (for maps known to
-    be small); ``None`` leaves the choice to Spark and AQE.
+    under a fixed row bound (sort-merge join above it); ``None`` leaves the
+    choice to Spark's size statistics and AQE.
     """
+    if broadcast not in ("auto", None):
+        raise ValueError("broadcast must be 'auto' or None")
     kw = with_lists(keywords, exact)
     if tmap is not None and broadcast == "auto":
-        tmap, broadcast = broadcast_if_small(tmap), None
-    mapped = attach_topics(kw, tmap, L1, L2, broadcast=bool(broadcast) if broadcast else None)
+        tmap = broadcast_if_small(tmap)
+    mapped = attach_topics(kw, tmap, L1, L2)
     rest = [c for c in mapped.columns if c != "brands_list"]
     return mapped.select(*rest, "brands_list")
 
@@ -225,20 +229,22 @@ def pair_frames(
     """Summary of the keyword rows, the pairs' topic labels (optionally only
     those matching ``label_term``) and copy counts.
 
-    ``materialize=True`` writes the summary once under ``spark.checkpoint.dir``
-    so that all outputs of a report read it instead of scanning the keywords
-    again (one job at build time).
+    ``materialize=True`` writes the summary and the (pair, topic) labels once
+    under ``spark.checkpoint.dir`` (two small jobs at build time); every output
+    of a report then reads those small files instead of scanning the keywords
+    and deriving the map again per output.
     """
     summary = pair_brand_summary(keywords)
-    pairs_from = keywords  # the pair columns alone: no list parsing on this branch
-    if materialize:
-        from trendlens.sources.writers import materialize as write_once
-
-        summary = write_once(summary, "pair_brand_summary")
-        pairs_from = summary
-    totals = pair_totals(summary)
-    topics = _label_filter(pair_topics(pairs_from, tmap), label_term, mode)
-    return PairFrames(summary, totals, topics, pair_copies(topics))
+    if not materialize:
+        # the pair columns alone: no list parsing on this branch
+        topics = _label_filter(pair_topics(keywords, tmap), label_term, mode)
+        totals = pair_totals(summary)
+        return PairFrames(summary, totals, topics, pair_copies(topics))
+    from trendlens.sources.writers import materialize as write_once
+
+    summary = write_once(summary, "pair_brand_summary")
+    topics = write_once(_label_filter(pair_topics(summary, tmap), label_term, mode), "pair_topics")
+    return PairFrames(summary, pair_totals(summary), topics, pair_copies(topics))
 
 
 def eager_topic_volume(keywords: DataFrame, topics: DataFrame) -> DataFrame:

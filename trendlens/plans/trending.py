@@ -17,6 +17,7 @@ from trendlens.operators import topn
 from trendlens.operators.joins import rows_of_top
 from trendlens.plans.roles import Roles, detect_roles, present
 
+# Fixed value: topics in the chart and the table.
 TOP_N = 10
 
 

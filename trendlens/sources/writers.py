@@ -110,7 +110,7 @@ def tee(df: DataFrame, first: str, second: str, fmt: str = "parquet", **kw) -> i
     n = write_table(df, first, fmt, **kw)
     spark = df.sparkSession
     if fmt == "parquet":
-        again = spark.read.parquet(first)
+        again = spark.read.schema(df.schema).parquet(first)
     else:
         again = spark.read.option("header", "true").option("escape", '"').schema(
             arrays_as_text(df).schema
@@ -120,9 +120,11 @@ def tee(df: DataFrame, first: str, second: str, fmt: str = "parquet", **kw) -> i
 
 
 _UNSAFE = re.compile(r"[/\\\s]+")
+# Fixed value: file-name prefix of the filtered-rows export.
+EXPORT_PREFIX = "filtered_topics"
 
 
-def export_name(level1: str | None = None, level2: str | None = None, prefix: str = "filtered_topics") -> str:
+def export_name(level1: str | None = None, level2: str | None = None, prefix: str = EXPORT_PREFIX) -> str:
     """``filtered_topics_{level1}_{level2}.csv`` (A16), path-safe."""
     parts = [prefix, str(level1 if level1 is not None else "All"), str(level2 if level2 is not None else "All")]
     return _UNSAFE.sub("_", "_".join(parts)) + ".csv"
@@ -156,7 +158,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark: SparkSession = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
