@@ -88,3 +88,16 @@ def test_composite_reports_run(spark):
     for st, val in (("Brand", "Brand#1"), ("Topic", "red"), ("Brand", None)):
         b = brand.brand_report(kw, m, st, val, date_range=("1995-01-01", "1995-02-28"), country="US")
         assert b.kpis.first().total_keywords == b.rows.count()
+
+
+def test_salted_join_equals_plain(spark):
+    from trendlens.operators.joins import attach_topics, attach_topics_salted
+
+    kw, m = fx.keywords(spark, SF_SMALL), catalog._map(spark, SF_SMALL)
+    plain = attach_topics(kw, m)
+    for salts in (1, 7):
+        assert rows(attach_topics_salted(kw, m, salts)) == rows(plain)
+    forced = brand.prepare_keywords(kw, m, max_broadcast_rows=0, salts=5).drop("brands_list")
+    assert rows(forced) == rows(plain)
+    p = forced._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p

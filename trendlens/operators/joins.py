@@ -17,6 +17,10 @@ from trendlens.operators.filters import MAP_EXCLUDED_TOPIC, drop_value_keep_null
 
 # Rows above which the map is never broadcast, even when asked to "auto".
 DEFAULT_BROADCAST_MAX_ROWS = 500_000
+# Buckets each (category, sub_category) pair is split into when the map is too
+# large to broadcast: a pair holding a third of all keywords still spreads
+# over this many tasks.
+DEFAULT_SALTS = 32
 
 
 def topic_map(
@@ -38,6 +42,15 @@ def topic_map(
     return drop_value_keep_null(m, "topic", MAP_EXCLUDED_TOPIC).distinct()
 
 
+def write_and_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write ``df`` under ``spark.checkpoint.dir``, read it back; row count from
+    the Parquet footers."""
+    from trendlens.sources.writers import materialize
+
+    written = materialize(df, "broadcast_candidate")
+    return written, written.count()
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
     """Write ``df`` once, then broadcast it only if its row count is at most
     ``max_rows``.
@@ -48,10 +61,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS
     Above the bound no hint is given and Spark plans a sort-merge join, with
     AQE splitting skewed partitions.
     """
-    from trendlens.sources.writers import materialize
-
-    written = materialize(df, "broadcast_candidate")
-    n = written.count()
+    written, n = write_and_count(df)
     return F.broadcast(written) if n <= max_rows else written
 
 
@@ -88,6 +98,47 @@ def attach_topics(
     )
 
 
+def attach_topics_salted(
+    keywords: DataFrame,
+    tmap: DataFrame,
+    salts: int = DEFAULT_SALTS,
+    level1: str = "level1",
+    level2: str = "level2",
+) -> DataFrame:
+    """:func:`attach_topics` as a shuffle join that splits every pair.
+
+    Each keyword row gets a salt from a hash of all its columns and its input
+    partition's index (stable when a task is retried; repeated identical rows
+    from different splits spread too); every map row is repeated once per salt.
+    A keyword meets exactly the map rows of its pair, once, so the result equals
+    the plain join, while a hot pair is spread over ``salts`` tasks.  The map
+    grows ``salts`` times: meant for maps too large to broadcast.
+    """
+    if salts < 1:
+        raise ValueError("salts must be >= 1")
+    kw = keywords.drop("topic") if "topic" in keywords.columns else keywords
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in kw.columns], F.spark_partition_id()), F.lit(salts))
+    salted_kw = kw.withColumn("_salt", salt.cast("int"))
+    m = tmap.select(
+        F.col("topic").alias("_map_topic"),
+        F.col("category"),
+        F.col("sub_category"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+    )
+    cond = (
+        F.col(f"k.{level1}").eqNullSafe(F.col("m.category"))
+        & F.col(f"k.{level2}").eqNullSafe(F.col("m.sub_category"))
+        & (F.col("k._salt") == F.col("m._salt"))
+    )
+    joined = salted_kw.alias("k").join(m.alias("m"), cond, "left")
+    return joined.select(
+        *[F.col(f"k.{c}") for c in kw.columns],
+        mapped_label(F.col("m._map_topic"), F.col(f"k.{level1}"), F.col(f"k.{level2}")).alias("topic"),
+        F.col("m.category"),
+        F.col("m.sub_category"),
+    )
+
+
 def pair_multiplicity(tmap: DataFrame) -> DataFrame:
     """Topics per (category, sub_category): how many copies D1 makes of a keyword."""
     return tmap.groupBy("category", "sub_category").agg(F.count(F.lit(1)).alias("copies"))

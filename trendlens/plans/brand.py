@@ -33,7 +33,15 @@ from trendlens.operators import aggregate as agg
 from trendlens.operators import filters as flt
 from trendlens.operators import topn
 from trendlens.operators.brands import has_brand, keyword_kpis
-from trendlens.operators.joins import attach_topics, broadcast_if_small, topic_map
+from trendlens.operators.joins import (
+    DEFAULT_BROADCAST_MAX_ROWS,
+    DEFAULT_SALTS,
+    attach_topics,
+    attach_topics_salted,
+    broadcast_if_small,
+    topic_map,
+    write_and_count,
+)
 from trendlens.sources.readers import parse_dates
 
 # List sizes of the brand reports, the keyword table's columns
@@ -63,20 +71,28 @@ def prepare_keywords(
     tmap: DataFrame | None,
     exact: bool = True,
     broadcast: str | None = "auto",
+    max_broadcast_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+    salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """The joined keyword rows (M8: D1, B5/B6, R1, A7): keyword columns, then
     ``topic``, ``category``, ``sub_category``, ``brands_list``.
 
     Lists are parsed before the join, once per keyword rather than once per
-    copy.  ``broadcast='auto'`` writes the map once and broadcasts it only
-    under a fixed row bound (sort-merge join above it); ``None`` leaves the
-    choice to Spark's size statistics and AQE.
+    copy.  ``broadcast='auto'`` writes the map once and broadcasts it when it
+    has at most ``max_broadcast_rows`` rows; a larger map is joined with every
+    pair split into ``salts`` buckets, so no hot pair lands in one task.
+    ``None`` leaves the choice to Spark's size statistics and AQE.
     """
     if broadcast not in ("auto", None):
         raise ValueError("broadcast must be 'auto' or None")
     kw = with_lists(keywords, exact)
     if tmap is not None and broadcast == "auto":
-        tmap = broadcast_if_small(tmap)
+        written, n = write_and_count(tmap)
+        if n > max_broadcast_rows:
+            mapped = attach_topics_salted(kw, written, salts, L1, L2)
+            rest = [c for c in mapped.columns if c != "brands_list"]
+            return mapped.select(*rest, "brands_list")
+        tmap = F.broadcast(written)
     mapped = attach_topics(kw, tmap, L1, L2)
     rest = [c for c in mapped.columns if c != "brands_list"]
     return mapped.select(*rest, "brands_list")
