@@ -69,18 +69,27 @@ def daily_trend(
     n: int = TOP_N,
     roles: Roles | None = None,
     day_name: str = "date_only",
+    materialize: bool = False,
 ) -> DataFrame:
     """Daily metric of the chart's top-N topics.
 
-    One aggregate by (day, topic) feeds both the topic ranking and the trend
-    rows (Spark reuses its shuffle); the top-N set (at most ``n`` keys) is
-    broadcast into a semi-join.  Missing days are not filled.
+    Topics are ranked on a (day, topic) aggregate; the top-N set (at most ``n``
+    keys) is broadcast into a semi-join.  Lazily (``materialize=False``)
+    Catalyst pushes that semi-join below the aggregate, so the trend pass
+    aggregates only the top topics' rows but reads the input a second time;
+    ``materialize=True`` writes the (day, topic) aggregate once under
+    ``spark.checkpoint.dir`` and both passes read it.  Missing days are not
+    filled.
     """
     roles = present(roles or detect_roles(df.columns), df.columns)
     if roles.topic is None or roles.date is None or roles.conversations is None:
         raise ValueError("the trend needs topic, date and metric columns")
     topic, metric = roles.topic, roles.conversations
     base = agg.daily_sums(df, roles.date, topic, metric, day_name)
+    if materialize:
+        from trendlens.sources.writers import materialize as write_once
+
+        base = write_once(base, "daily_sums")
     totals = base.groupBy(topic).agg(agg.total(metric, metric))
     top = topn.top_n(flt.drop_totals(totals, topic), n, metric, topic)
     trend = rows_of_top(base.filter(F.col(day_name).isNotNull()), top, topic)
