@@ -4,7 +4,6 @@ dates, ties, CSV text)."""
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import rows
 from trendlens.functions import brands as fb
