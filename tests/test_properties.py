@@ -101,3 +101,17 @@ def test_salted_join_equals_plain(spark):
     assert rows(forced) == rows(plain)
     p = forced._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+
+
+def test_report_without_metrics_or_dates(spark):
+    df = spark.createDataFrame(
+        [("a", "X"), ("a", "X"), ("b", "Y"), (None, "X"), ("All", "X")], "prompt string, category string"
+    )
+    rep = trending.trending_report(df, materialize=False)
+    assert rep.sort_col == "count" and rep.trend is None
+    assert [(r.prompt, r["count"]) for r in rep.chart_top.collect()] == [("a", 2), ("b", 1)]
+    assert [(r.rank, r.prompt) for r in rep.table_top.collect()] == [(1, "a"), (2, "All"), (3, "b")]
+    k = rep.kpis.first()
+    assert (k.total_rows, k.unique_topics, k.total_conversations, k.total_users) == (5, 3, None, None)
+    only_x = trending.trending_report(df, level1="X")
+    assert only_x.kpis.first().total_rows == 4
