@@ -98,6 +98,34 @@ def attach_topics(
     )
 
 
+def salted_join(
+    left: DataFrame,
+    right: DataFrame,
+    pairs: list[tuple[str, str]],
+    how: str,
+    salts: int = DEFAULT_SALTS,
+) -> DataFrame:
+    """Null-safe equi-join on ``pairs`` (left column, right column) with every
+    key split into ``salts`` buckets.
+
+    Left rows get a salt from a hash of all their columns and their input
+    partition's index (stable when a task is retried); right rows are repeated
+    once per salt.  Each left row meets each matching right row exactly once,
+    so the result equals the unsalted join, and a key holding a third of the
+    left rows is spread over ``salts`` tasks.  Left columns come out as
+    ``l.<name>``, right columns as ``r.<name>``.
+    """
+    if salts < 1:
+        raise ValueError("salts must be >= 1")
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns], F.spark_partition_id()), F.lit(salts))
+    l = left.withColumn("_salt", salt.cast("int")).alias("l")
+    r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("r")
+    cond = F.col("l._salt") == F.col("r._salt")
+    for a, b in pairs:
+        cond = cond & F.col(f"l.{a}").eqNullSafe(F.col(f"r.{b}"))
+    return l.join(r, cond, how)
+
+
 def attach_topics_salted(
     keywords: DataFrame,
     tmap: DataFrame,
@@ -114,28 +142,14 @@ def attach_topics_salted(
     the plain join, while a hot pair is spread over ``salts`` tasks.  The map
     grows ``salts`` times: meant for maps too large to broadcast.
     """
-    if salts < 1:
-        raise ValueError("salts must be >= 1")
     kw = keywords.drop("topic") if "topic" in keywords.columns else keywords
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in kw.columns], F.spark_partition_id()), F.lit(salts))
-    salted_kw = kw.withColumn("_salt", salt.cast("int"))
-    m = tmap.select(
-        F.col("topic").alias("_map_topic"),
-        F.col("category"),
-        F.col("sub_category"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
-    )
-    cond = (
-        F.col(f"k.{level1}").eqNullSafe(F.col("m.category"))
-        & F.col(f"k.{level2}").eqNullSafe(F.col("m.sub_category"))
-        & (F.col("k._salt") == F.col("m._salt"))
-    )
-    joined = salted_kw.alias("k").join(m.alias("m"), cond, "left")
+    m = tmap.select(F.col("topic").alias("_map_topic"), F.col("category"), F.col("sub_category"))
+    joined = salted_join(kw, m, [(level1, "category"), (level2, "sub_category")], "left", salts)
     return joined.select(
-        *[F.col(f"k.{c}") for c in kw.columns],
-        mapped_label(F.col("m._map_topic"), F.col(f"k.{level1}"), F.col(f"k.{level2}")).alias("topic"),
-        F.col("m.category"),
-        F.col("m.sub_category"),
+        *[F.col(f"l.{c}") for c in kw.columns],
+        mapped_label(F.col("r._map_topic"), F.col(f"l.{level1}"), F.col(f"l.{level2}")).alias("topic"),
+        F.col("r.category"),
+        F.col("r.sub_category"),
     )
 
 

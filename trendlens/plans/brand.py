@@ -38,7 +38,7 @@ from trendlens.operators.joins import (
     DEFAULT_SALTS,
     attach_topics,
     attach_topics_salted,
-    broadcast_if_small,
+    salted_join,
     topic_map,
     write_and_count,
 )
@@ -273,17 +273,27 @@ def eager_brand_volume(keywords: DataFrame, copies: DataFrame) -> DataFrame:
     return summary_brand_volume(pair_brand_summary(keywords), copies)
 
 
-def eager_top_keywords(keywords: DataFrame, topics: DataFrame, n: int = TOP_KEYWORDS, semi: bool = False) -> DataFrame:
+def eager_top_keywords(
+    keywords: DataFrame,
+    topics: DataFrame,
+    n: int = TOP_KEYWORDS,
+    semi: bool = False,
+    max_broadcast_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+) -> DataFrame:
     """G4 + F1: the ``n`` best joined rows, built from candidate keywords only.
 
     ``semi=True`` first keeps keywords whose pair has any topic row (needed
     when ``topics`` was filtered); the pair list is written once and broadcast
-    only under a row bound.
+    under a row bound, else joined with every pair split into salted buckets.
     """
     cands = keywords
     if semi:
-        pairs = broadcast_if_small(topics.select(L1, L2).distinct())
-        cands = keywords.alias("k").join(pairs.alias("q"), _on_pair("k", "q"), "left_semi")
+        pairs, n_pairs = write_and_count(topics.select(L1, L2).distinct())
+        if n_pairs <= max_broadcast_rows:
+            cands = keywords.alias("k").join(F.broadcast(pairs).alias("q"), _on_pair("k", "q"), "left_semi")
+        else:
+            hit = salted_join(keywords, pairs, [(L1, L1), (L2, L2)], "left_semi", DEFAULT_SALTS)
+            cands = hit.select(*[F.col(f"l.{c}").alias(c) for c in keywords.columns])
     keys = topn.top_n(cands.select("volume", "keyword"), n, "volume", "keyword")
     on_key = F.col("c.volume").eqNullSafe(F.col("t.volume")) & F.col("c.keyword").eqNullSafe(F.col("t.keyword"))
     picked = cands.alias("c").join(F.broadcast(keys.alias("t")), on_key, "left_semi")
