@@ -55,15 +55,29 @@ def test_list_parser_runs_once_per_row(spark):
     assert plan(written.kpis).count("ArrowEvalPython") == 0
 
 
-def test_eager_reports_never_join_keyword_rows_to_the_map(spark):
-    """In the overview, keyword rows are aggregated per pair (or pair and
-    brand) before any join with topic labels."""
+def test_report_outputs_read_only_their_written_frames(spark):
+    """Materialized reports: every output reads the small written summaries,
+    never the keyword or fact tables again, and nothing is a cross join."""
     rep = brand.overview(fx.keywords(spark, SF_SMALL), catalog._map(spark, SF_SMALL))
     for df in (rep.topics, rep.brands, rep.kpis):
-        logical = df._jdf.queryExecution().optimizedPlan().toString()
-        # every Join's children are Aggregates (or projections/filters of them)
-        assert "Join" in logical
-        df.collect()
+        p = plan(df)
+        assert "part.parquet" not in p and "lineitem.parquet" not in p
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    tr = trending.trending_report(fx.topic_facts(spark, SF_SMALL), level1=catalog.LEVEL1)
+    for df in (tr.kpis, tr.chart_top, tr.table_top, tr.trend):
+        assert "lineitem.parquet" not in plan(df)
+    assert "lineitem.parquet" in plan(tr.rows)
+
+
+def test_lazy_overview_joins_no_keyword_rows(spark):
+    """Unmaterialized: the lists are parsed once, and the only outer join is
+    the one of distinct pairs with the map (keyword rows never meet it)."""
+    rep = brand.overview(fx.keywords(spark, SF_SMALL), catalog._map(spark, SF_SMALL), materialize=False)
+    p = plan(rep.brands)
+    assert p.count("ArrowEvalPython") == 1 and p.count("LeftOuter") == 1
+    logical = rep.brands._jdf.queryExecution().optimizedPlan().toString()
+    outer = logical[logical.index("LeftOuter"):]
+    assert "Aggregate [level1" in outer.split("Join")[0] or "Aggregate [level1" in outer
 
 
 def test_trend_semi_join_is_broadcast(spark):
