@@ -207,3 +207,15 @@ def test_after_first_is_exact(spark):
     assert got == [f"v{i:03d}" for i in range(50, 120)]
     assert topn.after_first(df, "v", 500).count() == 0
     assert [r.v for r in topn.page(df, ["v"], 10, 2).collect()] == [f"v{i:03d}" for i in range(20, 30)]
+
+
+def test_metric_override_to_users_sums_once(spark):
+    from trendlens.plans.trending import aggregated
+
+    df = spark.createDataFrame(
+        [("a", 1, 10), ("a", 2, 20)], "topic string, raw_conversations bigint, raw_users bigint"
+    )
+    roles = override_roles(detect_roles(df.columns), df.columns, metric="raw_users")
+    sums, sort_col = aggregated(df, roles)
+    assert sort_col == "raw_users" and sums.columns == ["topic", "raw_users"]
+    assert rows(sums) == [("a", 30)]

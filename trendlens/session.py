@@ -58,10 +58,18 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder for intermediate writes:
+    ``<spark.checkpoint.dir>/trendlens/<applicationId>``.  Everything the
+    library writes on its own (report summaries, broadcast candidates, sink
+    outputs of the registered queries) goes below it, so one folder can be
+    dropped when the application is done."""
+    return f"{shared_dir(spark)}/trendlens/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unused path under the shared folder."""
-    base = shared_dir(spark)
-    return f"{base}/{name}-{os.getpid()}-{next(_counter)}-{os.urandom(4).hex()}"
+    """A fresh, unused path below :func:`scratch_root`."""
+    return f"{scratch_root(spark)}/{name}-{os.getpid()}-{next(_counter)}-{os.urandom(4).hex()}"
 
 
 def _count():
