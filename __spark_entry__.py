@@ -328,6 +328,12 @@ def oracle_sql() -> dict[str, str]:
             select="SELECT topic, raw_conversations, date_text, TRY_CAST(date_text AS TIMESTAMP) AS parsed FROM t",
         ),
         "partitioned_roundtrip": _with(select=f"SELECT {FACTS_COLS} FROM topic_facts"),
+        "hash_sample_portable": _with(
+            select=(
+                f"SELECT {FACTS_COLS} FROM topic_facts WHERE CAST(('0x' || substr(md5(concat_ws('|', "
+                "COALESCE(CAST(topic AS VARCHAR), '\\N'), COALESCE(CAST(date AS VARCHAR), '\\N'))), 1, 8)) AS BIGINT) % 4 = 0"
+            )
+        ),
         "streamed_rollup": _with(
             select=(
                 f"SELECT date, level1, level2, topic, {', '.join(_s(m) for m in METRICS)} "

@@ -87,3 +87,12 @@ def test_materialize_survives_as_files(spark):
     m = writers.materialize(df, "mat")
     assert rows(m) == rows(df)
     assert "InMemoryTableScan" not in m._jdf.queryExecution().executedPlan().toString()
+
+
+def test_portable_hash_sample(spark):
+    df = spark.range(1000).selectExpr("id", "CAST(id % 10 AS STRING) AS k", "IF(id % 7 = 0, NULL, 'x') AS n")
+    a = writers.hash_sample(df, ["k", "n"], 3, 1, hash="md5")
+    assert rows(a) == rows(writers.hash_sample(df.repartition(5), ["k", "n"], 3, 1, hash="md5"))
+    assert 0 < a.count() < 1000
+    with pytest.raises(ValueError):
+        writers.hash_sample(df, ["k"], 3, 0, hash="crc")

@@ -391,6 +391,10 @@ def hash_sample_rows(spark, d):
     return hash_sample(_facts(spark, d), ["topic", "date"], buckets=4, keep=0)
 
 
+def hash_sample_portable(spark, d):
+    return hash_sample(_facts(spark, d), ["topic", "date"], buckets=4, keep=0, hash="md5")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -452,5 +456,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         daily_rollup,
         streamed_rollup,
         hash_sample_rows,
+        hash_sample_portable,
     )
 }

@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,13 +171,36 @@ def sample_by(df: DataFrame, column: str, fractions: dict, seed: int = 42) -> Da
     return df.sampleBy(column, fractions, seed)
 
 
-def hash_sample(df: DataFrame, keys: Iterable[str], buckets: int, keep: int = 0) -> DataFrame:
+# Key separator and null marker of the portable (md5) sample hash.
+HASH_SEPARATOR = "|"
+HASH_NULL = "\\N"
+HASHES = ("xxhash64", "md5")
+
+
+def sample_bucket(keys: Iterable[str], buckets: int, hash: str = "xxhash64") -> Column:
+    """Bucket ``0 .. buckets-1`` of each row, from a hash of ``keys``.
+
+    ``xxhash64`` is Spark's fast native hash; ``md5`` takes the first 32 bits
+    of the MD5 of the keys as text (``|``-joined, null as ``\\N``), which any
+    engine with ``md5`` can reproduce.
+    """
+    keys = list(keys)
+    if hash == "xxhash64":
+        h = F.xxhash64(*[F.col(k) for k in keys])
+    elif hash == "md5":
+        text = F.concat_ws(HASH_SEPARATOR, *[F.coalesce(F.col(k).cast("string"), F.lit(HASH_NULL)) for k in keys])
+        h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    else:
+        raise ValueError(f"hash must be one of {HASHES}")
+    return F.pmod(h, F.lit(buckets))
+
+
+def hash_sample(df: DataFrame, keys: Iterable[str], buckets: int, keep: int = 0, hash: str = "xxhash64") -> DataFrame:
     """Deterministic sample by key hash (A22): every row of a kept key is kept,
     whatever the partitioning, so samples of related tables stay joinable."""
     if buckets <= 0 or not 0 <= keep < buckets:
         raise ValueError("need buckets > 0 and 0 <= keep < buckets")
-    h = F.xxhash64(*[F.col(k) for k in keys])
-    return df.filter(F.pmod(h, F.lit(buckets)) == keep)
+    return df.filter(sample_bucket(keys, buckets, hash) == keep)
 
 
 def preview(df: DataFrame, n: int = 20) -> DataFrame:
