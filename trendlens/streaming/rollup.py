@@ -33,16 +33,24 @@ def start_rollup_stream(
     metrics: Sequence[str] = METRICS,
     files_per_batch: int | None = None,
     available_now: bool = True,
+    fmt: str = "parquet",
 ) -> StreamingQuery:
-    """Start the stream over Parquet files in ``source``.
+    """Start the stream over the Parquet (or CSV, with a header row) files in
+    ``source``.
 
     ``available_now=True`` processes what is there in as many batches as
-    ``files_per_batch`` allows and stops; ``False`` keeps running.
+    ``files_per_batch`` allows and stops; ``False`` keeps running.  Restarting
+    with the same ``checkpoint`` only takes files that arrived since.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", int(files_per_batch))
-    stream = reader.parquet(source)
+    if fmt == "parquet":
+        stream = reader.parquet(source)
+    elif fmt == "csv":
+        stream = reader.option("header", "true").option("escape", '"').csv(source)
+    else:
+        raise ValueError("fmt must be 'parquet' or 'csv'")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         rollup(batch, keys, metrics).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
