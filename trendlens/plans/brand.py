@@ -307,11 +307,6 @@ def eager_top_keywords(
     return topn.ranked_top(table, n, "volume", "keyword", "topic", "brands")
 
 
-def top_keywords_prejoin(keywords: DataFrame, tmap: DataFrame | None, n: int = TOP_KEYWORDS) -> DataFrame:
-    """Top keyword rows of the joined table for unfiltered topics."""
-    return eager_top_keywords(keywords, pair_topics(keywords, tmap), n)
-
-
 # --- reports -------------------------------------------------------------------
 
 
