@@ -9,8 +9,10 @@ those copies:
 * ``pair_topics``: one row per (pair, topic label) for the pairs the keywords
   use - a small frame (pairs x topics per pair), with the fallback label for
   pairs the map does not know.
-* Sums, counts and brand volumes are aggregated per pair (or per pair and
-  brand) first and then weighted by the pair's number of topic rows.
+* Sums, counts and brand volumes come from one ``posexplode_outer`` pass over
+  the keywords grouped by (pair, brand) (``pair_brand_summary``) and are then
+  weighted by the pair's number of topic rows.  Reports write that summary
+  and the pair labels once; all their aggregate outputs read only those.
 * The top-50 keyword table takes its candidates from the keyword side: every
   keyword gives at least one row, so the best rows come from keywords whose
   (volume, keyword) key is among the best keys; a bounded top-k finds them
