@@ -7,6 +7,7 @@ apply to a session this module creates itself, as in tests and the bench.
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 
@@ -72,11 +73,4 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{os.getpid()}-{next(_counter)}-{os.urandom(4).hex()}"
 
 
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
-
-
-_counter = _count()
+_counter = itertools.count(1)  # safe to share between threads, unlike a generator
