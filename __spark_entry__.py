@@ -289,6 +289,23 @@ def oracle_sql() -> dict[str, str]:
         "overview_brands_plain": _brand_volume("TRUE"),
         "overview_kpis": _keyword_kpis("TRUE"),
         "overview_kpis_mapped": _keyword_kpis("TRUE"),
+        "overview_kpis_dedupe": _with(
+            select=(
+                "SELECT (SELECT COUNT(*) FROM keywords) AS total_keywords, "
+                "(SELECT COUNT(DISTINCT topic) FROM mapped) AS unique_topics, "
+                f"(SELECT {_s('volume', 'v')} FROM keywords) AS total_volume, "
+                "(SELECT COUNT(DISTINCT b) FROM (SELECT unnest(brands_list) AS b FROM keyword_brands)) AS unique_brands"
+            )
+        ),
+        "topic_search_brands_dedupe": _with(
+            f"hit AS (SELECT DISTINCT keyword FROM mapped WHERE {TOPIC_HIT})",
+            "b AS (SELECT unnest(kb.brands_list) AS brand, kb.volume FROM keyword_brands kb "
+            "WHERE kb.keyword IN (SELECT keyword FROM hit))",
+            select=(
+                f"SELECT brand, {_s('volume', 'volume')} FROM b WHERE brand IS NOT NULL GROUP BY brand "
+                "ORDER BY volume DESC NULLS LAST, brand ASC NULLS LAST LIMIT 15"
+            ),
+        ),
         "keywords_filtered": _with(
             select=(
                 f"SELECT {KW_ROWS} FROM mapped WHERE date BETWEEN DATE '{K0}' AND DATE '{K1}' "

@@ -115,3 +115,13 @@ def test_report_without_metrics_or_dates(spark):
     assert (k.total_rows, k.unique_topics, k.total_conversations, k.total_users) == (5, 3, None, None)
     only_x = trending.trending_report(df, level1="X")
     assert only_x.kpis.first().total_rows == 4
+
+
+def test_dedupe_counts_each_keyword_once(spark):
+    kw, m = fx.keywords(spark, SF_SMALL), catalog._map(spark, SF_SMALL)
+    k = brand.overview(kw, m, dedupe=True).kpis.first()
+    plain = brand.with_lists(kw).agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("v")).first()
+    assert (k.total_keywords, k.total_volume) == (plain.n, plain.v)
+    full = brand.overview(kw, m).kpis.first()
+    assert full.total_keywords > k.total_keywords
+    assert (full.unique_topics, full.unique_brands) == (k.unique_topics, k.unique_brands)

@@ -190,20 +190,29 @@ def summary_topic_volume(totals: DataFrame, topics: DataFrame) -> DataFrame:
     )
 
 
-def summary_brand_volume(summary: DataFrame, copies: DataFrame) -> DataFrame:
+def _weight(dedupe: bool) -> Column:
+    """Copies a keyword row counts for: all of them (as the joined rows do), or
+    one when ``dedupe`` (each keyword once, if any of its topic rows is kept)."""
+    return F.lit(1) if dedupe else F.col("copies")
+
+
+def summary_brand_volume(summary: DataFrame, copies: DataFrame, dedupe: bool = False) -> DataFrame:
     """E5 from per-(pair, brand) sums weighted by the pair's copies."""
     w = _weighted(summary.filter(F.col("brand").isNotNull()), copies, ["brand", "brand_volume"])
-    return w.groupBy("brand").agg(agg.total(F.col("brand_volume") * F.col("copies"), "volume"))
+    return w.groupBy("brand").agg(agg.total(F.col("brand_volume") * _weight(dedupe), "volume"))
 
 
-def summary_kpis(summary: DataFrame, totals: DataFrame, topics: DataFrame, copies: DataFrame) -> DataFrame:
+def summary_kpis(
+    summary: DataFrame, totals: DataFrame, topics: DataFrame, copies: DataFrame, dedupe: bool = False
+) -> DataFrame:
     """E8 without the copies: total_keywords, unique_topics, total_volume,
     unique_brands.  Three one-row aggregates are stacked and folded with
-    ``max`` (no cross join)."""
+    ``max`` (no cross join).  ``dedupe=True`` counts each keyword once in
+    total_keywords and total_volume."""
     w = _weighted(totals, copies, ["n", "volume"])
     sums = w.agg(
-        agg.total(F.col("n") * F.col("copies"), "total_keywords"),
-        agg.total(F.col("volume") * F.col("copies"), "total_volume"),
+        agg.total(F.col("n") * _weight(dedupe), "total_keywords"),
+        agg.total(F.col("volume") * _weight(dedupe), "total_volume"),
     )
     n_topics = topics.agg(F.count_distinct("topic").alias("unique_topics"))
     listed = summary.filter(F.col("brand").isNotNull())
@@ -230,11 +239,11 @@ class PairFrames:
     def topic_volume(self) -> DataFrame:
         return summary_topic_volume(self.totals, self.topics)
 
-    def brand_volume(self) -> DataFrame:
-        return summary_brand_volume(self.summary, self.copies)
+    def brand_volume(self, dedupe: bool = False) -> DataFrame:
+        return summary_brand_volume(self.summary, self.copies, dedupe)
 
-    def kpis(self) -> DataFrame:
-        return summary_kpis(self.summary, self.totals, self.topics, self.copies)
+    def kpis(self, dedupe: bool = False) -> DataFrame:
+        return summary_kpis(self.summary, self.totals, self.topics, self.copies, dedupe)
 
 
 def pair_frames(
@@ -333,13 +342,15 @@ def brand_search(
     exact: bool = False,
     lists_exact: bool = True,
     materialize: bool = True,
+    dedupe: bool = False,
 ) -> BrandReport:
-    """Search by brand (M10): KPIs, top-15 topics, top-50 keyword rows."""
+    """Search by brand (M10): KPIs, top-15 topics, top-50 keyword rows.
+    ``dedupe=True``: KPIs count each keyword once, not once per topic."""
     kw = brand_rows(with_lists(keywords, lists_exact), brand, mode, exact)
     pf = pair_frames(kw, tmap, materialize=materialize)
     return BrandReport(
         rows=attach_topics(kw, tmap, L1, L2),
-        kpis=pf.kpis(),
+        kpis=pf.kpis(dedupe),
         topics=topn.top_n(pf.topic_volume(), TOP_TOPICS, "volume", "topic"),
         brands=None,
         keywords=eager_top_keywords(kw, pf.topics),
@@ -353,30 +364,37 @@ def topic_search(
     mode: str = "contains",
     lists_exact: bool = True,
     materialize: bool = True,
+    dedupe: bool = False,
 ) -> BrandReport:
-    """Search by topic label (M11): KPIs, top-15 brands, top-50 keyword rows."""
+    """Search by topic label (M11): KPIs, top-15 brands, top-50 keyword rows.
+    ``dedupe=True``: KPIs and brand volumes count each matching keyword once."""
     kw = with_lists(keywords, lists_exact)
     pf = pair_frames(kw, tmap, topic, mode, materialize=materialize)
     return BrandReport(
         rows=topic_rows(attach_topics(kw, tmap, L1, L2), topic, mode),
-        kpis=pf.kpis(),
+        kpis=pf.kpis(dedupe),
         topics=None,
-        brands=topn.top_n(pf.brand_volume(), TOP_BRANDS, "volume", "brand"),
+        brands=topn.top_n(pf.brand_volume(dedupe), TOP_BRANDS, "volume", "brand"),
         keywords=eager_top_keywords(kw, pf.topics, semi=True),
     )
 
 
 def overview(
-    keywords: DataFrame, tmap: DataFrame | None, lists_exact: bool = True, materialize: bool = True
+    keywords: DataFrame,
+    tmap: DataFrame | None,
+    lists_exact: bool = True,
+    materialize: bool = True,
+    dedupe: bool = False,
 ) -> BrandReport:
-    """No search value (M12): KPIs, top-15 topics, top-15 brands."""
+    """No search value (M12): KPIs, top-15 topics, top-15 brands.
+    ``dedupe=True``: KPIs and brand volumes count each keyword once."""
     kw = with_lists(keywords, lists_exact)
     pf = pair_frames(kw, tmap, materialize=materialize)
     return BrandReport(
         rows=attach_topics(kw, tmap, L1, L2),
-        kpis=pf.kpis(),
+        kpis=pf.kpis(dedupe),
         topics=topn.top_n(pf.topic_volume(), TOP_TOPICS, "volume", "topic"),
-        brands=topn.top_n(pf.brand_volume(), TOP_BRANDS, "volume", "brand"),
+        brands=topn.top_n(pf.brand_volume(dedupe), TOP_BRANDS, "volume", "brand"),
         keywords=None,
     )
 
@@ -390,6 +408,7 @@ def brand_report(
     country=None,
     mode: str = "contains",
     materialize: bool = True,
+    dedupe: bool = False,
 ) -> BrandReport:
     """The brand tab (M9-M12): keyword filters, then the view for the search.
 
@@ -401,10 +420,10 @@ def brand_report(
         raise ValueError(f"search_type must be one of {SEARCH_TYPES}")
     kw = keyword_filters(with_lists(keywords), date_range, country)
     if not search_value:
-        return overview(kw, tmap, materialize=materialize)
+        return overview(kw, tmap, materialize=materialize, dedupe=dedupe)
     if search_type == "Brand":
-        return brand_search(kw, tmap, search_value, mode, materialize=materialize)
-    return topic_search(kw, tmap, search_value, mode, materialize=materialize)
+        return brand_search(kw, tmap, search_value, mode, materialize=materialize, dedupe=dedupe)
+    return topic_search(kw, tmap, search_value, mode, materialize=materialize, dedupe=dedupe)
 
 
 # --- the same reports over the joined rows ------------------------------------

@@ -272,6 +272,14 @@ def overview_kpis(spark, d):
     return brand.overview(_kw(spark, d), _map(spark, d)).kpis
 
 
+def overview_kpis_dedupe(spark, d):
+    return brand.overview(_kw(spark, d), _map(spark, d), dedupe=True).kpis
+
+
+def topic_search_brands_dedupe(spark, d):
+    return brand.topic_search(_kw(spark, d), _map(spark, d), TOPIC_TERM, dedupe=True).brands
+
+
 def overview_kpis_mapped(spark, d):
     return keyword_kpis(_prepared(spark, d))
 
@@ -445,6 +453,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         overview_brands_plain,
         overview_kpis,
         overview_kpis_mapped,
+        overview_kpis_dedupe,
+        topic_search_brands_dedupe,
         keywords_filtered,
         keyword_filter_counts,
         export_categories_csv,
