@@ -125,3 +125,19 @@ def test_dedupe_counts_each_keyword_once(spark):
     full = brand.overview(kw, m).kpis.first()
     assert full.total_keywords > k.total_keywords
     assert (full.unique_topics, full.unique_brands) == (k.unique_topics, k.unique_brands)
+
+
+def test_report_rows_equal_joined_rows(spark):
+    kw, m = fx.keywords(spark, SF_SMALL), catalog._map(spark, SF_SMALL)
+    mapped = brand.prepare_keywords(kw, m).drop("brands_list")
+    cols = mapped.columns
+    rep = brand.overview(kw, m)
+    assert rows(rep.rows.select(*cols)) == rows(mapped)
+    t = brand.topic_search(kw, m, "red")
+    assert rows(t.rows.select(*cols)) == rows(brand.topic_rows(mapped, "red"))
+    b = brand.brand_search(kw, m, "Brand#1")
+    assert rows(b.rows.select(*cols)) == rows(brand.brand_rows(mapped, "Brand#1"))
+    from trendlens.plans.brand import rows_from_topics
+
+    topics = brand.pair_topics(kw, m)
+    assert rows(rows_from_topics(brand.with_lists(kw), topics, 10**9, max_broadcast_rows=0, salts=4).select(*cols)) == rows(mapped)

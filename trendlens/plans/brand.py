@@ -158,9 +158,10 @@ def pair_totals(summary: DataFrame) -> DataFrame:
 
 
 def pair_topics(keywords: DataFrame, tmap: DataFrame | None) -> DataFrame:
-    """(level1, level2, topic): the topic labels each keyword pair receives."""
+    """(level1, level2, topic, category, sub_category): the topic rows each
+    keyword pair receives (map columns null where the map has no such pair)."""
     pairs = keywords.select(L1, L2).distinct()
-    return attach_topics(pairs, tmap, L1, L2).select(L1, L2, "topic")
+    return attach_topics(pairs, tmap, L1, L2)
 
 
 def _on_pair(left: str, right: str) -> Column:
@@ -227,6 +228,27 @@ def summary_kpis(
     )
 
 
+def rows_from_topics(
+    keywords: DataFrame,
+    topics: DataFrame,
+    n_topics: int,
+    max_broadcast_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+    salts: int = DEFAULT_SALTS,
+) -> DataFrame:
+    """The joined keyword rows from the (pair, topic) rows: keyword columns,
+    then ``topic``, ``category``, ``sub_category``.  Only the topic rows given
+    are joined (a filtered label set never builds the other copies); the
+    ``n_topics`` rows are broadcast under the bound, else every pair is split
+    into salted buckets."""
+    kw = keywords.drop("topic") if "topic" in keywords.columns else keywords
+    extra = ("topic", "category", "sub_category")
+    if n_topics <= max_broadcast_rows:
+        j = kw.alias("l").join(F.broadcast(topics).alias("r"), _on_pair("l", "r"), "inner")
+    else:
+        j = salted_join(kw, topics, [(L1, L1), (L2, L2)], "inner", salts)
+    return j.select(*[F.col(f"l.{c}").alias(c) for c in kw.columns], *[F.col(f"r.{c}").alias(c) for c in extra])
+
+
 @dataclass
 class PairFrames:
     """The small frames a brand report is computed from."""
@@ -235,6 +257,14 @@ class PairFrames:
     totals: DataFrame
     topics: DataFrame
     copies: DataFrame
+    n_topics: int | None = None
+
+    def rows(self, keywords: DataFrame, tmap: DataFrame | None, label_term: str | None, mode: str) -> DataFrame:
+        """Joined keyword rows (for export): from the written topic rows when
+        materialized, else the plain join and label filter."""
+        if self.n_topics is not None:
+            return rows_from_topics(keywords, self.topics, self.n_topics)
+        return topic_rows(attach_topics(keywords, tmap, L1, L2), label_term, mode)
 
     def topic_volume(self) -> DataFrame:
         return summary_topic_volume(self.totals, self.topics)
@@ -271,7 +301,7 @@ def pair_frames(
 
     summary = write_once(summary, "pair_brand_summary")
     topics = write_once(_label_filter(pair_topics(summary, tmap), label_term, mode), "pair_topics")
-    return PairFrames(summary, pair_totals(summary), topics, pair_copies(topics))
+    return PairFrames(summary, pair_totals(summary), topics, pair_copies(topics), topics.count())
 
 
 def eager_topic_volume(keywords: DataFrame, topics: DataFrame) -> DataFrame:
@@ -349,7 +379,7 @@ def brand_search(
     kw = brand_rows(with_lists(keywords, lists_exact), brand, mode, exact)
     pf = pair_frames(kw, tmap, materialize=materialize)
     return BrandReport(
-        rows=attach_topics(kw, tmap, L1, L2),
+        rows=pf.rows(kw, tmap, None, mode),
         kpis=pf.kpis(dedupe),
         topics=topn.top_n(pf.topic_volume(), TOP_TOPICS, "volume", "topic"),
         brands=None,
@@ -371,7 +401,7 @@ def topic_search(
     kw = with_lists(keywords, lists_exact)
     pf = pair_frames(kw, tmap, topic, mode, materialize=materialize)
     return BrandReport(
-        rows=topic_rows(attach_topics(kw, tmap, L1, L2), topic, mode),
+        rows=pf.rows(kw, tmap, topic, mode),
         kpis=pf.kpis(dedupe),
         topics=None,
         brands=topn.top_n(pf.brand_volume(dedupe), TOP_BRANDS, "volume", "brand"),
@@ -391,7 +421,7 @@ def overview(
     kw = with_lists(keywords, lists_exact)
     pf = pair_frames(kw, tmap, materialize=materialize)
     return BrandReport(
-        rows=attach_topics(kw, tmap, L1, L2),
+        rows=pf.rows(kw, tmap, None, "contains"),
         kpis=pf.kpis(dedupe),
         topics=topn.top_n(pf.topic_volume(), TOP_TOPICS, "volume", "topic"),
         brands=topn.top_n(pf.brand_volume(dedupe), TOP_BRANDS, "volume", "brand"),
