@@ -96,3 +96,35 @@ def test_portable_hash_sample(spark):
     assert 0 < a.count() < 1000
     with pytest.raises(ValueError):
         writers.hash_sample(df, ["k"], 3, 0, hash="crc")
+
+
+def test_parse_dates_with_format(spark):
+    import datetime as dt
+
+    df = spark.createDataFrame([("02/01/2024",), ("bad",)], "date string")
+    got = [r.date for r in readers.parse_dates(df, fmt="dd/MM/yyyy", on_bad="null").collect()]
+    assert got == [dt.datetime(2024, 1, 2), None]
+
+
+def test_csv_failure_modes(spark):
+    path = scratch_path(spark, "malformed")
+    good = spark.createDataFrame([("a", "1"), ("b", "x")], "t string, n string")
+    writers.write_csv(good, path)
+    schema = "t string, n bigint"
+    with pytest.raises(Exception):
+        readers.read_csv(spark, path, schema=schema).collect()
+    kept = readers.read_csv(
+        spark, path, schema="t string, n bigint, _bad string", mode="PERMISSIVE", corrupt_column="_bad"
+    )
+    assert rows(kept.select("t", "n")) == [("a", 1), ("b", None)]
+    assert sum(r._bad is not None for r in kept.collect()) == 1
+    dropped = readers.read_csv(spark, path, schema=schema, mode="DROPMALFORMED")
+    assert rows(dropped) == [("a", 1)]
+
+
+def test_tee_csv(spark):
+    df = spark.createDataFrame([('q"r', 1), (None, 2)], "t string, n bigint")
+    a, b = scratch_path(spark, "tee_csv_a"), scratch_path(spark, "tee_csv_b")
+    assert writers.tee(df, a, b, fmt="csv") == 2
+    schema = "t string, n bigint"
+    assert rows(readers.read_csv(spark, a, schema=schema)) == rows(readers.read_csv(spark, b, schema=schema)) == rows(df)
