@@ -219,3 +219,21 @@ def test_metric_override_to_users_sums_once(spark):
     sums, sort_col = aggregated(df, roles)
     assert sort_col == "raw_users" and sums.columns == ["topic", "raw_users"]
     assert rows(sums) == [("a", 30)]
+
+
+def test_null_label_rows_leave_topic_sums_but_stay_in_brand_sums(spark):
+    from trendlens.plans import brand
+
+    kw = spark.createDataFrame(
+        [("k1", 10, "['A']", None, "q"), ("k2", 5, "['A', 'B']", "X", "y")],
+        "keyword string, volume bigint, brands string, level1 string, level2 string",
+    )
+    m = spark.createDataFrame([("T", "X", "y")], "topic string, category string, sub_category string")
+    for rep in (brand.overview(kw, m), brand.overview(kw, m, materialize=False)):
+        assert rows(rep.topics) == [("T", 5, 1)]
+        assert rows(rep.brands) == [("A", 15), ("B", 5)]
+        k = rep.kpis.first()
+        assert (k.total_keywords, k.unique_topics, k.total_volume, k.unique_brands) == (2, 1, 15, 2)
+    mapped = brand.prepare_keywords(kw, m)
+    assert rows(brand.overview_mapped(mapped).brands) == [("A", 15), ("B", 5)]
+    assert rows(mapped, "keyword", "topic") == [("k1", None), ("k2", "T")]
