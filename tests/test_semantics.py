@@ -237,3 +237,19 @@ def test_null_label_rows_leave_topic_sums_but_stay_in_brand_sums(spark):
     mapped = brand.prepare_keywords(kw, m)
     assert rows(brand.overview_mapped(mapped).brands) == [("A", 15), ("B", 5)]
     assert rows(mapped, "keyword", "topic") == [("k1", None), ("k2", "T")]
+
+
+def test_reports_without_a_map_use_fallback_labels(spark):
+    from trendlens.plans import brand
+
+    kw = spark.createDataFrame(
+        [("k1", 10, "['A']", None, None), ("k2", 5, "['A', 'B']", "X", None), ("k3", 1, "[]", "X", "y")],
+        "keyword string, volume bigint, brands string, level1 string, level2 string",
+    )
+    for materialize in (True, False):
+        rep = brand.brand_report(kw, None, "Brand", None, materialize=materialize)
+        assert rows(rep.rows, "keyword", "topic") == [("k1", "Uncategorized"), ("k2", "X > "), ("k3", "X > y")]
+        assert rows(rep.topics) == [("Uncategorized", 10, 1), ("X > ", 5, 1), ("X > y", 1, 1)]
+        assert rep.kpis.first().total_keywords == 3
+        t = brand.topic_search(kw, None, "x >", materialize=materialize)
+        assert rows(t.keywords, "keyword", "topic") == [("k2", "X > "), ("k3", "X > y")]

@@ -241,7 +241,8 @@ def rows_from_topics(
     ``n_topics`` rows are broadcast under the bound, else every pair is split
     into salted buckets."""
     kw = keywords.drop("topic") if "topic" in keywords.columns else keywords
-    extra = ("topic", "category", "sub_category")
+    # without a map the topic rows carry labels only, as attach_topics(kw, None) does
+    extra = [c for c in ("topic", "category", "sub_category") if c in topics.columns]
     if n_topics <= max_broadcast_rows:
         j = kw.alias("l").join(F.broadcast(topics).alias("r"), _on_pair("l", "r"), "inner")
     else:
