@@ -141,3 +141,15 @@ def test_report_rows_equal_joined_rows(spark):
 
     topics = brand.pair_topics(kw, m)
     assert rows(rows_from_topics(brand.with_lists(kw), topics, 10**9, max_broadcast_rows=0, salts=4).select(*cols)) == rows(mapped)
+
+
+def test_reports_on_empty_selections(spark):
+    kw, m = fx.keywords(spark, SF_SMALL), catalog._map(spark, SF_SMALL)
+    for rep in (brand.brand_search(kw, m, "no such brand"), brand.topic_search(kw, m, "no such topic")):
+        k = rep.kpis.first()
+        assert (k.total_keywords, k.unique_topics, k.total_volume, k.unique_brands) == (0, 0, 0, 0)
+        assert rep.keywords.count() == 0 and rep.rows.count() == 0
+    tr = trending.trending_report(fx.topic_facts(spark, SF_SMALL), level1="no such category")
+    k = tr.kpis.first()
+    assert (k.total_rows, k.unique_topics, k.total_conversations, k.total_users) == (0, 0, 0, 0)
+    assert tr.chart_top.count() == 0 and tr.table_top.count() == 0 and tr.trend.count() == 0
