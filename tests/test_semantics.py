@@ -253,3 +253,11 @@ def test_reports_without_a_map_use_fallback_labels(spark):
         assert rep.kpis.first().total_keywords == 3
         t = brand.topic_search(kw, None, "x >", materialize=materialize)
         assert rows(t.keywords, "keyword", "topic") == [("k2", "X > "), ("k3", "X > y")]
+
+
+def test_text_volume_raises_in_brand_reports(spark):
+    from trendlens.plans import brand
+
+    kw = spark.createDataFrame([("k", "10", "['A']", "X", "y")], "keyword string, volume string, brands string, level1 string, level2 string")
+    with pytest.raises(ValueError):
+        brand.overview(kw, None)

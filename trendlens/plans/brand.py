@@ -138,6 +138,7 @@ def pair_brand_summary(keywords: DataFrame) -> DataFrame:
     The result has one row per (pair, brand): small, and every brand-tab
     aggregate below is derived from it.
     """
+    agg.check_numeric(keywords, "volume")
     ex = keywords.select(
         L1, L2, "keyword", "volume", F.posexplode_outer("brands_list").alias("_pos", "brand")
     )
