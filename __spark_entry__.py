@@ -20,6 +20,18 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from trendlens.plans import catalog  # noqa: E402
 
+try:  # the training-data operators and their pipeline; the rest works without them
+    import corpus_pipeline
+    from trendlens.llm import queries as llm
+except ModuleNotFoundError as e:
+    if not str(e.name).startswith(("corpus_pipeline", "trendlens.llm")):
+        raise
+    corpus_pipeline = llm = None
+except ImportError as e:
+    if e.name != "trendlens.llm":  # an emptied folder
+        raise
+    corpus_pipeline = llm = None
+
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 
@@ -29,7 +41,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(catalog.QUERIES)
+    extra = {} if llm is None else {**llm.QUERIES, "pipeline": corpus_pipeline.run}
+    return {**catalog.QUERIES, **extra}
 
 
 # --- oracle ------------------------------------------------------------------
@@ -177,6 +190,15 @@ FACTS_COLS = ", ".join(catalog.FACT_COLUMNS)
 
 
 def oracle_sql() -> dict[str, str]:
+    if llm is None:
+        return _catalog_sql()
+    extra = dict(llm.ORACLE)
+    if corpus_pipeline.ORACLE_SQL:
+        extra["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**_catalog_sql(), **extra}
+
+
+def _catalog_sql() -> dict[str, str]:
     level_and_dates = f"level1 = '{LEVEL1}' AND date BETWEEN DATE '{D0}' AND DATE '{D1}'"
     return {
         "top_topics_filtered": _ranked_top(level_and_dates),
