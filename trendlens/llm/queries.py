@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from trendlens.llm import exact_dedup, licenses, mixing
+from trendlens.llm import bpe, chat, exact_dedup, licenses, mixing, quality
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_license_scan": licenses.op5_license_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_quality_rules": quality.op9_quality_rules,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
 ORACLE = {
+    "op1_chat_format": chat.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
 }
