@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from trendlens.llm import bpe, chat, exact_dedup, licenses, mixing, quality
+from trendlens.llm import bpe, chat, exact_dedup, licenses, mixing, quality, suffix_array, suffix_tree
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_suffix_array_dedup": suffix_array.op3_suffix_array_dedup,
+    "op4_suffix_tree_dedup": suffix_tree.op4_suffix_tree_dedup,
     "op5_license_scan": licenses.op5_license_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_rules": quality.op9_quality_rules,
