@@ -55,14 +55,9 @@ def exact_dedup(
         *carried,
     ).select("*", F.length("body").alias("body_len"), F.xxhash64(F.substring("body", 1, prefix_chars)).alias("prefix"))
 
-    keys = rows.select("body_len", "prefix")
-    by_length = keys.groupBy("body_len").agg(F.count("*").alias("n")).where("n > 1").select("body_len")
+    # length and prefix hash come from the same read, so that one count refines by both
     by_prefix = (
-        keys.join(by_length, "body_len", "left_semi")
-        .groupBy("body_len", "prefix")
-        .agg(F.count("*").alias("n"))
-        .where("n > 1")
-        .select("body_len", "prefix", F.lit(True).alias("open"))
+        rows.groupBy("body_len", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("body_len", "prefix", F.lit(True).alias("open"))
     )
     full = F.sha2("body", 256)
     hashed = rows.join(by_prefix, ["body_len", "prefix"], "left").select(
