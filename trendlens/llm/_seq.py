@@ -9,7 +9,11 @@ content alone; a final mix spreads it over all bits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
@@ -65,6 +69,22 @@ def byte_values(buf: np.ndarray) -> np.ndarray:
     return _BYTE[buf]
 
 
+def slices(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """The array in pieces of about ``most_bytes`` of text (one text at least),
+    with the place of each: a batch of long texts need not fit many times."""
+    if not len(texts):
+        return
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    piece = (np.cumsum(sizes, dtype=np.int64) - sizes) // most_bytes
+    cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield a, texts.slice(a, b - a)
+
+
+def as_bytes(texts: pa.Array) -> list[bytes]:
+    return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+
+
 class Words:
     """The words of many texts: text number, bounds in ``buf`` and hash of each,
     and ``offsets`` such that text i has words offsets[i] to offsets[i + 1]."""
