@@ -1,8 +1,83 @@
-"""Placeholder until the stages are written."""
+"""From raw documents to encoded training data, stage by stage.
 
-STAGES = []
+Every stage takes ``(spark, docs, sf_dir)``, works on all that its predecessor
+kept, and returns the columns of ``docs``; the last returns the encoding.  Its
+output is written as Parquet and read again as the next stage's input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trendlens.llm import bpe, exact_dedup, jaccard_join, mixing, quality
+from trendlens.sources.writers import materialize
+
+#: Near duplicates: word 5-grams, similarity of 0.8 or more.
+NEAR = jaccard_join.Rule(n=5, percent=80)
+
+
+def _own(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    verdict = _own(docs, "quality_verdict")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.with_quality(docs, labels, verdict).where(F.col(verdict)["kept"]).select(*docs.columns)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
+    return exact_dedup.keep_one(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest id, stays."""
+    drop = _own(docs, "drop_id")
+    groups = jaccard_join.near_duplicates(docs, NEAR)
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(drop)).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(drop)), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document stands in the mix as often as its taken words fill it; the
+    part of a repeat that is left over is rounded up or down by a seeded draw,
+    so that the sources' words stay near their targets."""
+    drop, copies = _own(docs, "mix_id"), _own(docs, "mix_copies")
+    taken = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    draw = mixing.hash_int(F.lit(mixing.SEED), F.lit("draw"), F.col("doc_id")) / F.lit(float(1 << 32))
+    times = F.floor(F.col("taken") / F.col("size") + draw).cast("int")
+    decided = taken.where("size > 0 and taken > 0").select(F.col("doc_id").alias(drop), times.alias(copies)).where(F.col(copies) > 0)
+    joined = docs.join(decided, docs["doc_id"].eqNullSafe(F.col(drop)))
+    return joined.withColumn(drop, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, ids`` and the digests of ids and decoded bytes."""
+    encoded = bpe.encode_documents(docs, bpe.production_tokenizer(spark))
+    return bpe.digests(encoded, "ids")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
+
+#: SQL has no hashed log-likelihood ratio, no components and no BPE; the stages
+#: are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
