@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trendlens.llm import bpe, chat, exact_dedup, jaccard_join, licenses, mixing, quality, suffix_array, suffix_tree
+from trendlens.llm import bpe, chat, exact_dedup, jaccard_join, lattice_lm, licenses, mixing, quality, suffix_array, suffix_tree
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_suffix_tree_dedup": suffix_tree.op4_suffix_tree_dedup,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+    "op7_lattice_lm": lattice_lm.op7_lattice_lm,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_byte_bpe": bpe.op10_byte_bpe,
