@@ -5,16 +5,16 @@ repeated lines, and words in 5-word windows that occur twice or more; a
 document with too few words or too much repetition fails.
 
 The method: word 1-grams and 2-grams are hashed into ``buckets`` cells.  One
-multinomial over the cells is learned from all trusted documents (labelled as
-good), one from all documents; the former is drawn to the latter by
+multinomial over the cells is learned from trusted documents (labelled as good;
+a sample of at most ``TRUSTED_DOCS``), one from all documents; the former is drawn to the latter by
 ``smoothing`` counts a cell, so that words too rare to have met a label speak
 for neither.  A document's score is the mean over its n-grams of
 ln(p_trusted / p_raw); documents below ``threshold`` are rejected.
 The mean is length-normalised, and the threshold is a fixed number, so every
 document is decided alike in any corpus size.
 
-Cost: two reads of the texts and no shuffle of them.  What is shuffled and
-then broadcast are the cell counts: ``buckets`` rows, whatever the input.  The
+Cost: two reads of the texts and no shuffle of them.  What is shuffled are the
+cell counts; what is broadcast are ``buckets`` ratios and the sample's ids.  The
 words of a whole Arrow batch are found, hashed and counted in numpy.
 
 Defined results: null or empty texts have no words, fail the base rules and
@@ -29,11 +29,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from trendlens.llm import _seq
 from trendlens.llm._common import id_and_text, table, text_of
@@ -45,6 +43,8 @@ WINDOW = 5
 BUCKETS = 1 << 16
 SMOOTHING = 5.0
 THRESHOLD = -0.25
+#: The trusted sample is bounded; raw counts cover all documents.
+TRUSTED_DOCS = 50_000
 SCORE = (
     "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,"
     "base_failed:boolean,llr:double,kept:boolean>"
@@ -59,23 +59,24 @@ def _cells(words: _seq.Words, hashes: np.ndarray, buckets: int) -> tuple[np.ndar
     return cells.astype(np.int64), np.concatenate([words.text, words.text[1:][pair] if len(hashes) > 1 else words.text[:0]])
 
 
-def _count_cells(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _count_cells(batches: Iterator[pa.RecordBatch], good_ids: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Cell counts of one task: raw and trusted."""
     raw, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
     for batch in batches:
-        words = _seq.Words(batch["text"].cast(pa.binary()).to_pylist())
-        cells, text = _cells(words, words.hashes(), buckets)
-        raw += np.bincount(cells, minlength=buckets)
-        trusted = batch["trusted"].to_numpy(zero_copy_only=False).astype(bool)
-        good += np.bincount(cells[trusted[text]], minlength=buckets)
+        good_row = np.isin(batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False), good_ids) & batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)
+        for at, texts in _seq.slices(batch["text"]):
+            words = _seq.Words(_seq.as_bytes(texts))
+            cells, text = _cells(words, words.hashes(), buckets)
+            raw += np.bincount(cells, minlength=buckets)
+            good += np.bincount(cells[good_row[at + text]], minlength=buckets)
     some = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], names=["cell", "raw", "good"])
 
 
-def cell_counts(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def cell_counts(docs: DataFrame, good_ids: np.ndarray, buckets: int = BUCKETS) -> DataFrame:
     """``cell, raw, good``: counts over all documents and over the trusted."""
-    marked = docs.join(trusted_ids, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    counted = marked.mapInArrow(lambda it: _count_cells(it, buckets), "cell long, raw long, good long")
+    shared = docs.sparkSession.sparkContext.broadcast(good_ids)
+    counted = docs.mapInArrow(lambda it: _count_cells(it, shared.value, buckets), "cell long, raw long, good long")
     return counted.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
 
 
@@ -114,7 +115,7 @@ def _repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def score_texts(texts: list[bytes], ratios: np.ndarray, threshold: float) -> pd.DataFrame:
+def score_texts(texts: list[bytes], ratios: np.ndarray, threshold: float) -> pa.StructArray:
     words = _seq.Words(texts)
     hashes, n_texts = words.hashes(), len(texts)
     cells, text = _cells(words, hashes, len(ratios))
@@ -125,38 +126,49 @@ def score_texts(texts: list[bytes], ratios: np.ndarray, threshold: float) -> pd.
     points = (words.buf & 0xC0 != 0x80) & ~_seq.IS_SPACE[words.buf]
     symbol = np.isin(words.buf, np.frombuffer(SYMBOLS, np.uint8))
     count = lambda flags: np.add.reduceat(flags.astype(np.int64), starts) if n_texts else np.zeros(0, np.int64)
-    out = pd.DataFrame({"n_words": np.diff(words.offsets), "word_chars": count(points), "n_symbols": count(symbol)})
-    out["n_dup_lines"] = np.fromiter((_repeated_lines(t) for t in texts), np.int64, n_texts)
-    out["n_repeat_words"] = repeated_words(words, hashes)
-    out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
-    out["llr"] = llr
-    out["kept"] = ~out["base_failed"] & (llr >= threshold)
-    return out
+    n_words, n_repeat = np.diff(words.offsets), repeated_words(words, hashes)
+    failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
+    columns = {
+        "n_words": n_words,
+        "word_chars": count(points),
+        "n_symbols": count(symbol),
+        "n_dup_lines": np.fromiter((_repeated_lines(t) for t in texts), np.int64, n_texts),
+        "n_repeat_words": n_repeat,
+        "base_failed": failed,
+        "llr": llr,
+        "kept": ~failed & (llr >= threshold),
+    }
+    return pa.StructArray.from_arrays([pa.array(v) for v in columns.values()], list(columns))
 
 
 def quality_column(text: Column, ratios: np.ndarray, threshold: float = THRESHOLD) -> Column:
     """All figures and the verdict as one struct, of any text column."""
     shared = SparkSession.active().sparkContext.broadcast(ratios)  # 8 bytes for each cell
 
-    @pandas_udf(SCORE)
-    def score(texts: pd.Series) -> pd.DataFrame:
-        return score_texts([t.encode() for t in texts], shared.value, threshold)
+    @F.arrow_udf(SCORE)
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [score_texts(_seq.as_bytes(texts), shared.value, threshold) for _, texts in _seq.slices(batch)]
+            yield pa.concat_arrays(parts) if parts else score_texts([], shared.value, threshold)
 
     return score(text)
 
 
-def trusted(labels: DataFrame) -> DataFrame:
-    """Ids that are labelled as good quality and not toxic, and never otherwise."""
+def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCS) -> np.ndarray:
+    """Ids that are labelled as good quality and not toxic, and never otherwise;
+    of more than ``most``, those of the smallest hashes."""
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     ids = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    return ids.agg(F.min(F.coalesce(good, F.lit(False))).alias("trusted")).where("trusted")
+    ids = ids.agg(F.min(F.coalesce(good, F.lit(False))).alias("trusted")).where("trusted")
+    some = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id").toPandas()
+    return np.sort(some["doc_id"].to_numpy(dtype=np.int64))
 
 
 def with_quality(
     docs: DataFrame, labels: DataFrame, name: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """``docs`` with all their columns and the struct ``name``."""
-    ratios = log_ratios(cell_counts(id_and_text(docs, id_col, text_col), trusted(labels)))
+    ratios = log_ratios(cell_counts(id_and_text(docs, id_col, text_col), trusted_ids(labels)))
     return docs.withColumn(name, quality_column(text_of(text_col), ratios, threshold))
 
 
