@@ -1,14 +1,16 @@
 """Licence scan through a positional rare-token index.
 
-Each licence template is a word sequence with mandatory key phrases.  The
+Each licence template is a word sequence with a mandatory key phrase.  The
 corpus document frequencies of the templates' words (a table bounded by the
-templates' vocabulary) give every word an IDF.  A document is looked up only
-through the ``rare_words`` highest-IDF words of each template: a word found at
-``i`` whose posting in the template is ``o`` proposes the start ``i - o``; the
-other postings are intersected at the same relative positions, and the key
-phrases are verified.  Phrases are looked up by their rarest word and verified
-word for word.  All of it is DataFrame code inside one row: no shuffle but the
-frequency count, whose groups are the templates' words.
+templates' vocabulary) give every word an IDF.  The index holds, for every
+template, the posting of its key phrase's highest-IDF word: a match must contain
+that word, so a lookup by it misses none.  A word found at ``i`` whose posting
+in the template is ``o`` proposes the start ``i - o``; the template's other
+postings are intersected at the same relative positions, and the key phrase is
+verified.  The score is the share of the template's words that stand in place.
+Base phrases are templates that are key phrase throughout.  All of it is
+DataFrame code inside one row: no shuffle but the frequency count, whose groups
+are the templates' words.
 
 Words: A-Z are lower-cased (no other letter), then
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
@@ -36,48 +38,47 @@ PHRASES = {
 }
 
 #: Opening words of public licence texts and notices, with the
-#: key phrases without which a match does not count.
+#: key phrase without which a match does not count.
 TEMPLATES = {
-    "agpl-3": ("licensed under the gnu affero general public license version 3", ("affero general public license version 3",)),
+    "agpl-3": ("licensed under the gnu affero general public license version 3", "affero general public license version 3"),
     "apache-2": (
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
-        ("apache license version 2",),
+        "apache license version 2",
     ),
     "bsd": (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-        ("redistribution and use in source and binary forms",),
+        "redistribution and use in source and binary forms",
     ),
-    "cc-by": ("licensed under the creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
-    "cc-by-nc": ("licensed under cc by nc 4 0", ("cc by nc",)),
-    "cc-by-sa": ("licensed under cc by sa 4 0", ("cc by sa",)),
-    "gpl-2": ("licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
-    "gpl-3": ("this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
+    "cc-by": ("licensed under the creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    "cc-by-nc": ("licensed under cc by nc 4 0", "cc by nc"),
+    "cc-by-sa": ("licensed under cc by sa 4 0", "cc by sa"),
+    "gpl-2": ("licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    "gpl-3": ("this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
     "isc": (
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-        ("for any purpose with or without fee is hereby granted",),
+        "for any purpose with or without fee is hereby granted",
     ),
-    "lgpl-3": ("licensed under the gnu lesser general public license version 3", ("lesser general public license version 3",)),
+    "lgpl-3": ("licensed under the gnu lesser general public license version 3", "lesser general public license version 3"),
     "mit": (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-        ("hereby granted free of charge to any person obtaining a copy",),
+        "hereby granted free of charge to any person obtaining a copy",
     ),
-    "mit-notice": ("released under the mit license", ("the mit license",)),
+    "mit-notice": ("released under the mit license", "the mit license"),
     "mpl-2": (
         "this source code form is subject to the terms of the mozilla public license v 2 0",
-        ("mozilla public license v 2 0",),
+        "mozilla public license v 2 0",
     ),
 }
 
 #: Names of templates that are notices of the licence of another template.
 LABELS = {"mit-notice": "mit"}
-RARE_WORDS = 4
 MIN_SCORE = 0.5
 
 
 def word_array(text: Column) -> Column:
     """Lower-cased words.  The Kelvin sign is the one other character whose
     lower case is an ASCII letter, so it is set aside first."""
-    lowered = F.lower(F.replace(text, F.lit("K"), F.lit("ß")))
+    lowered = F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u00df")))
     return F.array_remove(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
@@ -91,10 +92,9 @@ def word_idf(docs: DataFrame, vocabulary: set[str], text_col: str = "text") -> d
     return {w: math.log((total + 1) / (df.get(w, 0) + 1)) for w in vocabulary}
 
 
-def rarest(words: list[str], idf: Mapping[str, float], n: int) -> list[tuple[str, int]]:
-    """The postings (word, offset) of the ``n`` highest-IDF words."""
-    keep = sorted(set(words), key=lambda w: (-idf[w], w))[:n]
-    return [(w, o) for o, w in enumerate(words) if w in keep]
+def anchor(phrase: list[str], idf: Mapping[str, float]) -> int:
+    """Place of the phrase's highest-IDF word."""
+    return max(range(len(phrase)), key=lambda o: (idf[phrase[o]], phrase[o], -o))
 
 
 def _stands(words: Column, start: Column, phrase: list[str]) -> Column:
@@ -115,21 +115,15 @@ def _phrase_places(words: Column, hits: Column, phrase: list[str], anchor: int,
     )
 
 
-def _best_start(
-    words: Column, hits: Column, label: str, template: list[str], keys: list[list[str]], postings: list[tuple[str, int]]
-) -> Column:
-    """The proposed start at which most postings meet, the first of equals;
-    score 0 where a key phrase is missing."""
-    offsets = [next(o for o in range(len(template)) if template[o : o + len(k)] == k) for k in keys]
+def _best_start(words: Column, hits: Column, label: str, template: list[str], key: list[str], key_at: int, anchor_at: int) -> Column:
+    """The proposed start at which most postings meet, the first of equals."""
 
     def scored(s: Column) -> Column:
-        met = [F.get(words, s + o).eqNullSafe(F.lit(w)).cast("int") for w, o in postings]
-        verified = [_stands(words, s + o, k) for k, o in zip(keys, offsets, strict=True)]
-        share = reduce(lambda a, b: a + b, met) / len(met)
-        score = F.when(reduce(lambda a, b: a & b, verified), share).otherwise(0.0)
+        met = [F.get(words, s + o).eqNullSafe(F.lit(w)).cast("int") for o, w in enumerate(template)]
+        score = reduce(lambda a, b: a + b, met) / len(met)
         return F.struct(score.alias("score"), (-s).cast("long").alias("back"), F.lit(label).alias("label"))
 
-    proposed = F.array_distinct(F.concat(*[_starts(hits, w, o) for w, o in postings]))
+    proposed = F.filter(_starts(hits, key[anchor_at], key_at + anchor_at), lambda s: _stands(words, s + key_at, key))
     return F.array_max(F.transform(proposed, scored))
 
 
@@ -138,8 +132,7 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
     phrases: Mapping[str, str] = PHRASES,
-    templates: Mapping[str, tuple[str, tuple[str, ...]]] = TEMPLATES,
-    rare_words: int = RARE_WORDS,
+    templates: Mapping[str, tuple[str, str]] = TEMPLATES,
     min_score: float = MIN_SCORE,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, places`` (array of label,
@@ -147,13 +140,13 @@ def scan(
     score of the best place of each template at or above ``min_score``)."""
     rows = id_and_text(docs, id_col, text_col)
     split_phrases = {p: p.split(" ") for p in phrases}
-    split_templates = {n: (t.split(" "), [k.split(" ") for k in keys]) for n, (t, keys) in templates.items()}
-    vocabulary = {w for p in split_phrases.values() for w in p} | {w for t, _ in split_templates.values() for w in t}
-    idf = word_idf(rows, vocabulary)
+    split_templates = {n: (t.split(" "), k.split(" ")) for n, (t, k) in templates.items()}
+    idf = word_idf(rows, {w for ws in [*split_phrases.values(), *(t for t, _ in split_templates.values())] for w in ws})
 
-    anchors = {p: max(range(len(ws)), key=lambda o, ws=ws: (idf[ws[o]], ws[o], -o)) for p, ws in split_phrases.items()}
-    postings = {n: rarest(t, idf, rare_words) for n, (t, _) in split_templates.items()}
-    looked_up = sorted({split_phrases[p][o] for p, o in anchors.items()} | {w for ps in postings.values() for w, _ in ps})
+    phrase_at = {p: anchor(ws, idf) for p, ws in split_phrases.items()}
+    key_at = {n: next(o for o in range(len(t)) if t[o : o + len(k)] == k) for n, (t, k) in split_templates.items()}
+    in_key = {n: anchor(k, idf) for n, (_, k) in split_templates.items()}
+    looked_up = sorted({split_phrases[p][o] for p, o in phrase_at.items()} | {split_templates[n][1][o] for n, o in in_key.items()})
 
     rare = F.array(*[F.lit(w) for w in looked_up])
     rows = rows.withColumn("words", word_array(F.col("text")))
@@ -164,8 +157,10 @@ def scan(
     )
 
     words, hits = F.col("words"), F.col("hits")
-    places = [_phrase_places(words, hits, ws, anchors[p], phrases[p]) for p, ws in split_phrases.items()]
-    best = [_best_start(words, hits, LABELS.get(n, n), ws, keys, postings[n]) for n, (ws, keys) in split_templates.items()]
+    places = [_phrase_places(words, hits, ws, phrase_at[p], phrases[p]) for p, ws in split_phrases.items()]
+    best = [
+        _best_start(words, hits, LABELS.get(n, n), t, k, key_at[n], in_key[n]) for n, (t, k) in split_templates.items()
+    ]
     found = F.filter(F.array(*best), lambda b: b.isNotNull() & (b["score"] >= min_score))
     # rows without any looked-up word skip the work
     some = F.size("hits") > 0

@@ -138,12 +138,13 @@ def mix(
         F.col("source").alias("h_source"),
         F.col("shard").alias("h_shard"),
         n.alias("n_blocks"),
-        F.least(F.col("quota"), n * max_repeat).alias("quota"),
+        F.least(F.col("quota") * b, F.col("length") * max_repeat).alias("wanted"),
+        F.col("length"),
         (hash_int(F.lit(seed), F.lit("phase"), F.col("source"), F.col("shard")) % F.greatest(n, F.lit(1))).alias("phase"),
     )
     placed = lines.join(shards, _same([F.col("source"), F.col("shard")], ["h_source", "h_shard"]), "left")
-    placed = placed.withColumn("rounds", F.when(F.col("n_blocks") > 0, F.floor(F.col("quota") / F.col("n_blocks"))).otherwise(0).cast("long"))
-    placed = placed.withColumn("r", F.col("quota") - F.col("rounds") * F.col("n_blocks"))
+    placed = placed.withColumn("rounds", F.when(F.col("length") > 0, F.floor(F.col("wanted") / F.col("length"))).otherwise(0).cast("long"))
+    placed = placed.withColumn("r", F.round((F.col("wanted") - F.col("rounds") * F.col("length")) / b).cast("long"))
 
     # of the first j blocks of a shard's line, so many belong to the choice
     def chosen(j: Column) -> Column:
