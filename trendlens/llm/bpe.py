@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendlens.llm import _seq
 from trendlens.llm._common import id_and_text, table
 
-CACHE_WORDS = 500_000
-CACHE_LONGEST = 64
+CACHE_WORDS = 300_000
 LONG = 64
+DECODE_ROWS = 100
 NO_RANK = np.int64(1 << 60)
 
 
@@ -61,6 +62,12 @@ class Vocabulary:
         self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
 
+    @classmethod
+    def of(cls, state: dict) -> Vocabulary:
+        made = cls.__new__(cls)
+        made.__dict__.update(state)
+        return made
+
     @classmethod
     def read(cls, path: str) -> Vocabulary:
         with open(path, "rb") as lines:
@@ -158,38 +165,60 @@ def word_pattern(pattern: str):
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
-def encode_batches(batches: Iterator[pa.Array], vocabulary: Vocabulary, pattern: str, cache_words: int) -> Iterator[pa.Array]:
-    words_of = word_pattern(pattern).findall
-    cache: dict[str, int] = {}
-    flat, bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
-    for batch in batches:
-        words = [words_of(t) for t in batch.to_pylist()]
-        fresh = list(set(chain.from_iterable(words)).difference(cache))
-        if len(cache) + len(fresh) > cache_words:
-            cache, flat, bounds = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
-            fresh = list(set(chain.from_iterable(words)))
-        ids = vocabulary.encode_words(fresh)
-        cache.update(zip(fresh, range(len(cache), len(cache) + len(fresh)), strict=True))
+class Encoder:
+    """Ids of texts, with a cache of the words met so far."""
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str, cache_words: int = CACHE_WORDS):
+        self.vocabulary, self.cache_words, self.words_of = vocabulary, cache_words, word_pattern(pattern).findall
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self, words: set[str]) -> None:
+        fresh = list(words.difference(self.place))
+        if len(self.place) + len(fresh) > self.cache_words:
+            self.clear()
+            fresh = list(words)
+        ids = self.vocabulary.encode_words(fresh)
+        self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
-        bounds = np.concatenate([bounds, bounds[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
 
+    def encode(self, texts: list[str | None]) -> pa.Array:
+        words = [self.words_of(t or "") for t in texts]
+        self.learn(set(chain.from_iterable(words)))
         per_text = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(cache.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
-        size = bounds[at + 1] - bounds[at]
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
+        size = self.bounds[at + 1] - self.bounds[at]
         ends = np.cumsum(size)
-        source = np.repeat(bounds[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        source = np.repeat(self.bounds[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
         text_end = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
-        yield pa.ListArray.from_arrays(pa.array(text_end.astype(np.int32)), pa.array(flat[source]))
+        return pa.ListArray.from_arrays(pa.array(text_end.astype(np.int32)), pa.array(self.flat[source]))
+
+
+def encode_batches(batches: Iterator[pa.Array], vocabulary: Vocabulary, pattern: str, cache_words: int) -> Iterator[pa.Array]:
+    encoder = Encoder(vocabulary, pattern, cache_words)
+    for batch in batches:
+        parts = [encoder.encode(texts.to_pylist()) for _, texts in _seq.slices(batch)]
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+
+def decode_lists(lists: pa.Array, vocabulary: Vocabulary) -> pa.Array:
+    data, ends = vocabulary.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+    made = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data)])
+    return made.cast(pa.binary())
 
 
 def decode_batches(batches: Iterator[pa.Array], vocabulary: Vocabulary) -> Iterator[pa.Array]:
     for batch in batches:
-        ids = batch.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        data, ends = vocabulary.decode(ids)
-        counts = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        yield pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data)]).cast(pa.binary())
+        step = DECODE_ROWS
+        parts = [decode_lists(batch.slice(a, step), vocabulary) for a in range(0, len(batch), step)]
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
 
 class Tokenizer:
@@ -197,24 +226,25 @@ class Tokenizer:
     pieces and ranks, read once on the driver."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str, cache_words: int = CACHE_WORDS):
-        self._vocabulary = spark.sparkContext.broadcast(Vocabulary.read(path))
+        # plain arrays and dictionaries, so that executors can read them without this package
+        self._state = spark.sparkContext.broadcast(vars(Vocabulary.read(path)))
         self._pattern, self._cache_words = pattern, cache_words
 
     def encode(self, text: Column) -> Column:
-        shared, pattern, cache_words = self._vocabulary, self._pattern, self._cache_words
+        shared, pattern, cache_words = self._state, self._pattern, self._cache_words
 
         @F.arrow_udf("array<int>")
         def bpe_encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            yield from encode_batches(texts, shared.value, pattern, cache_words)
+            yield from encode_batches(texts, Vocabulary.of(shared.value), pattern, cache_words)
 
         return bpe_encode(text)
 
     def decode(self, ids: Column) -> Column:
-        shared = self._vocabulary
+        shared = self._state
 
         @F.arrow_udf("binary")
         def bpe_decode(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            yield from decode_batches(lists, shared.value)
+            yield from decode_batches(lists, Vocabulary.of(shared.value))
 
         return bpe_decode(ids)
 
@@ -231,9 +261,10 @@ def encode_documents(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_i
     return encoded.select("doc_id", "ids", tokenizer.decode(F.col("ids")).alias("decoded"))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
     return encoded.select(
         "doc_id",
+        *more,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
