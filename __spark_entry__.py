@@ -189,6 +189,51 @@ EXPORT_IN = ", ".join(f"'{v}'" for v in catalog.EXPORT_CATEGORIES)
 FACTS_COLS = ", ".join(catalog.FACT_COLUMNS)
 
 
+ORDER_USERS = "raw_users DESC NULLS LAST, topic ASC NULLS LAST"
+
+_SKEWED_MAP = """
+WITH k AS (
+  SELECT concat(p_name, ' ', CAST(p_partkey AS VARCHAR(20))) AS keyword, CAST(p_size * 10 AS BIGINT) AS volume,
+         CASE WHEN p_partkey % 3 = 0 THEN 'HOT' WHEN p_partkey % 23 = 0 THEN NULL ELSE p_type END AS level1,
+         CASE WHEN p_partkey % 3 = 0 OR p_partkey % 10 = 0 THEN NULL ELSE p_brand END AS level2
+  FROM part),
+m AS (
+  SELECT DISTINCT concat(p_name, ' #', CAST(p_partkey AS VARCHAR(20))) AS topic,
+         CASE WHEN p_partkey % 3 = 0 THEN 'HOT' ELSE p_type END AS category,
+         CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS sub_category
+  FROM part),
+p AS (SELECT level1, level2, SUM(volume) AS volume, COUNT(keyword) AS n FROM k GROUP BY level1, level2),
+j AS (
+  SELECT COALESCE(m.topic, p.level1 || ' > ' || COALESCE(p.level2, '')) AS label, p.volume, p.n
+  FROM p LEFT JOIN m ON p.level1 IS NOT DISTINCT FROM m.category AND p.level2 IS NOT DISTINCT FROM m.sub_category)
+SELECT CASE WHEN label = '' THEN 'Uncategorized' ELSE label END AS topic, CAST(SUM(volume) AS BIGINT) AS volume,
+       CAST(SUM(n) AS BIGINT) AS keyword_count
+FROM j WHERE label IS NOT NULL GROUP BY 1 ORDER BY volume DESC, topic LIMIT 15
+"""
+
+_ODD_BRANDS = """
+WITH k AS (
+  SELECT concat(p_name, ' ', CAST(p_partkey AS VARCHAR(20))) AS keyword, CAST(p_size * 10 AS BIGINT) AS volume,
+         CASE p_partkey % 7 WHEN 0 THEN ['A', 'B'] WHEN 1 THEN ['A', 'x'] WHEN 2 THEN ['it''s']
+              WHEN 3 THEN ['1', '2.5', 'True', 'z'] WHEN 4 THEN [] WHEN 5 THEN []
+              ELSE CASE WHEN p_partkey % 13 = 0 OR p_partkey % 11 = 0 THEN []
+                        ELSE [p_brand, concat('Brand#', CAST(p_partkey % 25 + 1 AS VARCHAR(20)))] END
+         END AS brands
+  FROM part)
+SELECT keyword, volume, unnest(brands) AS brand FROM k
+"""
+
+_AWKWARD = """
+SELECT p_partkey AS id,
+       CASE WHEN p_partkey % 5 = 0 THEN '  ' || p_name || ' '
+            WHEN p_partkey % 4 = 0 THEN 'say "' || p_name || '", twice'
+            WHEN p_partkey % 3 = 0 THEN p_name || chr(10) || 'second line'
+            WHEN p_partkey % 7 = 0 THEN NULL ELSE p_name END AS text,
+       CAST(DATE '1995-01-01' + CAST(p_partkey % 60 AS INT) AS TIMESTAMP) AS day
+FROM part
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     if llm is None:
         return _catalog_sql()
@@ -254,7 +299,7 @@ def _catalog_sql() -> dict[str, str]:
         "level2_page1": _with(
             f"v AS ({_distinct('level2')})", select="SELECT level2 FROM v ORDER BY level2 LIMIT 10 OFFSET 10"
         ),
-        "level2_page2": _with(f"v AS ({_distinct('level2')})", select="SELECT level2 FROM v ORDER BY level2 OFFSET 50"),
+        "level2_page2": _with(f"v AS ({_distinct('level2')})", select="SELECT level2 FROM v ORDER BY level2 OFFSET 10"),
         "topic_values_page2": _with(
             f"v AS ({_distinct('topic')})", select="SELECT topic FROM v ORDER BY topic OFFSET 50"
         ),
@@ -340,6 +385,35 @@ def _catalog_sql() -> dict[str, str]:
                 f"DATE '{K0}' AND DATE '{K1}' AND country = '{catalog.COUNTRY}') AS rows_after FROM mapped"
             )
         ),
+        "topic_label_values": _with(select="SELECT DISTINCT topic FROM mapped WHERE topic IS NOT NULL"),
+        "country_values": _with(select="SELECT DISTINCT country FROM keywords WHERE country IS NOT NULL"),
+        "keyword_date_bounds": _with(select="SELECT min(date) AS min_date, max(date) AS max_date FROM keywords"),
+        "skewed_map_topics": _SKEWED_MAP,
+        "odd_brands_exploded": _ODD_BRANDS,
+        "top_topics_by_users": _with(
+            _sums_cte(),
+            select=(
+                f"SELECT CAST(row_number() OVER (ORDER BY {ORDER_USERS}) AS BIGINT) AS rank, topic, "
+                f"raw_users, raw_messages FROM sums ORDER BY {ORDER_USERS} LIMIT 10"
+            ),
+        ),
+        "export_brand_rows_csv": _with(
+            select=f"SELECT {KW_ROWS}, CAST(to_json(brands_list) AS VARCHAR) AS brands_list FROM mapped WHERE {BRAND_HIT}"
+        ),
+        "export_awkward_text": _AWKWARD,
+        "tee_csv": _AWKWARD,
+        "typed_null_tokens": (
+            "SELECT concat(p_name, ' ', CAST(p_partkey AS VARCHAR(20))) AS keyword, "
+            "CASE WHEN p_partkey % 4 = 0 OR p_partkey % 9 = 0 THEN NULL ELSE CAST(p_size * 10 AS BIGINT) END AS volume, "
+            "CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE DATE '1995-01-01' + CAST(p_partkey % 60 AS INT) END AS date FROM part"
+        ),
+        "united_tables": _with(select=f"SELECT {FACTS_COLS} FROM topic_facts"),
+        "rows_written": _with(
+            select=(
+                "SELECT 'parquet' AS sink, COUNT(*) AS rows_written FROM topic_facts UNION ALL "
+                f"SELECT 'csv', COUNT(*) FROM topic_facts WHERE level1 = '{LEVEL1}'"
+            )
+        ),
         "export_categories_csv": _with(
             select=(
                 "SELECT device, country, topic, level1 AS category, level2 AS sub_category, raw_messages, "

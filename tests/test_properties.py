@@ -47,13 +47,6 @@ def test_eager_equals_mapped(spark):
         assert rows(e.keywords) == rows(p.keywords)
 
 
-def test_eager_brand_volume_operator(spark):
-    kw, m = brand.with_lists(fx.keywords(spark, SF_SMALL)), catalog._map(spark, SF_SMALL)
-    mapped = brand.prepare_keywords(kw, m)
-    assert rows(agg.brand_volume_eager(kw, m)) == rows(agg.brand_volume(mapped))
-    assert rows(agg.topic_volume_eager(kw, m)) == rows(agg.topic_volume(mapped))
-
-
 def test_kpis_without_brands(spark):
     kw = brand.with_lists(fx.keywords(spark, SF_SMALL)).filter("brands IS NULL")
     k = keyword_kpis(attach := brand.prepare_keywords(kw, None)).first()
@@ -97,7 +90,7 @@ def test_salted_join_equals_plain(spark):
     plain = attach_topics(kw, m)
     for salts in (1, 7):
         assert rows(attach_topics_salted(kw, m, salts)) == rows(plain)
-    forced = brand.prepare_keywords(kw, m, max_broadcast_rows=0, salts=5).drop("brands_list")
+    forced = brand.prepare_keywords(kw, m, max_broadcast_bytes=0, salts=5).drop("brands_list")
     assert rows(forced) == rows(plain)
     p = forced._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
@@ -140,7 +133,7 @@ def test_report_rows_equal_joined_rows(spark):
     from trendlens.plans.brand import rows_from_topics
 
     topics = brand.pair_topics(kw, m)
-    assert rows(rows_from_topics(brand.with_lists(kw), topics, 10**9, max_broadcast_rows=0, salts=4).select(*cols)) == rows(mapped)
+    assert rows(rows_from_topics(brand.with_lists(kw), topics, 10**9, max_broadcast_bytes=0, salts=4).select(*cols)) == rows(mapped)
 
 
 def test_reports_on_empty_selections(spark):

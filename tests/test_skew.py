@@ -1,10 +1,11 @@
 """Hot keys: one (category, sub_category) pair holding a third of all keyword
 rows, derived from the test tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_ORACLE, rows
-from trendlens.operators.joins import attach_topics, attach_topics_salted
+from trendlens.operators.joins import attach_topics, attach_topics_salted, attach_topics_to_pairs
 from trendlens.plans import catalog
 from trendlens.sources import fixtures as fx
 
@@ -37,7 +38,7 @@ def test_salted_join_spreads_a_hot_pair(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "false")  # show the raw shuffle layout
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         plain = attach_topics(kw, tmap)
-        salted = attach_topics_salted(kw, tmap, salts=8)
+        salted = attach_topics_salted(kw, tmap, salts=8, heavy_rows=100)
         assert _tasks_holding_hot_pair(plain) == 1
         assert _tasks_holding_hot_pair(salted) >= 4
         assert rows(salted) == rows(plain)
@@ -52,5 +53,26 @@ def test_salted_semi_join_for_large_pair_lists(spark):
     kw, m = brand.with_lists(fx.keywords(spark, SF_ORACLE)), catalog._map(spark, SF_ORACLE)
     topics = brand.pair_topics(kw, m).filter(F.col("topic").contains("red"))
     a = brand.eager_top_keywords(kw, topics, semi=True)
-    b = brand.eager_top_keywords(kw, topics, semi=True, max_broadcast_rows=0)
+    b = brand.eager_top_keywords(kw, topics, semi=True, max_broadcast_bytes=-1)
     assert rows(a) == rows(b) and len(rows(a)) == 50
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_hot_map_pair_is_spread(spark, adaptive):
+    """A third of the *map* on one pair: its topic rows come out of several tasks."""
+    pairs = fx.hot_pair(fx.keywords(spark, SF_ORACLE)).select("level1", "level2").distinct()
+    tmap = fx.hot_map(spark, SF_ORACLE)
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    saved["spark.sql.adaptive.coalescePartitions.enabled"] = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        split = attach_topics_to_pairs(pairs, tmap)
+        plain = attach_topics(pairs, tmap)
+        assert _tasks_holding_hot_pair(plain) == 1
+        assert _tasks_holding_hot_pair(split) >= 4
+        assert rows(split, *plain.columns) == rows(plain)
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)

@@ -54,9 +54,8 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _range(start, end):
-    if start and end:
-        return (start, end)
-    return start or end
+    """Inclusive, open at an end that is not given."""
+    return (start, end) if start or end else None
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

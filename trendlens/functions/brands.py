@@ -47,18 +47,16 @@ def literal_list(text: str | None) -> list[str] | None:
         return None
     try:
         value = ast.literal_eval(text)
+        if not isinstance(value, (list, tuple)):
+            return []
+        items = [item for item in value if item is not None]
+        if not all(isinstance(item, (str, int, float, bool)) for item in items):
+            return []
+        out = [item if isinstance(item, str) else str(item) for item in items]
+        for item in out:
+            item.encode()  # a lone surrogate is no text that a column could hold
     except (ValueError, TypeError, SyntaxError, MemoryError, RecursionError):
         return []
-    if not isinstance(value, (list, tuple)):
-        return []
-    out = []
-    for item in value:
-        if item is None:
-            continue
-        if isinstance(item, (str, int, float, bool)):
-            out.append(item if isinstance(item, str) else str(item))
-        else:
-            return []
     return out
 
 

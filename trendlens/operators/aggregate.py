@@ -18,8 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendlens.operators.joins import attach_topics, pair_multiplicity
-
 
 def check_numeric(df: DataFrame, *columns: str) -> None:
     """Raise ``ValueError`` for a metric that is not numeric."""
@@ -72,29 +70,6 @@ def topic_volume(df: DataFrame, topic: str = "topic") -> DataFrame:
     )
 
 
-def topic_volume_eager(
-    keywords: DataFrame,
-    tmap: DataFrame | None,
-    level1: str = "level1",
-    level2: str = "level2",
-) -> DataFrame:
-    """E4 with the aggregate pushed below the fan-out join.
-
-    A keyword's topics depend only on its (level1, level2) pair, so volume and
-    keyword count are summed per pair first; the join then sees one row per
-    pair instead of one per keyword, and the per-topic sum is the same.
-    """
-    pairs = keywords.groupBy(level1, level2).agg(
-        F.sum("volume").alias("volume"), F.count("keyword").alias("keyword_count")
-    )
-    mapped = attach_topics(pairs, tmap, level1, level2)
-    return (
-        mapped.filter(F.col("topic").isNotNull())
-        .groupBy("topic")
-        .agg(total("volume", "volume"), total("keyword_count", "keyword_count"))
-    )
-
-
 def brand_volume(df: DataFrame, brands: str = "brands_list") -> DataFrame:
     """Explode the brand lists and sum volume per brand (E5).
 
@@ -108,39 +83,6 @@ def brand_volume(df: DataFrame, brands: str = "brands_list") -> DataFrame:
     )
 
 
-def brand_volume_eager(
-    keywords: DataFrame,
-    tmap: DataFrame | None,
-    level1: str = "level1",
-    level2: str = "level2",
-    brands: str = "brands_list",
-) -> DataFrame:
-    """E5 over mapped rows, computed without building them.
-
-    Each keyword appears once per topic of its pair (at least once), so its
-    volume counts ``copies`` times: sum per (pair, brand), then weight by the
-    pair's topic count and sum per brand.
-    """
-    per_pair = (
-        keywords.select(level1, level2, F.explode_outer(brands).alias("brand"), "volume")
-        .filter(F.col("brand").isNotNull())
-        .groupBy(level1, level2, "brand")
-        .agg(F.sum("volume").alias("volume"))
-    )
-    if tmap is None:
-        weighted = per_pair.select("brand", "volume")
-    else:
-        mult = pair_multiplicity(tmap)
-        cond = F.col(f"p.{level1}").eqNullSafe(F.col("m.category")) & F.col(f"p.{level2}").eqNullSafe(
-            F.col("m.sub_category")
-        )
-        weighted = per_pair.alias("p").join(mult.alias("m"), cond, "left").select(
-            F.col("p.brand").alias("brand"),
-            (F.col("p.volume") * F.coalesce(F.col("m.copies"), F.lit(1))).alias("volume"),
-        )
-    return weighted.groupBy("brand").agg(total("volume", "volume"))
-
-
 def daily_sums(df: DataFrame, date: str, key: str, metric: str, day_name: str = "date_only") -> DataFrame:
     """``sum(metric)`` per (day, key) over non-null keys; the null day is kept
     as its own group, so topic totals can be derived from this frame too."""
@@ -184,19 +126,28 @@ def trend_kpis(
 
 def dataset_info(
     df: DataFrame,
-    topic: str = "topic",
-    level1: str = "level1",
-    level2: str = "level2",
-    date: str = "date",
+    topic: str | None = "topic",
+    level1: str | None = "level1",
+    level2: str | None = "level2",
+    date: str | None = "date",
 ) -> DataFrame:
-    """Rows, distinct topics / level1 / level2, first and last day."""
-    return df.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        distinct_count(topic).alias("unique_topics"),
-        distinct_count(level1).alias("unique_level1"),
-        distinct_count(level2).alias("unique_level2"),
-        F.min(F.to_date(date)).alias("min_date"),
-        F.max(F.to_date(date)).alias("max_date"),
+    """Rows, distinct topics / level1 / level2, first and last day.
+
+    The rows are first counted per (topic, level1, level2), so the distinct
+    counts expand that frame and not the rows.  An absent role gives a typed
+    null.
+    """
+    keys = {"topic": topic, "level1": level1, "level2": level2}
+    day = F.to_date(F.col(date)) if date else typed_null("date")
+    per_key = df.groupBy(*[F.col(c).alias(f"_{k}") for k, c in keys.items() if c]).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(day).alias("_first"), F.max(day).alias("_last")
+    )
+    distinct = {"unique_topics": "topic", "unique_level1": "level1", "unique_level2": "level2"}
+    return per_key.agg(
+        total("_rows", "total_rows"),
+        *[(distinct_count(f"_{k}") if keys[k] else typed_null()).alias(name) for name, k in distinct.items()],
+        F.min("_first").alias("min_date"),
+        F.max("_last").alias("max_date"),
     )
 
 

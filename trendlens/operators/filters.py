@@ -26,9 +26,12 @@ def _given(value) -> bool:
 
 
 def value_predicate(column: str | None, value) -> Column | None:
-    """``column = value`` compared as text; ``None`` when the filter is off."""
-    if column is None or not _given(value):
+    """``column = value`` compared as text; ``None`` when the filter is off.  A
+    value without a column to compare it with is an error, not "off"."""
+    if not _given(value):
         return None
+    if column is None:
+        raise ValueError(f"cannot filter on {value!r}: the table has no such column")
     return F.col(column).cast("string") == F.lit(str(value))
 
 
@@ -67,29 +70,38 @@ def _as_date(value: DateLike) -> dt.date:
     if isinstance(value, dt.date):
         return value
     if isinstance(value, str):
-        return dt.date.fromisoformat(value[:10])
+        return dt.date.fromisoformat(value)  # the whole text; anything else raises ValueError
     raise ValueError(f"not a date: {value!r}")
 
 
-def normalise_range(date_range) -> tuple[dt.date, dt.date] | None:
-    """``None`` -> no filter; one date -> that day; ``(a, b)`` -> inclusive range."""
+def normalise_range(date_range) -> tuple[dt.date | None, dt.date | None] | None:
+    """``None`` -> no filter; one date -> that day; ``(a, b)`` -> inclusive
+    range, open at an end that is ``None``."""
     if date_range is None:
         return None
     if isinstance(date_range, (dt.date, str)):
         d = _as_date(date_range)
         return d, d
     if isinstance(date_range, Sequence) and len(date_range) == 2:
-        return _as_date(date_range[0]), _as_date(date_range[1])
+        a, b = (None if d is None else _as_date(d) for d in date_range)
+        return None if a is None and b is None else (a, b)
     raise ValueError(f"date_range must be a date or a (start, end) pair, got {date_range!r}")
 
 
 def dates_predicate(column: str | None, date_range) -> Column | None:
-    """Inclusive day range on ``column``; null dates never pass."""
+    """Inclusive day range on ``column``; null dates never pass.  A range
+    without a column is an error."""
     bounds = normalise_range(date_range)
-    if bounds is None or column is None:
+    if bounds is None:
         return None
+    if column is None:
+        raise ValueError("cannot filter by date: the table has no date column")
     start, end = bounds
     day = F.to_date(F.col(column))
+    if start is None:
+        return day <= F.lit(end)
+    if end is None:
+        return day >= F.lit(start)
     if start == end:
         return day == F.lit(start)
     return day.between(F.lit(start), F.lit(end))

@@ -11,16 +11,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trendlens.functions.labels import fallback_label, mapped_label
 from trendlens.operators.filters import MAP_EXCLUDED_TOPIC, drop_value_keep_null
 
-# Rows above which the map is never broadcast, even when asked to "auto".
-DEFAULT_BROADCAST_MAX_ROWS = 500_000
-# Buckets each (category, sub_category) pair is split into when the map is too
-# large to broadcast: a pair holding a third of all keywords still spreads
-# over this many tasks.
+# Estimated bytes above which a frame is never broadcast, even when asked to
+# "auto".
+DEFAULT_BROADCAST_MAX_BYTES = 32 << 20
+# Buckets a heavy (category, sub_category) pair is split into: a pair holding a
+# third of all rows still spreads over this many tasks.
 DEFAULT_SALTS = 32
+# A pair is heavy from this many rows, and never more than 4 x salts of them are.
+HEAVY_ROWS = 10_000
 
 
 def topic_map(
@@ -42,27 +45,17 @@ def topic_map(
     return drop_value_keep_null(m, "topic", MAP_EXCLUDED_TOPIC).distinct()
 
 
-def write_and_count(df: DataFrame) -> tuple[DataFrame, int]:
-    """Write ``df`` under ``spark.checkpoint.dir``, read it back; row count from
-    the Parquet footers."""
+def write_and_measure(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write ``df`` under ``spark.checkpoint.dir``, read it back; the estimated
+    bytes of its rows in memory (16 for each value, plus the texts)."""
     from trendlens.sources.writers import materialize
 
     written = materialize(df, "broadcast_candidate")
-    return written, written.count()
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Write ``df`` once, then broadcast it only if its row count is at most
-    ``max_rows``.
-
-    The frame is written as Parquet under ``spark.checkpoint.dir`` (one job) and
-    read back, so the join does not recompute it, an executor loss cannot lose
-    it, and the row count comes from the Parquet footers without a data scan.
-    Above the bound no hint is given and Spark plans a sort-merge join, with
-    AQE splitting skewed partitions.
-    """
-    written, n = write_and_count(df)
-    return F.broadcast(written) if n <= max_rows else written
+    size = F.lit(16 * len(df.columns))
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+    return written, int(written.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()["b"])
 
 
 def attach_topics(
@@ -75,8 +68,8 @@ def attach_topics(
 
     Output: the keyword columns (any old ``topic`` dropped), then ``topic``,
     ``category``, ``sub_category`` from the map (null when nothing matched).
-    The join strategy is Spark's (size statistics, AQE) unless the map comes
-    from :func:`broadcast_if_small`, which carries a checked broadcast hint.
+    The join strategy is Spark's (size statistics, AQE) unless the map carries
+    a broadcast hint.
     """
     kw = keywords.drop("topic") if "topic" in keywords.columns else keywords
     if tmap is None:
@@ -108,7 +101,7 @@ def salted_join(
     """Null-safe equi-join on ``pairs`` (left column, right column) with every
     key split into ``salts`` buckets.
 
-    Left rows get a salt from a hash of all their columns and their input
+    Left rows get a salt from a hash of their scalar columns and their input
     partition's index (stable when a task is retried); right rows are repeated
     once per salt.  Each left row meets each matching right row exactly once,
     so the result equals the unsalted join, and a key holding a third of the
@@ -117,7 +110,9 @@ def salted_join(
     """
     if salts < 1:
         raise ValueError("salts must be >= 1")
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns], F.spark_partition_id()), F.lit(salts))
+    # maps and the like can't be hashed; scalars tell rows apart well enough
+    scalars = [F.col(f.name) for f in left.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    salt = F.pmod(F.xxhash64(*scalars, F.spark_partition_id()), F.lit(salts))
     l = left.withColumn("_salt", salt.cast("int")).alias("l")
     r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("r")
     cond = F.col("l._salt") == F.col("r._salt")
@@ -126,42 +121,92 @@ def salted_join(
     return l.join(r, cond, how)
 
 
+def heavy_pairs(df: DataFrame, left: str, right: str, salts: int = DEFAULT_SALTS, least: int = HEAVY_ROWS) -> DataFrame:
+    """Pairs with at least ``least`` rows and at least 1 / (4 ``salts``) of all:
+    4 x ``salts`` rows at most, so the result can be broadcast."""
+    counts = df.groupBy(F.col(left).alias("_a"), F.col(right).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.col("_n") * (4 * salts) >= F.col("_all")
+    total = df.agg(F.count(F.lit(1)).alias("t")).scalar()
+    return counts.withColumn("_all", total).filter((F.col("_n") >= least) & share).select("_a", "_b")
+
+
+def _by_weight(df: DataFrame, heavy: DataFrame, left: str, right: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of heavy pairs, and all others."""
+    cond = df[left].eqNullSafe(heavy["_a"]) & df[right].eqNullSafe(heavy["_b"])
+    return df.join(F.broadcast(heavy), cond, "left_semi"), df.join(F.broadcast(heavy), cond, "left_anti")
+
+
 def attach_topics_salted(
     keywords: DataFrame,
     tmap: DataFrame,
     salts: int = DEFAULT_SALTS,
     level1: str = "level1",
     level2: str = "level2",
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """:func:`attach_topics` as a shuffle join that splits every pair.
-
-    Each keyword row gets a salt from a hash of all its columns and its input
-    partition's index (stable when a task is retried; repeated identical rows
-    from different splits spread too); every map row is repeated once per salt.
-    A keyword meets exactly the map rows of its pair, once, so the result equals
-    the plain join, while a hot pair is spread over ``salts`` tasks.  The map
-    grows ``salts`` times: meant for maps too large to broadcast.
+    """:func:`attach_topics` as a shuffle join that splits the heavy pairs.
+
+    Pairs with many keywords are found by a count; only their keywords get a
+    salt, and only their map rows are repeated once per salt.  All other pairs
+    are joined as they are.  A keyword meets exactly the map rows of its pair,
+    once, so the result equals the plain join, while a hot pair is spread over
+    ``salts`` tasks.  Meant for maps too large to broadcast.
     """
+    from trendlens.sources.writers import materialize
+
     kw = keywords.drop("topic") if "topic" in keywords.columns else keywords
+    heavy = materialize(heavy_pairs(kw, level1, level2, salts, heavy_rows), "heavy_pairs")
+    hot, light = _by_weight(kw, heavy, level1, level2)
     m = tmap.select(F.col("topic").alias("_map_topic"), F.col("category"), F.col("sub_category"))
-    joined = salted_join(kw, m, [(level1, "category"), (level2, "sub_category")], "left", salts)
-    return joined.select(
+    hot_map, _ = _by_weight(m, heavy, "category", "sub_category")
+    joined = salted_join(hot, hot_map, [(level1, "category"), (level2, "sub_category")], "left", salts)
+    hot_rows = joined.select(
         *[F.col(f"l.{c}") for c in kw.columns],
         mapped_label(F.col("r._map_topic"), F.col(f"l.{level1}"), F.col(f"l.{level2}")).alias("topic"),
         F.col("r.category"),
         F.col("r.sub_category"),
     )
+    return attach_topics(light, tmap, level1, level2).unionByName(hot_rows)
+
+
+def attach_topics_to_pairs(
+    pairs: DataFrame, tmap: DataFrame, salts: int = DEFAULT_SALTS, level1: str = "level1", level2: str = "level2"
+) -> DataFrame:
+    """:func:`attach_topics` for distinct pairs, with the *map* split.
+
+    Here a hot pair's rows are map rows, the right side of a left join, which
+    Spark keeps whole.  So the map is the salted left side of an inner join,
+    the pairs (few, distinct) are repeated, and the pairs without map rows come
+    from an anti join with the map's distinct pairs.
+    """
+    m = tmap.select(F.col("topic").alias("_map_topic"), F.col("category"), F.col("sub_category"))
+    p = pairs.select(F.col(level1).alias(level1), F.col(level2).alias(level2))
+    on = [("category", level1), ("sub_category", level2)]
+    met = salted_join(m, p, on, "inner", salts).select(
+        F.col(f"r.{level1}"),
+        F.col(f"r.{level2}"),
+        mapped_label(F.col("l._map_topic"), F.col(f"r.{level1}"), F.col(f"r.{level2}")).alias("topic"),
+        F.col("l.category"),
+        F.col("l.sub_category"),
+    )
+    known = m.select("category", "sub_category").distinct().alias("m")
+    cond = F.col(f"p.{level1}").eqNullSafe(F.col("m.category")) & F.col(f"p.{level2}").eqNullSafe(F.col("m.sub_category"))
+    none = F.lit(None).cast("string")
+    unmet = p.alias("p").join(known, cond, "left_anti").select(
+        level1, level2, mapped_label(none, F.col(level1), F.col(level2)).alias("topic"), none.alias("category"), none.alias("sub_category")
+    )
+    return met.unionByName(unmet)
 
 
-def pair_multiplicity(tmap: DataFrame) -> DataFrame:
-    """Topics per (category, sub_category): how many copies D1 makes of a keyword."""
-    return tmap.groupBy("category", "sub_category").agg(F.count(F.lit(1)).alias("copies"))
+# Keys of a top-N that are broadcast at most.
+MAX_BROADCAST_KEYS = 10_000
 
 
-def rows_of_top(facts: DataFrame, top: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` is among the keys of ``top``.
+def rows_of_top(facts: DataFrame, top: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows whose ``key`` is among the keys of ``top`` (D2), a top-``n``.
 
-    ``top`` must be a top-N (bounded by its limit), so broadcasting it is safe;
-    this replaces the dashboard's collected list + ``isin``.
+    Up to ``MAX_BROADCAST_KEYS`` keys are broadcast, beyond that the join is
+    left to Spark.  This replaces the dashboard's collected list + ``isin``.
     """
-    return facts.join(F.broadcast(top.select(key).distinct()), on=key, how="left_semi")
+    keys = top.select(key).distinct()
+    return facts.join(F.broadcast(keys) if n <= MAX_BROADCAST_KEYS else keys, on=key, how="left_semi")

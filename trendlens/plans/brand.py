@@ -12,7 +12,7 @@ those copies:
 * Sums, counts and brand volumes come from one ``posexplode_outer`` pass over
   the keywords grouped by (pair, brand) (``pair_brand_summary``) and are then
   weighted by the pair's number of topic rows.  Reports write that summary
-  and the pair labels once; all their aggregate outputs read only those.
+  and the pair labels once when several outputs are asked for.
 * The top-50 keyword table takes its candidates from the keyword side: every
   keyword gives at least one row, so the best rows come from keywords whose
   (volume, keyword) key is among the best keys; a bounded top-k finds them
@@ -24,9 +24,12 @@ as the reference in tests; exports always write the joined rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trendlens.functions.brands import parse_brands
@@ -36,13 +39,15 @@ from trendlens.operators import filters as flt
 from trendlens.operators import topn
 from trendlens.operators.brands import has_brand, keyword_kpis
 from trendlens.operators.joins import (
-    DEFAULT_BROADCAST_MAX_ROWS,
+    DEFAULT_BROADCAST_MAX_BYTES,
     DEFAULT_SALTS,
+    MAX_BROADCAST_KEYS,
     attach_topics,
     attach_topics_salted,
+    attach_topics_to_pairs,
     salted_join,
     topic_map,
-    write_and_count,
+    write_and_measure,
 )
 from trendlens.sources.readers import parse_dates
 
@@ -73,7 +78,7 @@ def prepare_keywords(
     tmap: DataFrame | None,
     exact: bool = True,
     broadcast: str | None = "auto",
-    max_broadcast_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+    max_broadcast_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
     salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """The joined keyword rows (M8: D1, B5/B6, R1, A7): keyword columns, then
@@ -81,16 +86,17 @@ def prepare_keywords(
 
     Lists are parsed before the join, once per keyword rather than once per
     copy.  ``broadcast='auto'`` writes the map once and broadcasts it when it
-    has at most ``max_broadcast_rows`` rows; a larger map is joined with every
-    pair split into ``salts`` buckets, so no hot pair lands in one task.
+    is estimated at ``max_broadcast_bytes`` or less; a larger map is joined with
+    the heavy pairs split into ``salts`` buckets, so no hot pair lands in one
+    task.
     ``None`` leaves the choice to Spark's size statistics and AQE.
     """
     if broadcast not in ("auto", None):
         raise ValueError("broadcast must be 'auto' or None")
     kw = with_lists(keywords, exact)
     if tmap is not None and broadcast == "auto":
-        written, n = write_and_count(tmap)
-        if n > max_broadcast_rows:
+        written, size = write_and_measure(tmap)
+        if size > max_broadcast_bytes:
             mapped = attach_topics_salted(kw, written, salts, L1, L2)
             rest = [c for c in mapped.columns if c != "brands_list"]
             return mapped.select(*rest, "brands_list")
@@ -102,11 +108,10 @@ def prepare_keywords(
 
 def keyword_filters(kw: DataFrame, date_range=None, country=None) -> DataFrame:
     """Day range and country filters (M9: C4, C6); they touch keyword columns
-    only, so they run before any join."""
+    only, so they run before any join.  A filter on a column that the table
+    lacks is an error."""
     out = flt.by_dates(kw, "date" if "date" in kw.columns else None, date_range)
-    if "country" in kw.columns:
-        out = flt.by_value(out, "country", country)
-    return out
+    return flt.by_value(out, "country" if "country" in kw.columns else None, country)
 
 
 def brand_rows(kw: DataFrame, brand: str | None, mode: str = "contains", exact: bool = False) -> DataFrame:
@@ -160,9 +165,10 @@ def pair_totals(summary: DataFrame) -> DataFrame:
 
 def pair_topics(keywords: DataFrame, tmap: DataFrame | None) -> DataFrame:
     """(level1, level2, topic, category, sub_category): the topic rows each
-    keyword pair receives (map columns null where the map has no such pair)."""
+    keyword pair receives (map columns null where the map has no such pair).
+    A pair that holds much of the map is split over tasks."""
     pairs = keywords.select(L1, L2).distinct()
-    return attach_topics(pairs, tmap, L1, L2)
+    return attach_topics(pairs, None, L1, L2) if tmap is None else attach_topics_to_pairs(pairs, tmap, level1=L1, level2=L2)
 
 
 def _on_pair(left: str, right: str) -> Column:
@@ -232,19 +238,19 @@ def summary_kpis(
 def rows_from_topics(
     keywords: DataFrame,
     topics: DataFrame,
-    n_topics: int,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+    size: int,
+    max_broadcast_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
     salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """The joined keyword rows from the (pair, topic) rows: keyword columns,
     then ``topic``, ``category``, ``sub_category``.  Only the topic rows given
-    are joined (a filtered label set never builds the other copies); the
-    ``n_topics`` rows are broadcast under the bound, else every pair is split
+    are joined (a filtered label set never builds the other copies); topic rows
+    of ``size`` bytes are broadcast under the bound, else every pair is split
     into salted buckets."""
     kw = keywords.drop("topic") if "topic" in keywords.columns else keywords
     # without a map the topic rows carry labels only, as attach_topics(kw, None) does
     extra = [c for c in ("topic", "category", "sub_category") if c in topics.columns]
-    if n_topics <= max_broadcast_rows:
+    if size <= max_broadcast_bytes:
         j = kw.alias("l").join(F.broadcast(topics).alias("r"), _on_pair("l", "r"), "inner")
     else:
         j = salted_join(kw, topics, [(L1, L1), (L2, L2)], "inner", salts)
@@ -256,17 +262,15 @@ class PairFrames:
     """The small frames a brand report is computed from."""
 
     summary: DataFrame
-    totals: DataFrame
     topics: DataFrame
-    copies: DataFrame
-    n_topics: int | None = None
 
-    def rows(self, keywords: DataFrame, tmap: DataFrame | None, label_term: str | None, mode: str) -> DataFrame:
-        """Joined keyword rows (for export): from the written topic rows when
-        materialized, else the plain join and label filter."""
-        if self.n_topics is not None:
-            return rows_from_topics(keywords, self.topics, self.n_topics)
-        return topic_rows(attach_topics(keywords, tmap, L1, L2), label_term, mode)
+    @property
+    def totals(self) -> DataFrame:
+        return pair_totals(self.summary)
+
+    @property
+    def copies(self) -> DataFrame:
+        return pair_copies(self.topics)
 
     def topic_volume(self) -> DataFrame:
         return summary_topic_volume(self.totals, self.topics)
@@ -278,32 +282,54 @@ class PairFrames:
         return summary_kpis(self.summary, self.totals, self.topics, self.copies, dedupe)
 
 
-def pair_frames(
-    keywords: DataFrame,
-    tmap: DataFrame | None,
-    label_term: str | None = None,
-    mode: str = "contains",
-    materialize: bool = False,
-) -> PairFrames:
-    """Summary of the keyword rows, the pairs' topic labels (optionally only
-    those matching ``label_term``) and copy counts.
-
-    ``materialize=True`` writes the summary and the (pair, topic) labels once
-    under ``spark.checkpoint.dir`` (two small jobs at build time); every output
-    of a report then reads those small files instead of scanning the keywords
-    and deriving the map again per output.
+MATERIALIZE = (True, False, "auto")
+
+
+class PairSource:
+    """Where a report's outputs get their small frames from.
+
+    ``materialize=True`` writes the per-(pair, brand) summary and the (pair,
+    topic) labels once under ``spark.checkpoint.dir`` when an output first needs
+    them; ``False`` never writes; ``"auto"`` writes when a second output is
+    asked for, since a single one is cheaper straight from the keywords.
     """
-    summary = pair_brand_summary(keywords)
-    if not materialize:
-        # the pair columns alone: no list parsing on this branch
-        topics = _label_filter(pair_topics(keywords, tmap), label_term, mode)
-        totals = pair_totals(summary)
-        return PairFrames(summary, totals, topics, pair_copies(topics))
-    from trendlens.sources.writers import materialize as write_once
 
-    summary = write_once(summary, "pair_brand_summary")
-    topics = write_once(_label_filter(pair_topics(summary, tmap), label_term, mode), "pair_topics")
-    return PairFrames(summary, pair_totals(summary), topics, pair_copies(topics), topics.count())
+    def __init__(self, keywords: DataFrame, tmap: DataFrame | None, label_term: str | None = None, mode: str = "contains", materialize="auto"):
+        if materialize not in MATERIALIZE:
+            raise ValueError(f"materialize must be one of {MATERIALIZE}")
+        agg.check_numeric(keywords, "volume")
+        self.keywords, self.tmap, self.label_term, self.mode, self.materialize = keywords, tmap, label_term, mode, materialize
+        self._asked = 0
+
+    def _labels(self, pairs_of: DataFrame) -> DataFrame:
+        return _label_filter(pair_topics(pairs_of, self.tmap), self.label_term, self.mode)
+
+    @cached_property
+    def _written(self) -> PairFrames:
+        from trendlens.sources.writers import materialize as write_once
+
+        summary = write_once(pair_brand_summary(self.keywords), "pair_brand_summary")
+        return PairFrames(summary, write_once(self._labels(summary), "pair_topics"))
+
+    def frames(self) -> PairFrames:
+        self._asked += 1
+        if self.materialize is True or (self.materialize == "auto" and self._asked > 1):
+            return self._written
+        return PairFrames(pair_brand_summary(self.keywords), self.topics())
+
+    def topics(self) -> DataFrame:
+        """The (pair, topic) rows alone, which need no summary."""
+        if "_written" in self.__dict__:
+            return self._written.topics
+        return self._labels(self.keywords)
+
+    def rows(self) -> DataFrame:
+        """Joined keyword rows (for export), from the written topic rows unless
+        nothing may be written."""
+        if self.materialize is False:
+            return topic_rows(attach_topics(self.keywords, self.tmap, L1, L2), self.label_term, self.mode)
+        topics, size = write_and_measure(self.topics())
+        return rows_from_topics(self.keywords, topics, size)
 
 
 def eager_topic_volume(keywords: DataFrame, topics: DataFrame) -> DataFrame:
@@ -311,9 +337,13 @@ def eager_topic_volume(keywords: DataFrame, topics: DataFrame) -> DataFrame:
     return summary_topic_volume(pair_totals(pair_brand_summary(keywords)), topics)
 
 
-def eager_brand_volume(keywords: DataFrame, copies: DataFrame) -> DataFrame:
-    """E5 from per-(pair, brand) sums weighted by the pair's copies."""
-    return summary_brand_volume(pair_brand_summary(keywords), copies)
+def first_labels(topics: DataFrame, n: int) -> DataFrame:
+    """The ``n`` first topic rows of each pair, which are all that a top-``n`` of
+    keyword rows can show.  Spark keeps ``n`` per pair and task before the
+    shuffle (a limit below the window), so a pair of very many topics sends
+    few rows to one task."""
+    order = W.partitionBy(L1, L2).orderBy(F.col("topic").asc_nulls_last())
+    return topics.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= n).drop("_place")
 
 
 def eager_top_keywords(
@@ -321,26 +351,27 @@ def eager_top_keywords(
     topics: DataFrame,
     n: int = TOP_KEYWORDS,
     semi: bool = False,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+    max_broadcast_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
 ) -> DataFrame:
     """G4 + F1: the ``n`` best joined rows, built from candidate keywords only.
 
     ``semi=True`` first keeps keywords whose pair has any topic row (needed
     when ``topics`` was filtered); the pair list is written once and broadcast
-    under a row bound, else joined with every pair split into salted buckets.
+    under a bound of bytes, else joined with every pair split into salted
+    buckets.
     """
     cands = keywords
     if semi:
-        pairs, n_pairs = write_and_count(topics.select(L1, L2).distinct())
-        if n_pairs <= max_broadcast_rows:
+        pairs, size = write_and_measure(topics.select(L1, L2).distinct())
+        if size <= max_broadcast_bytes:
             cands = keywords.alias("k").join(F.broadcast(pairs).alias("q"), _on_pair("k", "q"), "left_semi")
         else:
             hit = salted_join(keywords, pairs, [(L1, L1), (L2, L2)], "left_semi", DEFAULT_SALTS)
             cands = hit.select(*[F.col(f"l.{c}").alias(c) for c in keywords.columns])
-    keys = topn.top_n(cands.select("volume", "keyword"), n, "volume", "keyword")
+    keys = topn.top_n(cands.select("volume", "keyword"), n, "volume", "keyword").alias("t")
     on_key = F.col("c.volume").eqNullSafe(F.col("t.volume")) & F.col("c.keyword").eqNullSafe(F.col("t.keyword"))
-    picked = cands.alias("c").join(F.broadcast(keys.alias("t")), on_key, "left_semi")
-    rows = picked.alias("k").join(topics.alias("p"), _on_pair("k", "p"), "inner")
+    picked = cands.alias("c").join(F.broadcast(keys) if n <= MAX_BROADCAST_KEYS else keys, on_key, "left_semi")
+    rows = picked.alias("k").join(first_labels(topics, n).alias("p"), _on_pair("k", "p"), "inner")
     table = rows.select(
         F.col("k.keyword").alias("keyword"),
         F.col("p.topic").alias("topic"),
@@ -353,19 +384,50 @@ def eager_top_keywords(
 # --- reports -------------------------------------------------------------------
 
 
-@dataclass
 class BrandReport:
-    rows: DataFrame
-    kpis: DataFrame
-    topics: DataFrame | None
-    brands: DataFrame | None
-    keywords: DataFrame | None
+    """The frames of a brand view, each built when it is first asked for; a
+    frame that the view does not have is ``None``."""
+
+    def __init__(self, **builders: Callable[[], DataFrame]):
+        self._builders = builders
+
+    def _frame(self, name: str) -> DataFrame | None:
+        build = self._builders.get(name)
+        return None if build is None else build()
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return self._frame("rows")
+
+    @cached_property
+    def kpis(self) -> DataFrame:
+        return self._frame("kpis")
+
+    @cached_property
+    def topics(self) -> DataFrame | None:
+        return self._frame("topics")
+
+    @cached_property
+    def brands(self) -> DataFrame | None:
+        return self._frame("brands")
+
+    @cached_property
+    def keywords(self) -> DataFrame | None:
+        return self._frame("keywords")
 
 
 def _label_filter(topics: DataFrame, term: str | None, mode: str) -> DataFrame:
     return topics if not term else topics.filter(matches("topic", term, mode))
 
 
+def _top_topics(src: PairSource) -> DataFrame:
+    return topn.top_n(src.frames().topic_volume(), TOP_TOPICS, "volume", "topic")
+
+
+def _top_brands(src: PairSource, dedupe: bool) -> DataFrame:
+    return topn.top_n(src.frames().brand_volume(dedupe), TOP_BRANDS, "volume", "brand")
+
+
 def brand_search(
     keywords: DataFrame,
     tmap: DataFrame | None,
@@ -373,19 +435,18 @@ def brand_search(
     mode: str = "contains",
     exact: bool = False,
     lists_exact: bool = True,
-    materialize: bool = True,
+    materialize="auto",
     dedupe: bool = False,
 ) -> BrandReport:
     """Search by brand (M10): KPIs, top-15 topics, top-50 keyword rows.
     ``dedupe=True``: KPIs count each keyword once, not once per topic."""
     kw = brand_rows(with_lists(keywords, lists_exact), brand, mode, exact)
-    pf = pair_frames(kw, tmap, materialize=materialize)
+    src = PairSource(kw, tmap, None, mode, materialize)
     return BrandReport(
-        rows=pf.rows(kw, tmap, None, mode),
-        kpis=pf.kpis(dedupe),
-        topics=topn.top_n(pf.topic_volume(), TOP_TOPICS, "volume", "topic"),
-        brands=None,
-        keywords=eager_top_keywords(kw, pf.topics),
+        rows=src.rows,
+        kpis=lambda: src.frames().kpis(dedupe),
+        topics=lambda: _top_topics(src),
+        keywords=lambda: eager_top_keywords(kw, src.topics()),
     )
 
 
@@ -395,19 +456,18 @@ def topic_search(
     topic: str,
     mode: str = "contains",
     lists_exact: bool = True,
-    materialize: bool = True,
+    materialize="auto",
     dedupe: bool = False,
 ) -> BrandReport:
     """Search by topic label (M11): KPIs, top-15 brands, top-50 keyword rows.
     ``dedupe=True``: KPIs and brand volumes count each matching keyword once."""
     kw = with_lists(keywords, lists_exact)
-    pf = pair_frames(kw, tmap, topic, mode, materialize=materialize)
+    src = PairSource(kw, tmap, topic, mode, materialize)
     return BrandReport(
-        rows=pf.rows(kw, tmap, topic, mode),
-        kpis=pf.kpis(dedupe),
-        topics=None,
-        brands=topn.top_n(pf.brand_volume(dedupe), TOP_BRANDS, "volume", "brand"),
-        keywords=eager_top_keywords(kw, pf.topics, semi=True),
+        rows=src.rows,
+        kpis=lambda: src.frames().kpis(dedupe),
+        brands=lambda: _top_brands(src, dedupe),
+        keywords=lambda: eager_top_keywords(kw, src.topics(), semi=True),
     )
 
 
@@ -415,19 +475,18 @@ def overview(
     keywords: DataFrame,
     tmap: DataFrame | None,
     lists_exact: bool = True,
-    materialize: bool = True,
+    materialize="auto",
     dedupe: bool = False,
 ) -> BrandReport:
     """No search value (M12): KPIs, top-15 topics, top-15 brands.
     ``dedupe=True``: KPIs and brand volumes count each keyword once."""
     kw = with_lists(keywords, lists_exact)
-    pf = pair_frames(kw, tmap, materialize=materialize)
+    src = PairSource(kw, tmap, None, "contains", materialize)
     return BrandReport(
-        rows=pf.rows(kw, tmap, None, "contains"),
-        kpis=pf.kpis(dedupe),
-        topics=topn.top_n(pf.topic_volume(), TOP_TOPICS, "volume", "topic"),
-        brands=topn.top_n(pf.brand_volume(dedupe), TOP_BRANDS, "volume", "brand"),
-        keywords=None,
+        rows=src.rows,
+        kpis=lambda: src.frames().kpis(dedupe),
+        topics=lambda: _top_topics(src),
+        brands=lambda: _top_brands(src, dedupe),
     )
 
 
@@ -439,14 +498,15 @@ def brand_report(
     date_range=None,
     country=None,
     mode: str = "contains",
-    materialize: bool = True,
+    materialize="auto",
     dedupe: bool = False,
 ) -> BrandReport:
     """The brand tab (M9-M12): keyword filters, then the view for the search.
 
-    With ``materialize=True`` (default) the per-(pair, brand) summary is written
-    once, so the KPIs, topic and brand tables come from one pass over the
-    keywords; the keyword table makes one more (bounded top-k) pass.
+    Outputs are built when asked for.  From the second one that needs it, the
+    per-(pair, brand) summary is written once, so the KPIs, topic and brand
+    tables come from one pass over the keywords; the keyword table makes one
+    more (bounded top-k) pass.
     """
     if search_type not in SEARCH_TYPES:
         raise ValueError(f"search_type must be one of {SEARCH_TYPES}")
@@ -458,6 +518,17 @@ def brand_report(
     return topic_search(kw, tmap, search_value, mode, materialize=materialize, dedupe=dedupe)
 
 
+def joined_row_counts(keywords: DataFrame, tmap: DataFrame | None, predicate: Column | None) -> DataFrame:
+    """Joined rows before and after a filter on keyword columns (E11), without
+    joining the rows: keywords per pair, times the pair's topic rows."""
+    after = F.lit(True) if predicate is None else F.coalesce(predicate, F.lit(False))
+    per_pair = keywords.groupBy(L1, L2).agg(F.count(F.lit(1)).alias("n"), F.count_if(after).alias("n_after"))
+    weighted = _weighted(per_pair, pair_copies(pair_topics(keywords, tmap)), ["n", "n_after"])
+    return weighted.agg(
+        agg.total(F.col("n") * F.col("copies"), "rows_before"), agg.total(F.col("n_after") * F.col("copies"), "rows_after")
+    )
+
+
 # --- the same reports over the joined rows ------------------------------------
 
 
@@ -478,13 +549,22 @@ def top_keywords(rows: DataFrame, n: int = TOP_KEYWORDS) -> DataFrame:
 
 def brand_search_mapped(mapped: DataFrame, brand: str, mode: str = "contains", exact: bool = False) -> BrandReport:
     rows = brand_rows(mapped, brand, mode, exact)
-    return BrandReport(rows, keyword_kpis(rows), top_topics_by_volume(rows), None, top_keywords(rows))
+    return BrandReport(
+        rows=lambda: rows, kpis=lambda: keyword_kpis(rows), topics=lambda: top_topics_by_volume(rows), keywords=lambda: top_keywords(rows)
+    )
 
 
 def topic_search_mapped(mapped: DataFrame, topic: str, mode: str = "contains") -> BrandReport:
     rows = topic_rows(mapped, topic, mode)
-    return BrandReport(rows, keyword_kpis(rows), None, top_brands_by_volume(rows), top_keywords(rows))
+    return BrandReport(
+        rows=lambda: rows, kpis=lambda: keyword_kpis(rows), brands=lambda: top_brands_by_volume(rows), keywords=lambda: top_keywords(rows)
+    )
 
 
 def overview_mapped(mapped: DataFrame) -> BrandReport:
-    return BrandReport(mapped, keyword_kpis(mapped), top_topics_by_volume(mapped), top_brands_by_volume(mapped), None)
+    return BrandReport(
+        rows=lambda: mapped,
+        kpis=lambda: keyword_kpis(mapped),
+        topics=lambda: top_topics_by_volume(mapped),
+        brands=lambda: top_brands_by_volume(mapped),
+    )

@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trendlens.functions.nulls import PANDAS_NA_TOKENS, parse_timestamp
 from trendlens.functions.text import day_text, matches, thousands
@@ -23,12 +22,13 @@ from trendlens.operators.brands import distinct_brands, explode_brands, keyword_
 from trendlens.operators.joins import attach_topics
 from trendlens.plans import brand, trending
 from trendlens.plans.export import export_categories
-from trendlens.plans.roles import detect_roles
+from trendlens.plans.roles import detect_roles, override_roles
 from trendlens.session import scratch_path
 from trendlens.streaming import read_rollup, start_rollup_stream
 from trendlens.sources import fixtures as fx
-from trendlens.sources.readers import normalise_nulls, read_csv, read_parquet
-from trendlens.sources.writers import hash_sample, rollup, write_csv, write_parquet, write_partitioned
+from trendlens.sources.readers import normalise_nulls, read_csv, read_parquet, read_table, union
+from trendlens.sources.schemas import EXPORTED_FACTS, KEYWORD_SCHEMA, MAP_SCHEMA, TOPIC_FACTS
+from trendlens.sources.writers import hash_sample, rollup, tee, write_csv, write_parquet, write_partitioned
 
 # Fixed parameters of the registered queries (values present in every test scale).
 LEVEL1 = "STANDARD"
@@ -142,7 +142,7 @@ def level2_page1(spark, d):
 
 
 def level2_page2(spark, d):
-    return topn.after_first(agg.distinct_values(_facts(spark, d), "level2"), "level2", 50)
+    return topn.after_first(agg.distinct_values(_facts(spark, d), "level2"), "level2", 10)
 
 
 def topic_values_page2(spark, d):
@@ -290,26 +290,39 @@ def keywords_filtered(spark, d):
 
 def keyword_filter_counts(spark, d):
     pred = flt.all_of(flt.dates_predicate("date", KEYWORD_DATES), flt.value_predicate("country", COUNTRY))
-    return agg.filter_counts(_prepared(spark, d), pred)
+    return brand.joined_row_counts(_kw(spark, d), _map(spark, d), pred)
 
 
-# --- sources and sinks (A1-A22) -------------------------------------------
+def topic_label_values(spark, d):
+    return agg.distinct_values(brand.pair_topics(_kw(spark, d), _map(spark, d)), "topic")
+
+
+def country_values(spark, d):
+    return agg.distinct_values(_kw(spark, d), "country")
+
+
+def keyword_date_bounds(spark, d):
+    return agg.date_bounds(_kw(spark, d))
+
+
+def skewed_map_topics(spark, d):
+    """Topic volumes where one pair holds a third of the map and of the keywords."""
+    hot = fx.hot_pair(_kw(spark, d))
+    return brand.overview(hot, fx.hot_map(spark, d)).topics
+
 
-FACT_SCHEMA = T.StructType(
-    [
-        T.StructField("device", T.StringType()),
-        T.StructField("country", T.StringType()),
-        T.StructField("topic", T.StringType()),
-        T.StructField("category", T.StringType()),
-        T.StructField("sub_category", T.StringType()),
-        T.StructField("raw_messages", T.LongType()),
-        T.StructField("raw_users", T.LongType()),
-        T.StructField("raw_conversations", T.LongType()),
-        T.StructField("date", T.DateType()),
-    ]
-)
+def odd_brands_exploded(spark, d):
+    return explode_brands(with_brands_list(fx.odd_brand_lists(spark, d)), keep=("keyword", "volume"))
 
 
+def top_topics_by_users(spark, d):
+    facts = _facts(spark, d)
+    roles = override_roles(detect_roles(facts.columns), facts.columns, metric="raw_users")
+    return trending.top_topics(facts, 10, roles=roles)
+
+
+# --- sources and sinks (A1-A22) -------------------------------------------
+
 def _category_dataset(spark, d) -> str:
     """The export jobs' input: a Parquet dataset folder with ``category``."""
     path = scratch_path(spark, "trend_aggregation")
@@ -322,7 +335,7 @@ def export_categories_csv(spark, d):
     src = _category_dataset(spark, d)
     out = scratch_path(spark, "export_csv")
     export_categories(spark, src, EXPORT_CATEGORIES, out, fmt="csv")
-    return read_csv(spark, out, schema=FACT_SCHEMA)
+    return read_csv(spark, out, schema=EXPORTED_FACTS)
 
 
 def export_categories_parquet(spark, d):
@@ -336,10 +349,54 @@ def export_filtered_csv(spark, d):
     report = trending.trending_report(_facts(spark, d), level1=LEVEL1)
     out = scratch_path(spark, "filtered_topics")
     write_csv(report.rows, out)
-    schema = T.StructType(
-        [T.StructField(f.name, f.dataType) for f in report.rows.schema.fields]
-    )
-    return read_csv(spark, out, schema=schema)
+    return read_csv(spark, out, schema=report.rows.schema)
+
+
+def export_brand_rows_csv(spark, d):
+    """The brand tab's rows (M10) as CSV, lists as text."""
+    rows = brand.brand_search(_kw(spark, d), _map(spark, d), BRAND_TERM).rows
+    out = scratch_path(spark, "brand_rows")
+    columns = [*KEYWORD_ROW_COLUMNS, "brands_list"]
+    write_csv(rows.select(*columns), out)
+    return read_csv(spark, out, schema=f"{KEYWORD_SCHEMA}, {MAP_SCHEMA}, brands_list string").select(*columns)
+
+
+def export_awkward_text(spark, d):
+    """Texts with blanks at the edges, quotes and line breaks, through CSV."""
+    out = scratch_path(spark, "awkward")
+    write_csv(fx.awkward_text(spark, d), out)
+    return read_csv(spark, out, schema=fx.AWKWARD_SCHEMA, multiline=True)
+
+
+def tee_csv(spark, d):
+    first, second = scratch_path(spark, "tee_a"), scratch_path(spark, "tee_b")
+    tee(fx.awkward_text(spark, d), first, second, fmt="csv")
+    return read_table(spark, second, file_type="csv", schema=fx.AWKWARD_SCHEMA, multiline=True, date_column=None)
+
+
+def typed_null_tokens(spark, d):
+    """Null tokens in a number and a date column."""
+    out = scratch_path(spark, "typed_tokens") + ".csv"
+    write_csv(fx.typed_tokens(spark, d), out)
+    return read_table(spark, out, schema="keyword string, volume bigint, date date", pandas_na=True)
+
+
+def united_tables(spark, d):
+    """One table from a Parquet folder and a CSV folder (H1)."""
+    facts = _facts(spark, d)
+    pq, csv = scratch_path(spark, "mobile") + ".parquet", scratch_path(spark, "desktop") + ".csv"
+    write_parquet(facts.filter("device = 'mobile'"), pq)
+    write_csv(facts.filter("device = 'desktop'"), csv)
+    both = read_table(spark, [pq, csv], schema=TOPIC_FACTS)
+    return union(both.filter("device = 'desktop'"), both.filter("device = 'mobile'")).select(*FACT_COLUMNS)
+
+
+def rows_written(spark, d):
+    """Observed row counts of two writes."""
+    facts = _facts(spark, d)
+    n = write_parquet(facts, scratch_path(spark, "counted"))
+    m = write_csv(facts.filter(flt.value_predicate("level1", LEVEL1)), scratch_path(spark, "counted_csv"))
+    return spark.createDataFrame([("parquet", n), ("csv", m)], "sink string, rows_written bigint")
 
 
 def _with_tokens(spark, d) -> DataFrame:
@@ -384,19 +441,16 @@ def daily_rollup(spark, d):
 
 
 def streamed_rollup(spark, d):
-    """A20 as a stream: the fact rows land as several files, micro-batches of
-    two files each are pre-aggregated, the partial sums are added up."""
+    """A20 as a stream: the fact rows land as several files, written in parallel;
+    micro-batches of two files each are pre-aggregated, the partial sums are
+    added up."""
     facts = _facts(spark, d)
     src = scratch_path(spark, "landing")
-    facts.repartition(6).write.parquet(src)
+    facts.repartition(F.col("topic"), F.col("date")).write.parquet(src)
     sink, ckpt = scratch_path(spark, "rollup_parts"), scratch_path(spark, "rollup_ckpt")
     q = start_rollup_stream(spark, src, facts.schema, sink, ckpt, files_per_batch=2)
     q.awaitTermination()
-    return read_rollup(spark, sink)
-
-
-def hash_sample_rows(spark, d):
-    return hash_sample(_facts(spark, d), ["topic", "date"], buckets=4, keep=0)
+    return read_rollup(spark, sink, checkpoint=ckpt)
 
 
 def hash_sample_portable(spark, d):
@@ -457,6 +511,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         topic_search_brands_dedupe,
         keywords_filtered,
         keyword_filter_counts,
+        topic_label_values,
+        country_values,
+        keyword_date_bounds,
+        skewed_map_topics,
+        odd_brands_exploded,
+        top_topics_by_users,
+        export_brand_rows_csv,
+        export_awkward_text,
+        tee_csv,
+        typed_null_tokens,
+        united_tables,
+        rows_written,
         export_categories_csv,
         export_categories_parquet,
         export_filtered_csv,
@@ -465,7 +531,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         partitioned_roundtrip,
         daily_rollup,
         streamed_rollup,
-        hash_sample_rows,
         hash_sample_portable,
     )
 }

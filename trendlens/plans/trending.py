@@ -69,16 +69,15 @@ def daily_trend(
     n: int = TOP_N,
     roles: Roles | None = None,
     day_name: str = "date_only",
-    materialize: bool = False,
+    materialize: bool = True,
 ) -> DataFrame:
     """Daily metric of the chart's top-N topics.
 
     Topics are ranked on a (day, topic) aggregate; the top-N set (at most ``n``
-    keys) is broadcast into a semi-join.  Lazily (``materialize=False``)
-    Catalyst pushes that semi-join below the aggregate, so the trend pass
-    aggregates only the top topics' rows but reads the input a second time;
-    ``materialize=True`` writes the (day, topic) aggregate once under
-    ``spark.checkpoint.dir`` and both passes read it.  Missing days are not
+    keys) is broadcast into a semi-join.  The aggregate is written once under
+    ``spark.checkpoint.dir`` and both passes read it; lazily
+    (``materialize=False``) Catalyst pushes the semi-join below the aggregate
+    and reads the input a second time.  Missing days are not
     filled.
     """
     roles = present(roles or detect_roles(df.columns), df.columns)
@@ -92,7 +91,7 @@ def daily_trend(
         base = write_once(base, "daily_sums")
     totals = base.groupBy(topic).agg(agg.total(metric, metric))
     top = topn.top_n(flt.drop_totals(totals, topic), n, metric, topic)
-    trend = rows_of_top(base.filter(F.col(day_name).isNotNull()), top, topic)
+    trend = rows_of_top(base.filter(F.col(day_name).isNotNull()), top, topic, n)
     return trend.select(day_name, topic, F.coalesce(F.col(metric), F.lit(0)).alias(metric)).orderBy(
         day_name, topic
     )
@@ -132,7 +131,10 @@ def caption(level1=None, level2=None, date_range=None) -> str:
     bounds = flt.normalise_range(date_range)
     if bounds is not None:
         a, b = bounds
-        parts.append(f"dates: {a} to {b}" if a != b else f"date: {a}")
+        if a is None or b is None:
+            parts.append(f"dates: from {a}" if b is None else f"dates: to {b}")
+        else:
+            parts.append(f"dates: {a} to {b}" if a != b else f"date: {a}")
     return f" ({', '.join(parts)})" if parts else ""
 
 
@@ -217,7 +219,7 @@ def trending_report(
     if roles.date and roles.conversations:
         metric = roles.conversations
         dated = base.filter(F.col(day_name).isNotNull() & F.col(roles.topic).isNotNull())
-        picked = rows_of_top(dated, chart, roles.topic)
+        picked = rows_of_top(dated, chart, roles.topic, n)
         trend = picked.select(
             day_name, roles.topic, F.coalesce(F.col(metric), F.lit(0)).alias(metric)
         ).orderBy(day_name, roles.topic)

@@ -68,6 +68,13 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/trendlens/{spark.sparkContext.applicationId}"
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete everything this application wrote on its own.  Frames that still
+    read it (reports, sink outputs of the registered queries) end with it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unused path below :func:`scratch_root`."""
     return f"{scratch_root(spark)}/{name}-{os.getpid()}-{next(_counter)}-{os.urandom(4).hex()}"

@@ -105,3 +105,61 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("country"),
         F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") % 60).cast("int")).alias("date"),
     )
+
+
+def hot_pair(kw: DataFrame) -> DataFrame:
+    """Keyword rows with a third of them on the pair (``HOT``, null)."""
+    hot = F.regexp_extract("keyword", r"(\d+)$", 1).cast("bigint") % 3 == 0
+    return kw.withColumn("level1", F.when(hot, F.lit("HOT")).otherwise(F.col("level1"))).withColumn(
+        "level2", F.when(~hot, F.col("level2"))
+    )
+
+
+def hot_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map with one topic for each part, a third of them on (``HOT``, null)."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    hot = _mod("p_partkey", 3)
+    return part.select(
+        F.concat(F.col("p_name"), F.lit(" #"), F.col("p_partkey").cast("string")).alias("topic"),
+        F.when(hot, F.lit("HOT")).otherwise(F.col("p_type")).alias("category"),
+        F.when(~hot, F.col("p_brand")).alias("sub_category"),
+    )
+
+
+# List literals beyond plain lists, by p_partkey % 7.
+ODD_LISTS = ("['A', 'B',]", "('A', 'x')", r"['it\'s']", "[1, 2.5, True, None, 'z']", r"['\ud800',]", "{'a': 1}")
+
+
+def odd_brand_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords whose brand cells hold odd list literals."""
+    kw = keywords(spark, sf_dir).withColumn("_k", F.regexp_extract("keyword", r"(\d+)$", 1).cast("bigint") % 7)
+    cell = F.col("brands")
+    for i, text in enumerate(ODD_LISTS):
+        cell = F.when(F.col("_k") == i, F.lit(text)).otherwise(cell)
+    return kw.withColumn("brands", cell).drop("_k")
+
+
+AWKWARD_SCHEMA = "id bigint, text string, day timestamp_ntz"
+
+
+def awkward_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with edge blanks, quotes, commas and line breaks; pure days."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    name = F.col("p_name")
+    text = (
+        F.when(_mod("p_partkey", 5), F.concat(F.lit("  "), name, F.lit(" ")))
+        .when(_mod("p_partkey", 4), F.concat(F.lit('say "'), name, F.lit('", twice')))
+        .when(_mod("p_partkey", 3), F.concat(name, F.lit("\nsecond line")))
+        .when(_mod("p_partkey", 7), F.lit(None))
+        .otherwise(name)
+    )
+    day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") % 60).cast("int")).cast("timestamp_ntz")
+    return part.select(F.col("p_partkey").alias("id"), text.alias("text"), day.alias("day"))
+
+
+def typed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword, volume and date as text, some cells a null token."""
+    kw = keywords(spark, sf_dir).withColumn("_k", F.regexp_extract("keyword", r"(\d+)$", 1).cast("bigint"))
+    volume = F.when(F.col("_k") % 4 == 0, F.lit("NA")).when(F.col("_k") % 9 == 0, F.lit("null")).otherwise(F.col("volume").cast("string"))
+    day = F.when(F.col("_k") % 6 == 0, F.lit("NaN")).otherwise(F.col("date").cast("string"))
+    return kw.select("keyword", volume.alias("volume"), day.alias("date"))

@@ -9,9 +9,11 @@ result, which is the same as the unchunked read.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendlens.functions.nulls import PANDAS_NA_TOKENS, null_if_token, parse_timestamp
@@ -84,13 +86,58 @@ def read_csv(
     )
     if corrupt_column:
         reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
-    if schema is None:
-        reader = reader.option("inferSchema", "true")
-    else:
-        reader = reader.schema(schema)
-    df = reader.csv(paths)
     tokens = list(PANDAS_NA_TOKENS) if pandas_na else list(null_tokens or ())
-    return normalise_nulls(df, tokens)
+    if not set(tokens) - {""}:  # an empty cell is null in any type
+        reader = reader.option("inferSchema", "true") if schema is None else reader.schema(schema)
+        return normalise_nulls(reader.csv(paths), tokens)
+    if schema is None:
+        return infer_types(normalise_nulls(reader.csv(paths), tokens))
+    # a token is no number and no date: read text, null the tokens, then cast
+    declared = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in declared.fields])
+    return cast_text(normalise_nulls(reader.schema(text).csv(paths), tokens), declared, mode, corrupt_column)
+
+
+def cast_text(df: DataFrame, schema: T.StructType, mode: str = "FAILFAST", corrupt_column: str | None = None) -> DataFrame:
+    """Text columns to ``schema``; a text that does not fit raises, becomes null
+    (``PERMISSIVE``) or drops its row (``DROPMALFORMED``)."""
+    typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    bad = None
+    for f in typed:
+        wrong = F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()
+        bad = wrong if bad is None else bad | wrong
+    if bad is not None and mode.upper() == "DROPMALFORMED":
+        df = df.filter(~bad)
+    out = []
+    for f in schema.fields:
+        c = F.col(f.name)
+        if f in typed:
+            c = c.try_cast(f.dataType)
+            if mode.upper() == "FAILFAST":
+                message = F.concat(F.lit(f"not a {f.dataType.simpleString()} in {f.name}: "), F.col(f.name))
+                fits = F.col(f.name).isNull() | c.isNotNull()
+                c = F.when(fits, c).otherwise(F.raise_error(message).cast(f.dataType))
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+# Types tried for a text column, narrowest first.
+INFERRED_TYPES = ("bigint", "double", "boolean", "date", "timestamp_ntz")
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """Text columns to the first of ``INFERRED_TYPES`` that all their non-null
+    cells fit (one job); a column without such cells stays text."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    checks = [F.count(F.col(c)).alias(f"{i}") for i, c in enumerate(texts)]
+    checks += [F.count(F.col(c).try_cast(t)).alias(f"{i} {t}") for i, c in enumerate(texts) for t in INFERRED_TYPES]
+    if not checks:
+        return df
+    found = df.agg(*checks).first()
+    fits = {
+        c: next((t for t in INFERRED_TYPES if found[f"{i}"] and found[f"{i} {t}"] == found[f"{i}"]), None) for i, c in enumerate(texts)
+    }
+    return df.select(*[F.col(c).cast(fits[c]).alias(c) if fits.get(c) else F.col(c) for c in df.columns])
 
 
 def normalise_nulls(df: DataFrame, tokens: Iterable[str] = ("",), columns: Iterable[str] | None = None) -> DataFrame:
@@ -124,21 +171,40 @@ def read_table(
     on_bad_date: str = "fail",
     use_chunking: bool = False,
     chunk_size: int | None = None,
+    multiline: bool = False,
+    mode: str = "FAILFAST",
+    corrupt_column: str | None = None,
+    date_format: str | None = None,
 ) -> DataFrame:
-    """Load a CSV or Parquet table and coerce its ``date`` column.
+    """Load a CSV or Parquet table, or several of the same columns, and coerce
+    its ``date`` column (A1-A7, H1).
 
-    ``use_chunking`` / ``chunk_size`` are accepted for compatibility; Spark always
-    reads in splits.
+    Each path of a list has its own type, so CSV and Parquet files may be mixed;
+    their frames are united by column name.  ``use_chunking`` / ``chunk_size``
+    are accepted for compatibility; Spark always reads in splits.
     """
-    first = path if isinstance(path, str) else list(path)[0]
-    fmt = detect_format(first, file_type)
-    if fmt == "parquet":
-        df = read_parquet(spark, path, schema)
-    else:
-        df = read_csv(spark, path, schema=schema, null_tokens=null_tokens, pandas_na=pandas_na)
+    by_format: dict[str, list[str]] = {}
+    for p in [path] if isinstance(path, str) else path:
+        by_format.setdefault(detect_format(p, file_type), []).append(p)
+    frames = []
+    for fmt, paths in by_format.items():
+        if fmt == "parquet":
+            frames.append(read_parquet(spark, paths, schema))
+        else:
+            frames.append(
+                read_csv(
+                    spark, paths, schema=schema, null_tokens=null_tokens, pandas_na=pandas_na, multiline=multiline, mode=mode, corrupt_column=corrupt_column
+                )
+            )
     if date_column:
-        df = parse_dates(df, date_column, on_bad=on_bad_date)
-    return df
+        frames = [parse_dates(df, date_column, fmt=date_format, on_bad=on_bad_date) for df in frames]
+    return union(*frames)
+
+
+def union(*frames: DataFrame) -> DataFrame:
+    """All rows of frames with the same column names (H1); a column that one
+    frame lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def cached(df: DataFrame) -> DataFrame:

@@ -34,6 +34,18 @@ def arrays_as_text(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def days_as_text(df: DataFrame) -> DataFrame:
+    """Date-times as text: a pure day as ``yyyy-MM-dd``, else with its time."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            pure = c == F.date_trunc("day", c)
+            c = F.when(pure, F.date_format(c, "yyyy-MM-dd")).otherwise(c.cast("string")).alias(f.name)
+        out.append(c)
+    return df.select(*out)
+
+
 def _prepare(df: DataFrame, single_file: bool, partition_by: Sequence[str] | None) -> DataFrame:
     if single_file and partition_by:
         raise ValueError("single_file and partition_by exclude each other")
@@ -60,10 +72,11 @@ def write_csv(
     partition_by: Sequence[str] | None = None,
     max_records_per_file: int | None = None,
 ) -> int:
-    """CSV with a header, quotes doubled, empty text and null both written as an
-    empty cell, as pandas writes them (A12, A15).  Returns the row count,
-    observed during the write itself (A18), so the plan runs once."""
-    out = _prepare(arrays_as_text(df), single_file, partition_by)
+    """CSV with a header, quotes doubled, blanks kept, empty text and null both
+    written as an empty cell, days without a time, as pandas writes them (A12,
+    A15).  Returns the row count, observed during the write itself (A18), so
+    the plan runs once."""
+    out = _prepare(days_as_text(arrays_as_text(df)), single_file, partition_by)
     obs = Observation("rows_written")
     out = out.observe(obs, F.count(F.lit(1)).alias("rows"))
     (
@@ -72,6 +85,8 @@ def write_csv(
         .option("escape", '"')
         .option("emptyValue", "")
         .option("nullValue", "")
+        .option("ignoreLeadingWhiteSpace", "false")
+        .option("ignoreTrailingWhiteSpace", "false")
         .csv(path)
     )
     return int(obs.get["rows"])
@@ -104,18 +119,18 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", **kw) -> int:
 def tee(df: DataFrame, first: str, second: str, fmt: str = "parquet", **kw) -> int:
     """The same rows at two paths.
 
-    The upstream runs once: the second copy is written from the first one's
-    files, not by recomputing (or caching) the input.
+    The upstream runs once.  A Parquet copy is written from the first one's
+    files; CSV does not hold types, so both CSV copies are written from one
+    Parquet frame below ``spark.checkpoint.dir``.  The observed row counts
+    must agree.
     """
+    if fmt == "csv":
+        df = materialize(df, "tee")
     n = write_table(df, first, fmt, **kw)
-    spark = df.sparkSession
-    if fmt == "parquet":
-        again = spark.read.schema(df.schema).parquet(first)
-    else:
-        again = spark.read.option("header", "true").option("escape", '"').schema(
-            arrays_as_text(df).schema
-        ).csv(first)
-    write_table(again, second, fmt, **kw)
+    again = df if fmt == "csv" else df.sparkSession.read.schema(df.schema).parquet(first)
+    m = write_table(again, second, fmt, **kw)
+    if m != n:
+        raise RuntimeError(f"{n} rows at {first}, {m} at {second}")
     return n
 
 
@@ -140,16 +155,50 @@ def rollup(
     return df.groupBy(*keys).agg(*[total(m, m) for m in metrics])
 
 
+#: Rows a partitioned write puts into one file of a key at most, about.
+ROWS_PER_FILE = 5_000_000
+
+
+def spread_by_key(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_FILE) -> DataFrame:
+    """Rows dealt by key, a key of many rows over several tasks.
+
+    One count per key (a small frame) says into how many parts a key falls; a
+    row's part is a hash of its own columns.  So a key has as many files as its
+    rows need, not one from every task, and a hot key is not one task.
+    """
+    renamed = {k: f"_key{i}" for i, k in enumerate(keys)}
+    parts = df.groupBy(*[F.col(k).alias(v) for k, v in renamed.items()]).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task)).cast("int").alias("_parts")
+    )
+    same = None
+    for k, v in renamed.items():
+        cond = df[k].eqNullSafe(parts[v])
+        same = cond if same is None else same & cond
+    hashed = [F.col(f.name) for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    dealt = df.join(parts, same, "left").withColumn("_part", F.pmod(F.xxhash64(*hashed), F.col("_parts")))
+    return dealt.repartition(*[F.col(k) for k in keys], F.col("_part")).select(*df.columns)
+
+
 def write_partitioned(
     df: DataFrame,
     path: str,
     partition_by: Sequence[str],
     fmt: str = "parquet",
-    max_records_per_file: int | None = 5_000_000,
+    max_records_per_file: int | None = ROWS_PER_FILE,
 ) -> int:
     """Split into smaller files by column values (A19); later reads that filter
-    on ``partition_by`` skip whole folders."""
-    return write_table(df, path, fmt, partition_by=list(partition_by), max_records_per_file=max_records_per_file)
+    on ``partition_by`` skip whole folders.
+
+    A folder name cannot tell an empty text from a null, so an empty text in a
+    key column is an error.
+    """
+    keys = list(partition_by)
+    texts = [f.name for f in df.schema.fields if f.name in keys and isinstance(f.dataType, T.StringType)]
+    for c in texts:
+        message = F.lit(f"empty text in partition column {c}")
+        df = df.withColumn(c, F.when(F.col(c) == "", F.raise_error(message).cast("string")).otherwise(F.col(c)))
+    spread = spread_by_key(df, keys, max_records_per_file or ROWS_PER_FILE)
+    return write_table(spread, path, fmt, partition_by=keys, max_records_per_file=max_records_per_file)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

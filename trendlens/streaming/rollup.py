@@ -12,7 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -60,12 +62,26 @@ def start_rollup_stream(
     return writer.start()
 
 
+def committed_batches(spark: SparkSession, checkpoint: str) -> list[int]:
+    """Numbers of the batches that the query has finished, from its checkpoint."""
+    try:
+        names = spark.read.format("binaryFile").load(f"{checkpoint}/commits").select("path").collect()
+    except AnalysisException:  # no batch yet
+        return []
+    return sorted(int(n) for r in names if (n := r["path"].rsplit("/", 1)[1]).isdigit())
+
+
 def read_rollup(
     spark: SparkSession,
     sink: str,
     keys: Sequence[str] = KEYS,
     metrics: Sequence[str] = METRICS,
+    checkpoint: str | None = None,
 ) -> DataFrame:
-    """Totals per key tuple from the partial sums of all batches."""
+    """Totals per key tuple from the partial sums of all batches; with the
+    query's ``checkpoint``, of the finished ones only, so that a batch that is
+    just being written (again) does not count half."""
     parts = spark.read.parquet(sink)
+    if checkpoint is not None:
+        parts = parts.filter(F.col("batch").isin(committed_batches(spark, checkpoint)))
     return parts.groupBy(*keys).agg(*[total(m, m) for m in metrics])
