@@ -169,3 +169,57 @@ def mix(
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The same mix by ranking every quotient one by one; whole numbers divide by //.
+SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('{SEED}|' || doc_id), 1, 8) AS BIGINT) AS seeded
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS DOUBLE) AS w,
+         CAST(source_size * {MAX_REPEAT} AS DOUBLE) AS cap FROM s),
+f AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY cap / w, source IS NULL, source)),
+g AS (SELECT *, (SELECT arg_min(level, cap / w) FROM f WHERE cap > w * level) AS stand FROM f),
+t AS (
+  SELECT source, source_size, CASE WHEN cap <= w * level THEN cap ELSE w * stand END AS target,
+         CAST(round(sum(source_size) OVER () / {BLOCK_TOKENS}) AS BIGINT) AS seats,
+         CAST(greatest(1, ceil(source_size / {SHARD_TOKENS})) AS BIGINT) AS n_shards FROM g),
+q AS (
+  SELECT source, count(*) AS quota FROM (
+    SELECT source, seats, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source IS NULL, source, k) AS rank
+    FROM (SELECT *, unnest(range(0, CAST(target / {BLOCK_TOKENS} AS BIGINT) + (SELECT count(*) FROM t) + 2)) AS k FROM t WHERE target > 0))
+  WHERE rank <= seats GROUP BY source),
+l AS (
+  SELECT d.*, source_size, target, coalesce(quota, 0) AS source_quota, seeded % n_shards AS shard
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+p AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY seeded, doc_id NULLS LAST, size
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),
+h AS (SELECT source, shard, sum(size) AS length, first(source_quota) AS source_quota, first(source_size) AS source_size FROM l GROUP BY source, shard),
+r AS (
+  SELECT source, shard, count(*) AS quota FROM (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY length / (2 * k + 1) DESC, shard, k) AS rank
+    FROM (SELECT *, unnest(range(0, CAST(source_quota * length / source_size AS BIGINT) + 2 + (SELECT count(*) FROM h))) AS k FROM h WHERE length > 0))
+  WHERE rank <= source_quota GROUP BY source, shard),
+b AS (
+  SELECT h.source, h.shard, h.length, CAST(ceil(h.length / {BLOCK_TOKENS}) AS BIGINT) AS n,
+         least(coalesce(r.quota, 0) * {BLOCK_TOKENS}, h.length * {MAX_REPEAT}) AS wanted,
+         CAST('0x' || substr(md5(concat_ws('|', {SEED}, 'phase', h.source, h.shard)), 1, 8) AS BIGINT) AS phase
+  FROM h LEFT JOIN r ON h.source IS NOT DISTINCT FROM r.source AND h.shard = r.shard),
+c AS (
+  SELECT p.*, b.n, phase % greatest(n, 1) AS phase, CASE WHEN b.length > 0 THEN wanted // b.length ELSE 0 END AS rounds,
+         CASE WHEN b.length > 0 THEN CAST(round((wanted - (wanted // b.length) * b.length) / {BLOCK_TOKENS}) AS BIGINT) ELSE 0 END AS r
+  FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source AND p.shard = b.shard),
+e AS (SELECT *, start AS x0, start + size AS x1, start // {BLOCK_TOKENS} AS j0, (start + size) // {BLOCK_TOKENS} AS j1 FROM c)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN n = 0 THEN 0 ELSE rounds * size
+  + {BLOCK_TOKENS} * ((j1 * r + phase) // n) + (x1 % {BLOCK_TOKENS}) * (((j1 + 1) * r + phase) // n - (j1 * r + phase) // n)
+  - {BLOCK_TOKENS} * ((j0 * r + phase) // n) - (x0 % {BLOCK_TOKENS}) * (((j0 + 1) * r + phase) // n - (j0 * r + phase) // n)
+  END AS BIGINT) AS taken
+FROM e
+"""
