@@ -5,13 +5,15 @@ Each query runs to completion through the ``noop`` sink (every row is
 produced, nothing is collected to the driver).  An untimed warm-up pass runs
 every query once on the smallest test tables ($BENCH_WARMUP_DIR, default the
 sibling ``sf0.001`` folder; ``none`` to skip), so the timed pass measures a
-warm JVM, as in a long-running service, not class loading and JIT.
+warm JVM, as in a long-running service, not class loading and JIT.  With
+$BENCH_RUNS above 1 the median of the runs counts.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -46,13 +48,12 @@ def main() -> None:
     for name, fn in QUERIES.items():
         if only and name not in only:
             continue
-        best = None
+        taken = []
         for _ in range(runs):
             t0 = time.perf_counter()
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            dt = time.perf_counter() - t0
-            best = dt if best is None else min(best, dt)
-        times[name] = round(best, 3)
+            taken.append(time.perf_counter() - t0)
+        times[name] = round(statistics.median(taken), 3)
 
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(
