@@ -56,6 +56,8 @@ def smaller_id(ranks: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def repeated_ranks(ranks: np.ndarray) -> np.ndarray:
     """Positions whose rank is not unique."""
+    if not len(ranks):
+        return np.zeros(0, np.int64)
     order = np.argsort(ranks)
     same = np.r_[False, ranks[order][1:] == ranks[order][:-1]]
     return np.sort(order[same | np.r_[same[1:], False]])
@@ -120,3 +122,19 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: Bytes as pairs of hexadecimal digits.
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS string FROM (SELECT *, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+m AS (SELECT string, min(doc_id) AS first FROM k GROUP BY string),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM k JOIN m USING (string) WHERE first < doc_id),
+s AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS DISTINCT FROM j - 1) AS n_spans
+      FROM (SELECT *, lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS before FROM c) GROUP BY doc_id),
+x AS (SELECT doc_id, j, substr(h, 2 * j + 1, 2) AS byte FROM (SELECT *, unnest(range(0, length(h) // 2)) AS j FROM d)),
+r AS (SELECT x.doc_id, string_agg(byte, '' ORDER BY x.j) AS kept FROM x ANTI JOIN c ON c.doc_id = x.doc_id AND c.j = x.j GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN r USING (doc_id)
+"""

@@ -50,15 +50,14 @@ def word_symbols(texts: list[bytes]) -> Symbols:
 def resolve_words(buf: np.ndarray, bounds: np.ndarray, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     edge = np.flatnonzero(buf == 32)  # a space ends each word
     begin = np.r_[0, edge[:-1] + 1] if len(edge) else edge
-    word = np.zeros(0, np.uint64)
     step = 1 << 20
-    parts = []
+    parts = [np.zeros(0, np.uint64)]
     for a in range(0, len(edge), step):
         b = min(a + step, len(edge))
         low = begin[a]
         sums = _seq.prefix_sums(_seq.byte_values(buf[low : edge[b - 1] + 1]))
         parts.append(_seq.range_hash(sums, begin[a:b] - low, edge[a:b] - low))
-    word = np.concatenate([word, *parts])
+    word = np.concatenate(parts)
     first_word = np.searchsorted(edge, bounds[0])  # of each run
     suffix, owner = _ranges(first_word, windows), np.repeat(ids, windows)
     out = np.zeros(len(suffix), bool)
@@ -104,3 +103,17 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
 def op4_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeated_passages(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS passage FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d)),
+m AS (SELECT passage, min(doc_id) AS first FROM k GROUP BY passage),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM k JOIN m USING (passage) WHERE first < doc_id),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, count(c.j) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY x.j) FILTER (WHERE c.j IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN c ON c.doc_id = x.doc_id AND c.j = x.j
+GROUP BY d.doc_id, len(w)
+"""
