@@ -233,6 +233,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 1
 
 
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """Frequent words, ``most`` at most: all those above a level of counts.  The
+    levels (a few hundred) are counted first, so nothing is sorted as a whole."""
+    short = words.where(F.octet_length("word") <= HEAD_LONGEST).withColumn("level", F.floor(F.log2(F.col("count") + 1) * 16))
+    lowest, room = None, most
+    for r in sorted(short.groupBy("level").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        room -= r["n"]
+        if room < 0:
+            break
+        lowest = r["level"]
+    return short.where(F.lit(False) if lowest is None else F.col("level") >= lowest)
+
+
 def score_documents(
     docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS
 ) -> DataFrame:
@@ -247,9 +260,8 @@ def score_documents(
     pieces = train_pieces(counts, n_ends, model_path)
     words = materialize(with_marginals(counts, pieces), "marginals")
 
-    top = words.where(F.octet_length("word") <= HEAD_LONGEST).orderBy(F.desc("count"), "hash").limit(head_words).toPandas().sort_values("hash")
-    order = np.argsort(top["hash"].to_numpy(np.int64).view(np.uint64))
-    top = top.iloc[order]
+    top = frequent(words, head_words).toPandas()
+    top = top.iloc[np.argsort(top["hash"].to_numpy(np.int64).view(np.uint64))]
     count = top["count"].to_numpy(np.int64)
     head = (top["hash"].to_numpy(np.int64).view(np.uint64), (count > 0).astype(np.float64), np.log10((count + 0.5) / unit), top["marginal"].to_numpy(np.float64))
 
