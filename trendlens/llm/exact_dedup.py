@@ -19,12 +19,12 @@ verdict.  Empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trendlens.llm._common import SPACE_CLASS, table, text_of
+from trendlens.sources.writers import materialize
 
 PREFIX_CHARS = 64
 
@@ -39,20 +39,17 @@ def exact_dedup(
     text_col: str = "text",
     prefix_chars: int = PREFIX_CHARS,
     hash_all: bool = False,
-    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept,
-    text_sha256`` and the columns of ``carry`` inside a struct ``carried``.
+    text_sha256``.
 
     ``text_sha256`` is null for rows that were settled before their full
     content was hashed, unless ``hash_all``.
     """
-    carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.length(text_of(text_col)).alias("n_points"),
         normalised(text_col).alias("body"),
-        *carried,
     ).select("*", F.length("body").alias("body_len"), F.xxhash64(F.substring("body", 1, prefix_chars)).alias("prefix"))
 
     # length and prefix hash come from the same read, so that one count refines by both
@@ -66,8 +63,8 @@ def exact_dedup(
         "body_len",
         F.coalesce("open", F.lit(False)).alias("open"),
         (full if hash_all else F.when(F.col("open"), full)).alias("text_sha256"),
-        *["carried"] * bool(carry),
     )
+    hashed = materialize(hashed, "hashed")  # no texts; read twice below
     groups = (
         hashed.where("open")
         .groupBy("body_len", "text_sha256")
@@ -92,17 +89,34 @@ def exact_dedup(
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("doc_id").eqNullSafe(F.col("best_id")) & (-F.col("n_points") == F.col("best_p")))).alias("kept"),
         "text_sha256",
-        *["carried"] * bool(carry),
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that
-    repeat id and text, one."""
-    marked = exact_dedup(docs, id_col, text_col, carry=docs.columns).where("kept")
-    one = marked.where("group_size = 1").select("carried.*")
-    many = marked.where("group_size > 1").dropDuplicates(["doc_id", "text_sha256"]).select("carried.*")
-    return one.unionByName(many)
+    repeat id and text, one.
+
+    The verdicts hold no text.  The texts are dealt once, by id and full hash,
+    which serves both the join with the dropped rows and the choice among
+    repeated ones.
+    """
+    key, place = _own(docs, "_key"), _own(docs, "_place")
+
+    def keyed(doc_id: Column, sha: Column) -> Column:
+        return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), sha)
+
+    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(keyed(F.col("doc_id"), F.col("text_sha256")).alias(key)).distinct()
+    rows = docs.withColumn(key, keyed(F.col(id_col).cast("long"), F.sha2(normalised(text_col), 256)))
+    same = W.partitionBy(key).orderBy(F.lit(0))
+    stay = rows.join(gone, key, "left_anti").withColumn(place, F.row_number().over(same))
+    return stay.where(F.col(place) == 1).select(*docs.columns)
+
+
+def _own(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
