@@ -19,8 +19,8 @@ text falls into runs of windows, one run for each anchor.
 
 Every exchange is a Spark shuffle of packed binary rows.  Skew: within a block
 equal runs are sent once, so a passage of a third of all documents costs one
-row for each block; an anchor of very many blocks (``hot_blocks``) is dealt by
-the windows' own hashes instead, so that it falls into many groups.  Buckets
+row for each block; an anchor of very many different runs (``hot_runs``) is dealt
+by the windows' own hashes instead, so that it falls into many groups.  Buckets
 grow in number with the blocks, not in size.
 
 Names are 64-bit hashes; round 1 uses 48 bits of them, where a collision only
@@ -41,9 +41,14 @@ from pyspark.sql import functions as F
 from trendlens.llm import _seq
 from trendlens.sources.writers import materialize
 
-BLOCK_BYTES = 4 << 20
-BLOCKS_PER_BUCKET = 4
-HOT_BLOCKS = 64
+BLOCK_BYTES = 1 << 20
+BLOCKS_PER_BUCKET = 8
+#: A bucket's runs are ranked in so many slices, so that the windows of one
+#: slice only are in memory.
+SLICES = 32
+#: An anchor whose runs of distinct content number more than this, counted block
+#: by block, is dealt by its windows; so the runs of one anchor fit one slice.
+HOT_RUNS = 50_000
 LAST_ID = np.iinfo(np.int64).max  # a null id comes after all others
 U = np.uint64
 
@@ -158,7 +163,7 @@ class Runs:
         return Runs(self.start[at], self.size[at], self.anchor[at], self.doc[at])
 
 
-def anchor_runs(s: Symbols, kind: Kind, chunk: int = 1 << 18) -> Runs:
+def anchor_runs(s: Symbols, kind: Kind, chunk: int = 1 << 16) -> Runs:
     n, width = len(s.values), kind.width
     ends = np.repeat(s.offsets[1:], np.diff(s.offsets))
     starts, sizes, anchors = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -170,7 +175,9 @@ def anchor_runs(s: Symbols, kind: Kind, chunk: int = 1 << 18) -> Runs:
         counted = np.r_[0, np.cumsum(inside)]
         starts.append(first + at)
         sizes.append(np.diff(np.r_[counted[first], counted[-1]]))
-        anchors.append(grams[chosen[first]])
+        # anchors are the smallest hashes of their windows: mixed anew, so that
+        # ranges of the name hold equal shares
+        anchors.append(_seq.mix(grams[chosen[first]] + U(0xA0761D6478BD642F)))
     start = np.concatenate(starts)
     doc = np.searchsorted(s.offsets, start, side="right") - 1
     return Runs(start, np.concatenate(sizes), np.concatenate(anchors), doc)
@@ -202,41 +209,54 @@ def _unpack_names(data: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _names(runs: Runs, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _contents(s: Symbols, kind: Kind, runs: Runs) -> np.ndarray:
+    """Hash of each run's content."""
+    return _seq.range_hash(_seq.prefix_sums(s.values), runs.start, runs.start + runs.size + kind.width - 1)
+
+
+def _names(runs: Runs, content: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct names, sorted; for every run the place of its name; for each
-    name whether documents of different ids hold it."""
+    name whether documents of different ids hold it, and how many contents."""
     short = runs.anchor & _NAME_BITS
-    order = np.argsort(short, kind="stable")
+    order = np.lexsort((content, short))
     first = _groups(short[order])
-    ids = block.order[runs.doc[order]]
-    differ = np.r_[False, ids[1:] != ids[:-1]]
-    differ[first] = False
+    ids, content = block.order[runs.doc[order]], content[order]
+    differ, fresh = np.r_[False, ids[1:] != ids[:-1]], np.r_[True, content[1:] != content[:-1]]
+    differ[first], fresh[first] = False, True
     several = np.add.reduceat(differ, first) > 0 if len(first) else np.zeros(0, bool)
+    contents = np.add.reduceat(fresh.astype(np.uint32), first) if len(first) else np.zeros(0, np.uint32)
     place = np.empty(len(short), np.int64)
     place[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(short)]))
-    return short[order][first], place, several
+    return short[order][first], place, several, contents.astype(np.uint32)
+
+
+_NAME_FIELDS = {"bucket": pa.int64(), "block": pa.int64(), "names": pa.binary(), "several": pa.binary(), "contents": pa.binary()}
 
 
 def _send_names(batches: Iterator[pa.RecordBatch], kind: Kind, n_buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for number, block in _blocks_of(batch):
-            names, _, several = _names(anchor_runs(kind.symbols(block.texts), kind), block)
+            s = kind.symbols(block.texts)
+            runs = anchor_runs(s, kind)
+            names, _, several, contents = _names(runs, _contents(s, kind, runs), block)
             bucket = _bucket(names, n_buckets)
             first = _groups(bucket)
             rows = [
-                (int(bucket[a]), number, _pack_names(names[a:b]), np.packbits(several[a:b]).tobytes())
+                (int(bucket[a]), number, _pack_names(names[a:b]), np.packbits(several[a:b]).tobytes(), _zip(contents[a:b].tobytes()))
                 for a, b in zip(first.tolist(), [*first[1:].tolist(), len(names)], strict=True)
             ]
-            yield _batch(rows, ["bucket", "block", "names", "several"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+            yield _batch(rows, list(_NAME_FIELDS), list(_NAME_FIELDS.values()))
 
 
-def _judge_names(table: pa.Table, hot_blocks: int) -> pa.Table:
-    """0: one document only, 1: repeated, 2: repeated in very many blocks."""
+def _judge_names(table: pa.Table, hot_runs: int) -> pa.Table:
+    """0: one document only, 1: repeated, 2: repeated, in very many runs."""
     parts = [_unpack_names(x) for x in table["names"].to_pylist()]
     several = [np.unpackbits(_ints(x, np.uint8), count=len(p)) for x, p in zip(table["several"].to_pylist(), parts, strict=True)]
+    contents = np.concatenate([_ints(_unzip(x), np.uint32) for x in table["contents"].to_pylist()])
     _, place, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     more = np.bincount(place, weights=np.concatenate(several), minlength=len(n)) > 0
-    verdict = np.where(n > hot_blocks, 2, (n > 1) | more).astype(np.uint8)[place]
+    hot = np.bincount(place, weights=contents, minlength=len(n)) > hot_runs
+    verdict = np.where((n > 1) | more, 1 + hot, 0).astype(np.uint8)[place]
     cuts = np.cumsum([0, *map(len, parts)])
     answers = [verdict[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return pa.table({"block": table["block"], "round": pa.array([1] * len(parts), pa.int32()), "bucket": table["bucket"], "answer": pa.array(answers, pa.binary())})
@@ -253,18 +273,18 @@ class Sent:
     runs: Runs
     leader: np.ndarray  # for each run, the place of its leader in ``lead``
     lead: np.ndarray
-    bucket: np.ndarray
+    slice: np.ndarray  # of each leader: bucket * SLICES + slice in the bucket
 
 
 def _remaining(s: Symbols, kind: Kind, block: Block, verdicts: np.ndarray, n_buckets: int) -> Sent:
     runs = anchor_runs(s, kind)
-    _, place, _ = _names(runs, block)
+    _, place, _, _ = _names(runs, _contents(s, kind, runs), block)
     verdict = verdicts[place]
     plain, hot = runs.take(verdict == 1), runs.take(verdict == 2)
     # the windows of a hot anchor go their own ways
     each = Runs(_ranges(hot.start, hot.size), np.ones(int(hot.size.sum()), np.int64), np.repeat(hot.anchor, hot.size), np.repeat(hot.doc, hot.size))
     runs = Runs(*(np.concatenate([getattr(plain, f), getattr(each, f)]) for f in ("start", "size", "anchor", "doc")))
-    content = _seq.range_hash(_seq.prefix_sums(s.values), runs.start, runs.start + runs.size + kind.width - 1)
+    content = _contents(s, kind, runs)
     key = np.where(np.arange(len(content)) < len(plain.start), runs.anchor, content)
     ids = block.order[runs.doc]
     order = np.lexsort((ids, content, key))
@@ -272,7 +292,7 @@ def _remaining(s: Symbols, kind: Kind, block: Block, verdicts: np.ndarray, n_buc
     leader = np.empty(len(order), np.int64)
     leader[order] = np.cumsum(mark) - 1
     lead = order[mark]  # sorted by key, so by bucket
-    return Sent(runs, leader, lead, _bucket(key[lead], n_buckets))
+    return Sent(runs, leader, lead, _bucket(key[lead], n_buckets * SLICES))
 
 
 def _verdicts(answers: pa.Table, round_: int, kind) -> np.ndarray:
@@ -280,7 +300,7 @@ def _verdicts(answers: pa.Table, round_: int, kind) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(_ints(a, kind) for _, a in rows)])
 
 
-_RUN_FIELDS = {"bucket": pa.int64(), "block": pa.int64(), "content": pa.binary(), "length": pa.binary(), "windows": pa.binary(), "ids": pa.binary()}
+_RUN_FIELDS = {"bucket": pa.int64(), "block": pa.int64(), "content": pa.binary(), "length": pa.binary(), "windows": pa.binary(), "ids": pa.binary(), "slices": pa.binary()}
 
 
 def _send_runs(left: pa.Table, answers: pa.Table, kind: Kind, n_buckets: int) -> pa.Table:
@@ -291,28 +311,42 @@ def _send_runs(left: pa.Table, answers: pa.Table, kind: Kind, n_buckets: int) ->
         lead = sent.runs.take(sent.lead)
         begin, end = s.byte_start[lead.start], s.byte_end[lead.start + lead.size + kind.width - 2]
         ids = block.order[lead.doc]
-        first = _groups(sent.bucket)
+        bucket = sent.slice // SLICES
+        first = _groups(bucket)
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(lead.start)], strict=True):
             size = end[a:b] - begin[a:b]
             content = s.buf[_ranges(begin[a:b], size)].tobytes()
-            rows.append((int(sent.bucket[a]), number, _zip(content), size.astype(np.int32).tobytes(), lead.size[a:b].astype(np.uint8).tobytes(), ids[a:b].tobytes()))
+            counts = np.bincount(sent.slice[a:b] % SLICES, minlength=SLICES).astype(np.int32)
+            arrays = (size.astype(np.int32), lead.size[a:b].astype(np.uint8), ids[a:b], counts)
+            rows.append((int(bucket[a]), number, _zip(content), *(x.tobytes() for x in arrays)))
     return pa.Table.from_batches([_batch(rows, list(_RUN_FIELDS), list(_RUN_FIELDS.values()))])
 
 
 def _judge_runs(table: pa.Table, kind: Kind) -> pa.Table:
     """For each run a number whose bit i says that window i is repeated."""
-    rows = {c: table[c].to_pylist() for c in ("content", "length", "windows", "ids")}
-    buf = _ints(b"".join(map(_unzip, rows["content"])), np.uint8)
-    length = _ints(b"".join(rows["length"]), np.int32).astype(np.int64)
-    windows = _ints(b"".join(rows["windows"]), np.uint8).astype(np.int64)
-    begin = np.cumsum(length) - length
-    repeated = kind.resolve(buf, np.stack([begin, begin + length]), windows, _ints(b"".join(rows["ids"])))
-    place = _ranges(np.zeros(len(windows), np.int64), windows)
-    bits = np.where(repeated, U(1) << place.astype(np.uint64), U(0))
-    masks = np.add.reduceat(bits, np.cumsum(windows) - windows)
-    cuts = np.cumsum([0, *(len(x) for x in rows["windows"])])
-    answers = [masks[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table({"block": table["block"], "round": pa.array([2] * len(answers), pa.int32()), "bucket": table["bucket"], "answer": pa.array(answers, pa.binary())})
+    rows = []
+    for content, length, windows, ids, counts in zip(*(table[c].to_pylist() for c in ("content", "length", "windows", "ids", "slices")), strict=True):
+        size = _ints(length, np.int32).astype(np.int64)
+        cuts = np.r_[0, np.cumsum(_ints(counts, np.int32))]
+        rows.append((_ints(_unzip(content), np.uint8), np.r_[0, np.cumsum(size)], _ints(windows, np.uint8).astype(np.int64), _ints(ids), cuts))
+    answers = [np.zeros(len(r[2]), np.uint64) for r in rows]
+    for i in range(SLICES):
+        parts = [(k, int(r[4][i]), int(r[4][i + 1])) for k, r in enumerate(rows) if r[4][i] < r[4][i + 1]]
+        if not parts:
+            continue
+        buf = np.concatenate([rows[k][0][rows[k][1][a] : rows[k][1][b]] for k, a, b in parts])
+        length = np.concatenate([np.diff(rows[k][1][a : b + 1]) for k, a, b in parts])
+        windows = np.concatenate([rows[k][2][a:b] for k, a, b in parts])
+        end = np.cumsum(length)
+        repeated = kind.resolve(buf, np.stack([end - length, end]), windows, np.concatenate([rows[k][3][a:b] for k, a, b in parts]))
+        place = _ranges(np.zeros(len(windows), np.int64), windows).astype(np.uint64)
+        masks = np.add.reduceat(np.where(repeated, U(1) << place, U(0)), np.cumsum(windows) - windows)
+        at = 0
+        for k, a, b in parts:
+            answers[k][a:b] = masks[at : at + b - a]
+            at += b - a
+    packed = [a.tobytes() for a in answers]
+    return pa.table({"block": table["block"], "round": pa.array([2] * len(packed), pa.int32()), "bucket": table["bucket"], "answer": pa.array(packed, pa.binary())})
 
 
 def _covered(s: Symbols, kind: Kind, block: Block, answers: pa.Table, n_buckets: int) -> np.ndarray:
@@ -334,18 +368,17 @@ def _covered(s: Symbols, kind: Kind, block: Block, answers: pa.Table, n_buckets:
 
 
 def remove_repeats(
-    docs: DataFrame, kind: Kind, finish: Callable[[Block, Symbols, np.ndarray], pa.Table], schema: str, hot_blocks: int = HOT_BLOCKS
+    docs: DataFrame, kind: Kind, finish: Callable[[Block, Symbols, np.ndarray], pa.Table], schema: str, hot_runs: int = HOT_RUNS
 ) -> DataFrame:
     """``finish`` makes a block's result rows from the covered symbols.  ``docs``
     has ``doc_id`` and ``text``."""
     packed = blocks(docs)
     n_buckets = max(1, packed.count() // BLOCKS_PER_BUCKET)
-    hot_blocks = max(hot_blocks, n_buckets // 4)
     binary = ", ".join(f"{c} {'long' if t == pa.int64() else 'binary'}" for c, t in _RUN_FIELDS.items())
     answer = "block long, round int, bucket long, answer binary"
 
-    names = packed.mapInArrow(lambda it: _send_names(it, kind, n_buckets), "bucket long, block long, names binary, several binary")
-    first = names.groupBy("bucket").applyInArrow(lambda t: _judge_names(t, hot_blocks), answer)
+    names = packed.mapInArrow(lambda it: _send_names(it, kind, n_buckets), "bucket long, block long, names binary, several binary, contents binary")
+    first = names.groupBy("bucket").applyInArrow(lambda t: _judge_names(t, hot_runs), answer)
     first = materialize(first, "anchors")  # a few bytes for each anchor; read by both joins below
     runs = packed.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(lambda a, b: _send_runs(a, b, kind, n_buckets), binary)
     second = runs.groupBy("bucket").applyInArrow(lambda t: _judge_runs(t, kind), answer)

@@ -63,17 +63,24 @@ def repeated_ranks(ranks: np.ndarray) -> np.ndarray:
     return np.sort(order[same | np.r_[same[1:], False]])
 
 
-def resolve_bytes(buf: np.ndarray, bounds: np.ndarray, windows: np.ndarray, ids: np.ndarray, slice_bytes: int = 8 << 20) -> np.ndarray:
-    position, owner = _ranges(bounds[0], windows), np.repeat(ids, windows)
-    rank16 = np.empty(max(len(buf) - 15, 0), np.uint64)
-    for a in range(0, len(rank16), slice_bytes):
-        rank16[a : a + slice_bytes] = _seq.gram_hash(_seq.prefix_sums(_seq.byte_values(buf[a : a + slice_bytes + 15])), 16)
-    out = np.zeros(len(position), bool)
+def _doubled(buf: np.ndarray, bounds: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the 32 and the 50 bytes from every window's start."""
+    low = bounds[0, 0]
+    rank16 = _seq.gram_hash(_seq.prefix_sums(_seq.byte_values(buf[low : bounds[1, -1]])), 16)
+    position = _ranges(bounds[0] - low, windows)
     rank32 = _pair(rank16[position], rank16[position + 16])
+    return rank32, _pair(rank32, _pair(rank16[position + 18], rank16[position + 34]))
+
+
+def resolve_bytes(buf: np.ndarray, bounds: np.ndarray, windows: np.ndarray, ids: np.ndarray, piece_bytes: int = 1 << 19) -> np.ndarray:
+    piece = bounds[0] // piece_bytes
+    cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(windows)]
+    ranks = [_doubled(buf, bounds[:, a:b], windows[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    rank32, rank50 = (np.concatenate([r[i] for r in ranks]) for i in (0, 1))
+    del ranks
     alive = repeated_ranks(rank32)
-    position = position[alive]
-    rank50 = _pair(rank32[alive], _pair(rank16[position + 18], rank16[position + 34]))
-    out[alive] = smaller_id(rank50, owner[alive])
+    out = np.zeros(len(rank32), bool)
+    out[alive] = smaller_id(rank50[alive], np.repeat(ids, windows)[alive])
     return out
 
 

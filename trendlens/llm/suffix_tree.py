@@ -50,7 +50,7 @@ def word_symbols(texts: list[bytes]) -> Symbols:
 def resolve_words(buf: np.ndarray, bounds: np.ndarray, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     edge = np.flatnonzero(buf == 32)  # a space ends each word
     begin = np.r_[0, edge[:-1] + 1] if len(edge) else edge
-    step = 1 << 20
+    step = 1 << 17
     parts = [np.zeros(0, np.uint64)]
     for a in range(0, len(edge), step):
         b = min(a + step, len(edge))
