@@ -21,10 +21,14 @@ differing tokens and drops most candidates.  The rest are verified on the sets.
 Groups of copies, without all pairs: documents of equal sets are one class,
 settled by an aggregate.  Round 1 pairs every member of a word group with the
 group's first member only, verifies, and finds the components.  Round 2 looks
-at the groups that still hold several components, and pairs there the members
-outside the group's most frequent component with members of other components.
+at the members beside the first: where they still are of several components,
+those outside the most frequent one are paired with members of other components.
 Links inside a component change nothing, so the components are exact.
 
+Texts are never shuffled.  The scans that compute block words and sets leave out
+the rows that have no part in them by a bitmap of fixed size; what a full bitmap
+would let through is dropped by a join on the node.
+
 Defined results: null or empty texts have an empty set and link with nothing;
 texts of fewer than n words are one n-gram.  Rows that share an id are one
 node.  A null id comes after all others.  Empty tables give empty results.
@@ -48,11 +52,14 @@ from trendlens.llm.components import connected_components
 from trendlens.sources.writers import materialize
 
 U = np.uint64
-SKETCH_LONGS = 8
+SKETCH_LONGS = 32
 SKETCH_BITS = 64 * SKETCH_LONGS
 BAND_RATIO = 1.5
 SPARE = 8  # one spare block for so many differing tokens
 LAST_ID = np.iinfo(np.int64).max
+#: Bits of a broadcast bitmap (8 MB), and bytes of Spark's bitmap buckets.
+BITMAP_POWER = 26
+PART_BYTES = 4096
 SLICE_BYTES = 1 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -143,39 +150,95 @@ def _features(texts: list[bytes], rule: Rule) -> list[pa.Array]:
     np.add.at(two, text, _seq.mix(token ^ U(0x5851F42D4C957F2D)))
     flips = np.bincount(text * SKETCH_BITS + (token & U(SKETCH_BITS - 1)).astype(np.int64), minlength=n * SKETCH_BITS) & 1
     sketch = np.packbits(flips.astype(np.uint8)).view(np.int64)
-    starts = rule.bands(int(size.max(initial=1)) * 100 // rule.percent + 1)
-    own = np.where(size > 0, np.searchsorted(starts, size, side="right") - 1, -1)
-    following = np.where((size > 0) & (size * 100 // rule.percent >= starts[own + 1]), own + 1, -1)
-    dealt = [block_words(token, bounds, band, rule, starts) for band in (own, following)]
-    who, key = (np.concatenate([d[i] for d in dealt]) for i in (0, 1))
-    order = np.argsort(who, kind="stable")
     return [
         pa.array(size),
         pa.array(one.view(np.int64)),
         pa.array(two.view(np.int64)),
         _lists(sketch, np.arange(n + 1) * SKETCH_LONGS),
-        _lists(key[order], np.searchsorted(who[order], np.arange(n + 1))),
     ]
 
 
+def _keys(texts: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, block key) of all texts, in their own and the next band."""
+    token, bounds = token_sets(texts, rule.n)
+    size = np.diff(bounds)
+    starts = rule.bands(int(size.max(initial=1)) * 100 // rule.percent + 1)
+    own = np.where(size > 0, np.searchsorted(starts, size, side="right") - 1, -1)
+    following = np.where((size > 0) & (size * 100 // rule.percent >= starts[own + 1]), own + 1, -1)
+    dealt = [block_words(token, bounds, band, rule, starts) for band in (own, following)]
+    who, key = (np.concatenate([d[i] for d in dealt]) for i in (0, 1))
+    return who, key
+
+
 def features(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``node, n_shingles``, two hashes of the set, the sketch and the block keys
-    of every row."""
+    """``node, n_shingles``, two hashes of the set and the sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in _seq.slices(batch["text"], SLICE_BYTES):
                 nodes = batch["node"].slice(at, len(part))
-                yield pa.RecordBatch.from_arrays([nodes, *_features(_seq.as_bytes(part), rule)], names=["node", "n_shingles", "h1", "h2", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([nodes, *_features(_seq.as_bytes(part), rule)], names=["node", "n_shingles", "h1", "h2", "sketch"])
+
+    return docs.mapInArrow(run, "node long, n_shingles long, h1 long, h2 long, sketch array<long>")
+
+
+# --- rows of some nodes -----------------------------------------------------------
+
+
+def _bits(nodes: np.ndarray) -> np.ndarray:
+    return (_seq.mix(nodes.astype(np.int64).view(np.uint64)) >> U(64 - BITMAP_POWER)).astype(np.int64)
+
+
+def bitmap(nodes: DataFrame) -> np.ndarray:
+    """A bit for the hash of each node: 2 ** ``BITMAP_POWER`` bits, however many
+    nodes there are.  A row whose bit is not set belongs to none of them; the
+    others must still be joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bits(batch["node"].to_numpy()) + 1)], names=["bit"])
+
+    bit = F.col("bit")
+    parts = nodes.select("node").mapInArrow(run, "bit long").groupBy(F.bitmap_bucket_number(bit).alias("part"))
+    out = np.zeros(1 << (BITMAP_POWER - 3), np.uint8)
+    for r in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect():
+        start = (r["part"] - 1) * PART_BYTES  # buckets and the bits in them are numbered from 1
+        piece = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[start : start + len(piece)] |= piece
+    return out
+
+
+def _is_set(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    bit = _bits(nodes)
+    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _some_rows(batch: pa.RecordBatch, bits: np.ndarray, wanted: bool) -> pa.RecordBatch:
+    return batch.filter(pa.array(_is_set(bits, batch["node"].to_numpy()) == wanted))
+
+
+def block_keys(docs: DataFrame, rule: Rule, bits: np.ndarray, wanted: bool) -> DataFrame:
+    """``key, node`` of the rows whose bit is (not) set."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = _some_rows(batch, shared.value, wanted)
+            for at, part in _seq.slices(batch["text"], SLICE_BYTES):
+                who, key = _keys(_seq.as_bytes(part), rule)
+                nodes = batch["node"].slice(at, len(part)).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes[who])], names=["key", "node"])
 
-    return docs.mapInArrow(run, "node long, n_shingles long, h1 long, h2 long, sketch array<long>, keys array<long>")
+    return docs.mapInArrow(run, "key long, node long")
 
 
-def sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``node, tokens``."""
+def sets(docs: DataFrame, rule: Rule, bits: np.ndarray) -> DataFrame:
+    """``node, tokens`` of the rows whose bit is set."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = _some_rows(batch, shared.value, True)
             for at, part in _seq.slices(batch["text"], SLICE_BYTES):
                 nodes = batch["node"].slice(at, len(part))
                 yield pa.RecordBatch.from_arrays([nodes, _lists(*token_sets(_seq.as_bytes(part), rule.n))], names=["node", "tokens"])
@@ -195,8 +258,7 @@ def _may_link(rule: Rule, n: str, m: str, a: str, b: str) -> Column:
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Those of ``pairs`` (u, v) whose sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    chosen = sets(texts.join(wanted, "node", "left_semi"), rule)
+    chosen = sets(texts, rule, bitmap(pairs.select(F.explode(F.array("u", "v")).alias("node"))))
     a, b = (chosen.select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}")) for k in "uv")
     both = pairs.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("tu", "tv")))
     similar = F.col("common") * 100 >= (F.size("tu") + F.size("tv") - F.col("common")) * rule.percent
@@ -211,12 +273,16 @@ def near_duplicates(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
     # equal sets: one class, spoken for by its smallest node
     full = found.where("n_shingles > 0")
     classes = full.groupBy("n_shingles", "h1", "h2").agg(F.min("node").alias("rep"))
-    members = full.select("node", "n_shingles", "h1", "h2").join(classes, ["n_shingles", "h1", "h2"]).select("node", "rep")
-    lead = full.join(classes.select("n_shingles", "h1", "h2", F.col("rep").alias("node")), ["n_shingles", "h1", "h2", "node"], "left_semi")
-    sketch = lead.select("node", "n_shingles", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_LONGS)]).dropDuplicates(["node"])
+    same_set = ["n_shingles", "h1", "h2"]
+    members = materialize(full.join(classes, same_set).select("node", "rep", "n_shingles", "sketch"), "members")
+    lead = members.where("node = rep")
+    sketch = lead.select("node", "n_shingles", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_LONGS)]).distinct()
+    spoken_for = members.where("node != rep").select("node").distinct().join(lead, "node", "left_anti")
+    members = members.select("node", "rep")
 
     # word groups of two nodes or more; ordered, so that a group is never held
-    dealt = lead.select(F.explode("keys").alias("key"), "node")
+    bits = bitmap(spoken_for)
+    dealt = block_keys(rows, rule, bits, False).unionByName(block_keys(rows, rule, bits, True).join(spoken_for, "node", "left_anti"))
     group = W.partitionBy("key").orderBy("node")
     grouped = dealt.select("key", "node", F.lag("node").over(group).alias("back"), F.lead("node").over(group).alias("on"))
     grouped = grouped.withColumn("first", F.first("node").over(group.rowsBetween(W.unboundedPreceding, 0)))
@@ -225,12 +291,12 @@ def near_duplicates(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
     x = sketch.select(F.col("node").alias("u"), F.col("n_shingles").alias("n"), *[F.col(f"s{i}").alias(f"a{i}") for i in range(SKETCH_LONGS)])
     y = sketch.select(F.col("node").alias("v"), F.col("n_shingles").alias("m"), *[F.col(f"s{i}").alias(f"b{i}") for i in range(SKETCH_LONGS)])
     stars = grouped.where("node > first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
-    stars = stars.join(x, "u").join(y, "v").where(_may_link(rule, "n", "m", "a", "b")).select("u", "v")
+    stars = stars.join(x, "u").join(y, "v").where(_may_link(rule, "n", "m", "a", "b")).select("u", "v").distinct()
     links = materialize(verified(materialize(stars, "stars"), rows, rule), "links")
     parts = connected_components(links).select("node", "component")
 
-    # round 2: groups that hold several components
-    marked = grouped.select("key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # round 2: the members beside the first, where they are of several components
+    marked = grouped.where("node != first").select("key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counted = marked.groupBy("key", "component").agg(F.count("*").alias("c"))
     main = counted.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k"))
     mixed = materialize(marked.join(main.where("k > 1").drop("k"), "key").join(sketch, "node"), "mixed")
