@@ -109,6 +109,24 @@ def test_license_templates(spark):
     assert all(0 <= m.score <= 1 for r in found.values() for m in r.matches)
 
 
+def test_license_query_gives_smallest_and_largest_start(spark, tmp_path):
+    rows = [
+        (1, "under the MIT license"),
+        (2, "x apache license, version 2 and cc by-nc y under the mit license z"),
+        (3, "under the mit"),
+        (None, None),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = []
+    for i, t in rows:
+        w = brute.license_words(t)
+        starts = [s for p in licenses.PHRASES for s in range(len(w)) if w[s : s + len(p.split())] == p.split()]
+        expected.append((i, len(starts), min(starts, default=None), max(starts, default=None)))
+    assert expected[:2] == [(1, 1, 0, 0), (2, 3, 1, 10)]
+    found = licenses.op5_license_scan(spark, str(tmp_path))
+    assert got(found, "doc_id", "n_base", "first_word", "last_word") == sorted(expected, key=repr)
+
+
 # --- LM ----------------------------------------------------------------------------
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")

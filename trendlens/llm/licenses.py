@@ -180,6 +180,7 @@ def scan(
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``first_word`` and ``last_word``: smallest and largest start of a base phrase."""
     found = scan(table(spark, sf_dir, "documents"))
     base = F.col("places.label")
     return found.select(
@@ -187,7 +188,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words",
         F.size("places").cast("long").alias("n_base"),
         F.array_min("places.first").alias("first_word"),
-        F.array_max("places.last").alias("last_word"),
+        F.array_max("places.first").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base, F.col("matches.label"))), ",").alias("labels"),
         F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("matches.score"), F.lit(0.0))).alias("score"),
