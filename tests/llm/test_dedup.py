@@ -37,6 +37,13 @@ def test_keep_one_row_of_each_text(odd):
     assert kept.count() == len({r[4] for r in brute.exact(pairs(odd))})
 
 
+def test_keep_one_of_repeated_and_null_ids_with_other_white_space(spark):
+    rows = [(None, "a b"), (None, "ab"), (7, "c d"), (7, "cd"), (7, " c d"), (8, "e f"), (8, "ef "), (9, "g"), (None, "g h"), (9, "gh")]
+    kept = got(exact_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert [r for r in kept if r[0] != 8] == sorted([(None, "a b"), (7, " c d"), (9, "g"), (None, "g h")], key=repr)
+    assert [r for r in kept if r[0] == 8] in ([(8, "e f")], [(8, "ef ")])
+
+
 def _bytes(docs):
     cut = suffix_array.remove_repeated_bytes(docs)
     return got(

@@ -13,8 +13,8 @@ table on one side, and adaptive execution splits a hot partition of the other.
 Defined results: null texts count as empty, and empty texts are equal to each
 other and to texts of white space only.  Of equal texts the row with the most
 code points stays, then the one with the smallest id; a null id loses against
-every other.  Rows that repeat both id and text of the row that stays share its
-verdict.  Empty tables give empty results.
+every other.  Rows that repeat id, text and number of code points of the row
+that stays share its verdict.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -46,6 +46,11 @@ def exact_dedup(
     ``text_sha256`` is null for rows that were settled before their full
     content was hashed, unless ``hash_all``.
     """
+    return _verdicts(docs, id_col, text_col, prefix_chars, hash_all).drop("n_points")
+
+
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int = PREFIX_CHARS, hash_all: bool = False) -> DataFrame:
+    """The columns of ``exact_dedup`` and the text's number of code points."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.length(text_of(text_col)).alias("n_points"),
@@ -89,24 +94,26 @@ def exact_dedup(
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("doc_id").eqNullSafe(F.col("best_id")) & (-F.col("n_points") == F.col("best_p")))).alias("kept"),
         "text_sha256",
+        "n_points",
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that
-    repeat id and text, one.
+    share a verdict, one.
 
-    The verdicts hold no text.  The texts are dealt once, by id and full hash,
-    which serves both the join with the dropped rows and the choice among
-    repeated ones.
+    The verdicts hold no text.  The texts are dealt once, by id, number of code
+    points and full hash, which serves both the join with the dropped rows and
+    the choice among repeated ones.
     """
     key, place = _own(docs, "_key"), _own(docs, "_place")
 
-    def keyed(doc_id: Column, sha: Column) -> Column:
-        return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), sha)
+    def keyed(doc_id: Column, n_points: Column, sha: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), n_points.cast("string"), sha)
 
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(keyed(F.col("doc_id"), F.col("text_sha256")).alias(key)).distinct()
-    rows = docs.withColumn(key, keyed(F.col(id_col).cast("long"), F.sha2(normalised(text_col), 256)))
+    gone = _verdicts(docs, id_col, text_col).where("not kept").select(keyed(F.col("doc_id"), F.col("n_points"), F.col("text_sha256")).alias(key))
+    gone = gone.distinct()
+    rows = docs.withColumn(key, keyed(F.col(id_col).cast("long"), F.length(text_of(text_col)), F.sha2(normalised(text_col), 256)))
     same = W.partitionBy(key).orderBy(F.lit(0))
     stay = rows.join(gone, key, "left_anti").withColumn(place, F.row_number().over(same))
     return stay.where(F.col(place) == 1).select(*docs.columns)
