@@ -24,6 +24,12 @@ def _own(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _numbered(docs: DataFrame, key: str, name: str) -> DataFrame:
+    """``docs`` with a number of each row, which ids that repeat or are null are
+    not.  It is written once, so that every later read meets the same numbers."""
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), name)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     verdict = _own(docs, "quality_verdict")
@@ -37,11 +43,16 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id, stays."""
-    drop = _own(docs, "drop_id")
-    groups = jaccard_join.near_duplicates(docs, NEAR)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(drop)).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(drop)), "left_anti")
+    """One document of each group of near copies, that of the smallest id, stays;
+    a null id comes last.  Rows that share an id are separate documents."""
+    key = _own(docs, "row_key")
+    rows = _numbered(docs, key, "near-rows")
+    groups = jaccard_join.near_duplicates(rows, NEAR, key).select(F.col("doc_id").alias(key), "component_id")
+    members = materialize(groups.join(rows.select(key, F.col("doc_id").cast("long").alias("id")), key), "near-members")
+    first = F.min(F.struct(F.col("id").isNull().alias("z"), "id", key))
+    stays = members.groupBy("component_id").agg(first[key].alias("stays"), F.count("*").alias("n")).where("n > 1")
+    gone = members.join(stays, "component_id").where(F.col(key) != F.col("stays")).select(key)
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

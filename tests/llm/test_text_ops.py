@@ -306,6 +306,28 @@ def test_pipeline_of_odd_rows_and_of_nothing(spark, odd, empty):
         assert len(frame.collect()) <= 3 * docs.count()
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    rows = [
+        (5, text("a")),
+        (None, text("a") + " more"),  # a near copy of 5
+        (None, text("b")),
+        (None, text("c")),
+        (None, text("c") + " more"),  # copies among null ids
+        (6, text("d")),
+        (7, text("d") + " more"),
+        (7, text("e")),
+        (8, text("f")),
+        (8, text("f") + " more"),  # copies of one id
+        (3, text("f") + " less"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = corpus_pipeline.near_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    left = sorted(((r.doc_id, r.text.split("0")[0]) for r in out.collect()), key=repr)
+    assert left == sorted([(5, "a"), (None, "b"), (None, "c"), (6, "d"), (7, "e"), (3, "f")], key=repr)
+
+
 def test_run_is_the_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
