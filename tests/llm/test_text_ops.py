@@ -328,6 +328,20 @@ def test_near_copies_of_null_and_repeated_ids(spark):
     assert left == sorted([(5, "a"), (None, "b"), (None, "c"), (6, "d"), (7, "e"), (3, "f")], key=repr)
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_mix_decides_rows_of_one_id_each(spark, doc_id):
+    rows = [(doc_id, f"{k} " + "w " * (9 + k % 40), "abc"[k % 3]) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    target = {r.source: r.target for r in mixing.mix(docs).collect()}
+    words, times = collections.Counter(), collections.Counter()
+    for r in corpus_pipeline.mix_sources(spark, docs, SF).collect():
+        words[r.source] += len(brute.words(r.text))
+        times[r.source, r.text] += 1
+    assert {s: words[s] for s in "abc"} == pytest.approx(target, rel=0.1)
+    # of a source that is cut, some rows stay and some go
+    assert 0 < sum(s == "a" for s, _ in times) < 100
+
+
 def test_run_is_the_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:

@@ -109,12 +109,19 @@ def mix(
     block_tokens: int = BLOCK_TOKENS,
     shard_tokens: int = SHARD_TOKENS,
     seed: int = SEED,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, size, source, source_size, target,
     taken`` and ``rounds`` (whole repeats) with ``blocks`` (further blocks that
-    touch the document)."""
+    touch the document).  With ``row_col``, a column that tells all rows apart,
+    also that column as ``row``, and ``nth``, the row's number (from 0) among
+    those of its source that share its id."""
+    own = [] if row_col is None else ["row"]
     sizes = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_of(text_col)).alias("size")
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        n_words(text_of(text_col)).alias("size"),
+        *[F.col(row_col).alias(c) for c in own],
     )
     sizes = materialize(sizes, "mix-sizes")  # ids and counts only: the texts are read once
     per_source = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
@@ -128,8 +135,11 @@ def mix(
     lines = sizes.join(per_source, F.col("source").eqNullSafe(F.col("s_source")), "left").drop("s_source")
     lines = lines.withColumn("at", hash_int(F.lit(seed), F.col("doc_id")))
     lines = lines.withColumn("shard", F.col("at") % F.col("n_shards"))
-    line = W.partitionBy("source", "shard").orderBy("at", F.col("doc_id").asc_nulls_last(), "size")
+    line = W.partitionBy("source", "shard").orderBy("at", F.col("doc_id").asc_nulls_last(), "size", *own)
     lines = lines.withColumn("start", F.coalesce(F.sum("size").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    if own:
+        same_id = W.partitionBy("source", "shard", "at", "doc_id").orderBy("size", *own)
+        lines = lines.withColumn("nth", F.row_number().over(same_id) - 1)
 
     shards = lines.groupBy("source", "shard").agg(F.sum("size").alias("length"), F.first("source_quota").alias("source_quota"))
     shards = apportion(shards, ["source"], ["source", "shard"], "length", "source_quota")
@@ -164,6 +174,7 @@ def mix(
         (F.col("rounds") * F.col("size") + tokens(end) - tokens(F.col("start"))).cast("long").alias("taken"),
         "rounds",
         F.when(F.col("size") > 0, chosen(F.ceil(end / b)) - chosen(F.floor(F.col("start") / b))).otherwise(0).cast("long").alias("blocks"),
+        *[c for o in own for c in (o, "nth")],
     )
 
 
