@@ -1,14 +1,14 @@
 """Suffix-array dedup: bytes of long strings that occur in an earlier document.
 
 A byte goes if a string of ``WIDTH`` bytes that covers it also starts in a
-document with a smaller id.  Ranks of strings grow by prefix doubling.  Round
-1 (see ``_repeats``) ranks the 16-byte prefixes at sampled positions, and Spark
-deals them by range of rank; positions whose rank is unique are discarded.
-Round 2 deals what is left, and each group goes on: the rank of 32 bytes is
-that of the pair (rank of 16 at i, rank of 16 at i + 16); the positions are
-sorted by it, unique ones are dropped; the rank of 50 bytes is that of the pair
-(rank of 32 at i, rank of 32 at i + 18), which is past the threshold.  Ranks
-are names: 64-bit numbers that are equal for equal strings.
+document with a smaller id.  In place of prefix doubling by Spark sorts (the
+README says why), round 1 (see ``_repeats``) deals the hashes of 16-byte
+anchors, which lie anywhere inside their windows, and discards those of a
+single document.  Round 2 deals the bytes of the remaining runs by anchor.  The
+receiving task names its windows: the name of 32 bytes is that of the pair
+(name of 16 at i, name of 16 at i + 16), the name of 50 bytes that of the pair
+(name of 32 at i, name of 32 at i + 18); windows whose name of 32 is unique are
+dropped.  Names are 64-bit hashes, equal for equal strings.
 
 Defined results: null texts count as empty; texts shorter than the width lose
 nothing; rows of one id never remove each other's strings; a null id comes
