@@ -1,15 +1,15 @@
 """Substring dedup: words of long passages that occur in an earlier document.
 
 A word goes if a window of ``WIDTH`` consecutive words that covers it also
-starts in a document with a smaller id.  Suffixes (one per word position) are
-partitioned by variable-length prefixes into groups that fit a task: by the
-four words of their sampled anchor (see ``_repeats``), or, where that prefix is
-held by very many blocks, by all thirteen.  A prefix of a single document is
-dropped before any content is shipped, since its subtree has no inner node
-that matters.  Each group's subtree is built top-down, all nodes of a level at
-once: the suffixes of a node are split by the words on the next edge, and nodes
-with a single leaf are pruned.  The nodes that reach a depth of ``WIDTH`` words
-are the repeats; their leaves under more than the smallest id are removed.
+starts in a document with a smaller id.  In place of suffix trees (the README
+says why), windows are dealt by the four words of their sampled anchor (see
+``_repeats``), which lies anywhere inside them, or, where that anchor has very
+many runs, by all thirteen words.  An anchor of a single document is dropped
+before any content is shipped.  Within a group one hash runs over the words of
+every window, all windows at once; those that are alone at a depth of
+``LEVELS`` are dropped.  Windows of equal hash at ``WIDTH`` words are the
+repeats; those under more than the smallest id are removed.  No nodes or edges
+are built, and nothing beyond ``WIDTH`` words is looked at.
 
 Defined results: null texts have no words; texts of fewer words than the width
 lose nothing; rows of one id never remove each other's words; a null id comes
@@ -31,7 +31,7 @@ from trendlens.llm.suffix_array import repeated_ranks, smaller_id
 
 WIDTH = 13
 GRAM = 4
-#: Depths at which the subtrees' nodes are split.
+#: Depths in words at which windows that are alone are dropped.
 LEVELS = (4, 8, 13)
 U = np.uint64
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
@@ -65,7 +65,7 @@ def resolve_words(buf: np.ndarray, bounds: np.ndarray, windows: np.ndarray, ids:
     alive = np.arange(len(suffix))
     depth = 0
     for level in LEVELS:
-        for d in range(depth, level):  # the words on the edge
+        for d in range(depth, level):  # the words up to the next depth
             node = _seq.mix(node * U(3) + word[suffix + d] + U(d + 1))
         depth = level
         if level < WIDTH:
