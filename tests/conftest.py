@@ -8,9 +8,6 @@ for p in (ROOT, os.path.join(ROOT, "tests")):
     if p not in sys.path:
         sys.path.insert(0, p)
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_ORACLE = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -20,9 +17,3 @@ def spark():
     shared_dir(s)
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    """Collected rows as plain tuples, sorted, for order-free comparison."""
-    cols = cols or tuple(df.columns)
-    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)

@@ -1,6 +1,6 @@
 """The command line over a written topic file."""
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from trendlens.__main__ import main
 from trendlens.session import scratch_path
 from trendlens.sources import fixtures as fx

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from conftest import rows
+from helpers import rows
 from trendlens.functions.nulls import PANDAS_NA_TOKENS
 from trendlens.session import scratch_path
 from trendlens.sources import readers, writers

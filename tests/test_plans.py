@@ -1,6 +1,6 @@
 """Plan shape: the physical plans the reports must (not) have."""
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from trendlens.plans import brand, catalog, trending
 from trendlens.sources import fixtures as fx
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, rows
+from helpers import SF_SMALL, rows
 from trendlens.operators import aggregate as agg
 from trendlens.operators import filters as flt
 from trendlens.operators.brands import keyword_kpis

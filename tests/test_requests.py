@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, rows
+from helpers import SF_SMALL, rows
 from trendlens.__main__ import main
 from trendlens.functions.brands import literal_list
 from trendlens.operators import aggregate as agg

@@ -5,7 +5,7 @@ import datetime as dt
 
 import pytest
 
-from conftest import rows
+from helpers import rows
 from trendlens.functions import brands as fb
 from trendlens.functions.labels import fallback_label, mapped_label
 from trendlens.operators import aggregate as agg

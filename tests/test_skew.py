@@ -4,7 +4,7 @@ rows, derived from the test tables."""
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_ORACLE, rows
+from helpers import SF_ORACLE, rows
 from trendlens.operators.joins import attach_topics, attach_topics_salted, attach_topics_to_pairs
 from trendlens.plans import catalog
 from trendlens.sources import fixtures as fx

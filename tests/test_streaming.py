@@ -3,7 +3,7 @@ batch rollup over all files."""
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, rows
+from helpers import SF_SMALL, rows
 from trendlens.session import scratch_path
 from trendlens.sources import fixtures as fx
 from trendlens.sources.writers import rollup
