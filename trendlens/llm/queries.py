@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from trendlens.llm import bpe, chat, exact_dedup, jaccard_join, lattice_lm, licenses, mixing, quality, suffix_array, suffix_tree
+from trendlens.llm import (
+    bpe,
+    chat,
+    exact_dedup,
+    hard_negatives,
+    jaccard_join,
+    lattice_lm,
+    licenses,
+    mixing,
+    quality,
+    suffix_array,
+    suffix_tree,
+    vector_codes,
+    warc,
+)
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_warc": warc.op11_warc,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLE = {
@@ -24,4 +41,7 @@ ORACLE = {
     "op4_suffix_tree_dedup": suffix_tree.SQL,
     "op6_jaccard_join": jaccard_join.SQL,
     "op8_mix_sources": mixing.SQL,
+    "op11_warc": warc.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
