@@ -9,7 +9,8 @@ content alone; a final mix spreads it over all bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,18 +70,36 @@ def byte_values(buf: np.ndarray) -> np.ndarray:
     return _BYTE[buf]
 
 
-def slices(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
-    """The array in pieces of about ``most_bytes`` of text (one text at least),
-    with the place of each: a batch of long texts need not fit many times."""
+def slices(texts: pa.Array, most_bytes: int = 1 << 18, most_texts: int = 1000) -> Iterator[tuple[int, pa.Array]]:
+    """The array in pieces of about ``most_bytes`` of text (one text at least)
+    and of ``most_texts`` at most, with the place of each: what is computed for
+    the texts of a batch need not fit at once."""
     if not len(texts):
         return
     sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
     piece = (np.cumsum(sizes, dtype=np.int64) - sizes) // most_bytes
-    cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(texts)]
+    edges = np.flatnonzero(piece[1:] != piece[:-1]) + 1
+    cuts = [*np.union1d(edges, np.arange(0, len(texts), most_texts)).tolist(), len(texts)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         yield a, texts.slice(a, b - a)
 
 
+def released(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """``run``, after which a reused Python worker gives back what the task has
+    freed: the allocators would keep it, beside the next stage's memory."""
+
+    def task(*args) -> Iterator:
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 def as_bytes(texts: pa.Array) -> list[bytes]:
     return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
 

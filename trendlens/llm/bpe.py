@@ -239,6 +239,22 @@ class Tokenizer:
 
         return bpe_encode(text)
 
+    def both_ways(self):
+        """A function of batches of doc_id and text, for ``mapInArrow``."""
+        shared, pattern, cache_words = self._state, self._pattern, self._cache_words
+
+        @_seq.released
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary = Vocabulary.of(shared.value)
+            encoder = Encoder(vocabulary, pattern, cache_words)
+            for batch in batches:
+                for at, texts in _seq.slices(batch["text"]):
+                    ids = encoder.encode(texts.to_pylist())
+                    columns = [batch["doc_id"].slice(at, len(texts)), ids, decode_lists(ids, vocabulary)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
+
+        return run
+
     def decode(self, ids: Column) -> Column:
         shared = self._state
 
@@ -256,9 +272,9 @@ def production_tokenizer(spark: SparkSession) -> Tokenizer:
 
 
 def encode_documents(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids, decoded``, one row per row of ``docs``."""
-    encoded = id_and_text(docs, id_col, text_col).select("doc_id", tokenizer.encode(F.col("text")).alias("ids"))
-    return encoded.select("doc_id", "ids", tokenizer.decode(F.col("ids")).alias("decoded"))
+    """``doc_id, ids, decoded``, one row per row of ``docs``: the ids, and the
+    bytes decoded from them, by one Python worker a task."""
+    return id_and_text(docs, id_col, text_col).mapInArrow(tokenizer.both_ways(), "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(encoded: DataFrame, *more: str) -> DataFrame:

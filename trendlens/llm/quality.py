@@ -76,7 +76,7 @@ def _count_cells(batches: Iterator[pa.RecordBatch], good_ids: np.ndarray, bucket
 def cell_counts(docs: DataFrame, good_ids: np.ndarray, buckets: int = BUCKETS) -> DataFrame:
     """``cell, raw, good``: counts over all documents and over the trusted."""
     shared = docs.sparkSession.sparkContext.broadcast(good_ids)
-    counted = docs.mapInArrow(lambda it: _count_cells(it, shared.value, buckets), "cell long, raw long, good long")
+    counted = docs.mapInArrow(_seq.released(lambda it: _count_cells(it, shared.value, buckets)), "cell long, raw long, good long")
     return counted.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
 
 
@@ -84,8 +84,9 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMO
     """ln(p_trusted / p_raw) of every cell; at most ``buckets`` rows reach the
     driver."""
     raw, good = np.zeros(buckets), np.zeros(buckets)
-    rows = counts.toPandas()
-    raw[rows["cell"]], good[rows["cell"]] = rows["raw"], rows["good"]
+    rows = counts.toArrow()
+    cell = rows["cell"].to_numpy()
+    raw[cell], good[cell] = rows["raw"].to_numpy(), rows["good"].to_numpy()
     if not good.sum():
         return np.zeros(buckets)
     return np.log((good + smoothing) / (raw * good.sum() / raw.sum() + smoothing))
@@ -145,12 +146,15 @@ def quality_column(text: Column, ratios: np.ndarray, threshold: float = THRESHOL
     """All figures and the verdict as one struct, of any text column."""
     shared = SparkSession.active().sparkContext.broadcast(ratios)  # 8 bytes for each cell
 
-    @F.arrow_udf(SCORE)
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             parts = [score_texts(_seq.as_bytes(texts), shared.value, threshold) for _, texts in _seq.slices(batch)]
             yield pa.concat_arrays(parts) if parts else score_texts([], shared.value, threshold)
 
+    @F.arrow_udf(SCORE)
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _seq.released(scored)(batches)
+
     return score(text)
 
 
