@@ -1,7 +1,10 @@
 """Exact, suffix-array and suffix-tree dedup and the Jaccard join against plain
 Python, on the smallest table and on odd rows."""
 
+import random
+
 import llm_brute as brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +118,71 @@ def test_components(spark):
     assert found[100] == found[101] == 100
     assert 102 not in found
     assert got(connected_components(spark.createDataFrame([], "u long, v long"))) == []
+
+
+def _templated(n, own=22, shared=150, seed=1):
+    """Texts that share most words but stay under the threshold; every tenth is
+    a near copy of the one before."""
+    draw = random.Random(seed)
+    template = [f"t{k}" for k in range(shared)]
+    out, last = [], None
+    for k in range(n):
+        if k % 10 == 9:
+            words = list(last)
+            words[draw.randrange(len(words))] = f"x{k}"
+        else:
+            words = list(template)
+            for j in range(own):
+                words.insert(draw.randrange(len(words) + 1), f"o{k}_{j}")
+        last = words
+        out.append((k, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize(("large", "members", "cells"), [(64, 4096, 1 << 18), (3, 8, 1 << 18), (3, 4, 16)])
+def test_templated_texts_in_large_word_groups(spark, monkeypatch, large, members, cells):
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
+    monkeypatch.setattr(jaccard_join, "PART_MEMBERS", members)
+    monkeypatch.setattr(jaccard_join, "RARITY_CELLS", cells)
+    for rule in (jaccard_join.Rule(1, 85), jaccard_join.Rule(3, 90)):
+        docs = _templated(150)
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        assert got(jaccard_join.near_duplicates(frame, rule)) == sorted(brute.near(docs, rule.n, rule.percent), key=repr)
+
+
+def test_rarest_tokens_of_linked_sets_meet():
+    draw = np.random.default_rng(4)
+    rule = jaccard_join.Rule(3, 80)
+    count = draw.integers(0, 50, jaccard_join.RARITY_CELLS)
+    for _ in range(300):
+        common = draw.integers(1, 1 << 62, draw.integers(1, 60), dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([common, draw.integers(1, 1 << 62, draw.integers(0, 12), dtype=np.uint64)])) for _ in "ab")
+        if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+            text, token = jaccard_join._rarest(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), rule, count)
+            assert len(np.intersect1d(token[text == 0], token[text == 1]))
+
+
+def test_wide_sketches_bound_the_difference_from_below():
+    draw = np.random.default_rng(6)
+    for size in (600, 1500, 9000):
+        common = draw.integers(0, 1 << 64, size, dtype=np.uint64)
+        a = np.unique(common)
+        b = np.unique(np.concatenate([common[: size * 9 // 10], draw.integers(0, 1 << 64, size // 3, dtype=np.uint64)]))
+        differ = len(np.setxor1d(a, b))
+        bound = jaccard_join._fewest_different(jaccard_join._wide_sketch(a), jaccard_join._wide_sketch(b))
+        assert differ * 3 / 5 < bound <= differ and (differ - bound) % 2 == 0
+    assert len(jaccard_join._wide_sketch(common[:512])) == 0 and len(jaccard_join._wide_sketch(common[:513])) == 64
+
+
+def test_large_sets_that_pass_the_short_sketch(spark):
+    """Long texts whose short sketches are full of flips."""
+    draw = random.Random(8)
+    shared = [f"s{k}" for k in range(900)]
+    docs = []
+    for k in range(24):
+        own = [f"o{k if k % 3 else k // 6}_{j}" for j in range(700 if k % 4 else 90)]
+        docs.append((k, " ".join(shared + own)))
+        docs.append((100 + k, " ".join([w if draw.random() > 0.01 else f"x{k}" for w in shared + own])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for rule in (jaccard_join.Rule(2, 80), jaccard_join.Rule(1, 90)):
+        assert got(jaccard_join.near_duplicates(frame, rule)) == sorted(brute.near(docs, rule.n, rule.percent), key=repr)

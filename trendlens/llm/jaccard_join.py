@@ -16,7 +16,9 @@ blocks of few, frequent tokens form no groups.
 
 A second sketch of ``SKETCH_BITS`` parities (a token flips one bit) travels
 with each document; its Hamming distance is a lower bound of the number of
-differing tokens and drops most candidates.  The rest are verified on the sets.
+differing tokens and drops most candidates.  Of sets too large for so few bits,
+pairs that pass are compared by parities of ``WIDE_BITS`` bits a token, and only
+then verified on the sets.
 
 Groups of copies, without all pairs: documents of equal sets are one class,
 settled by an aggregate.  Round 1 pairs every member of a word group with the
@@ -25,6 +27,14 @@ at the members beside the first: where they still are of several components,
 those outside the most frequent one are paired with members of other components.
 Links inside a component change nothing, so the components are exact.
 
+A word group with more than ``LARGE`` such members (templates: texts that share
+blocks but stay under the threshold) is dealt anew by a second pigeonhole: of
+the documents in such groups, two that are linked share one of their rarest
+tokens, of which each has as many as it may miss and one more.  Rarity is a
+count in ``RARITY_CELLS`` cells of hashes; any order is right, since both use
+the same one, and a rare token's group is small.  What still is a large group
+is compared in parts: its outside members are salted by their number.
+
 Texts are never shuffled.  The scans that compute block words and sets leave out
 the rows that have no part in them by a bitmap of fixed size; what a full bitmap
 would let through is dropped by a join on the node.
@@ -55,12 +65,20 @@ U = np.uint64
 SKETCH_LONGS = 32
 SKETCH_BITS = 64 * SKETCH_LONGS
 BAND_RATIO = 1.5
+#: Bits for each token of the sketches that large sets have besides.
+WIDE_BITS = 4
 SPARE = 8  # one spare block for so many differing tokens
 LAST_ID = np.iinfo(np.int64).max
 #: Bits of a broadcast bitmap (8 MB), and bytes of Spark's bitmap buckets.
 BITMAP_POWER = 26
 PART_BYTES = 4096
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Members beside the first from which on a word group is dealt anew by rare tokens.
+LARGE = 64
+RARITY_CELLS = 1 << 18
+#: Members of a group that are compared as one part, and parts at most.
+PART_MEMBERS = 4096
+MOST_PARTS = 256
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -150,14 +168,33 @@ def _features(texts: list[bytes], rule: Rule) -> list[pa.Array]:
     np.add.at(two, text, _seq.mix(token ^ U(0x5851F42D4C957F2D)))
     flips = np.bincount(text * SKETCH_BITS + (token & U(SKETCH_BITS - 1)).astype(np.int64), minlength=n * SKETCH_BITS) & 1
     sketch = np.packbits(flips.astype(np.uint8)).view(np.int64)
+    wide = [_wide_sketch(token[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     return [
         pa.array(size),
         pa.array(one.view(np.int64)),
         pa.array(two.view(np.int64)),
         _lists(sketch, np.arange(n + 1) * SKETCH_LONGS),
+        _lists(np.concatenate([np.zeros(0, np.int64), *wide]), np.cumsum([0, *map(len, wide)])),
     ]
 
 
+def _wide_sketch(token: np.ndarray) -> np.ndarray:
+    """Parities of the tokens' low bits, a power of two of them; none where the
+    short sketch has as many.  Half as long a sketch is this one's halves XORed."""
+    bits = 1 << max(len(token) * WIDE_BITS - 1, 1).bit_length()
+    if bits <= SKETCH_BITS:
+        return np.zeros(0, np.int64)
+    flips = np.bincount((token & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
+def _fewest_different(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the number of tokens in which two sets differ."""
+    short = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, short), axis=0) for x in (a, b))
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())  # of signed numbers it would count the absolute value
+
+
 def _keys(texts: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """(text number, block key) of all texts, in their own and the next band."""
     token, bounds = token_sets(texts, rule.n)
@@ -171,15 +208,15 @@ def _keys(texts: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``node, n_shingles``, two hashes of the set and the sketch of every row."""
+    """``node, n_shingles``, two hashes of the set and the sketches of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in _seq.slices(batch["text"], SLICE_BYTES):
                 nodes = batch["node"].slice(at, len(part))
-                yield pa.RecordBatch.from_arrays([nodes, *_features(_seq.as_bytes(part), rule)], names=["node", "n_shingles", "h1", "h2", "sketch"])
+                yield pa.RecordBatch.from_arrays([nodes, *_features(_seq.as_bytes(part), rule)], names=["node", "n_shingles", "h1", "h2", "sketch", "wide"])
 
-    return docs.mapInArrow(run, "node long, n_shingles long, h1 long, h2 long, sketch array<long>")
+    return docs.mapInArrow(_seq.released(run), "node long, n_shingles long, h1 long, h2 long, sketch array<long>, wide array<long>")
 
 
 # --- rows of some nodes -----------------------------------------------------------
@@ -229,7 +266,7 @@ def block_keys(docs: DataFrame, rule: Rule, bits: np.ndarray, wanted: bool) -> D
                 nodes = batch["node"].slice(at, len(part)).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes[who])], names=["key", "node"])
 
-    return docs.mapInArrow(run, "key long, node long")
+    return docs.mapInArrow(_seq.released(run), "key long, node long")
 
 
 def sets(docs: DataFrame, rule: Rule, bits: np.ndarray) -> DataFrame:
@@ -243,7 +280,58 @@ def sets(docs: DataFrame, rule: Rule, bits: np.ndarray) -> DataFrame:
                 nodes = batch["node"].slice(at, len(part))
                 yield pa.RecordBatch.from_arrays([nodes, _lists(*token_sets(_seq.as_bytes(part), rule.n))], names=["node", "tokens"])
 
-    return docs.mapInArrow(run, "node long, tokens array<long>")
+    return docs.mapInArrow(_seq.released(run), "node long, tokens array<long>")
+
+
+def _cell(token: np.ndarray) -> np.ndarray:
+    return (_seq.mix(token ^ U(0x2545F4914F6CDD1D)) % U(RARITY_CELLS)).astype(np.int64)
+
+
+def rarity(docs: DataFrame, rule: Rule, bits: np.ndarray) -> np.ndarray:
+    """For each cell of token hashes, how many sets of the rows whose bit is set
+    hold its tokens; ``RARITY_CELLS`` rows reach the driver at most."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(RARITY_CELLS, np.int64)
+        for batch in batches:
+            for _, part in _seq.slices(_some_rows(batch, shared.value, True)["text"], SLICE_BYTES):
+                np.add.at(count, _cell(token_sets(_seq.as_bytes(part), rule.n)[0]), 1)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["cell", "n"])
+
+    counted = docs.mapInArrow(_seq.released(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(RARITY_CELLS, np.int64)
+    out[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    return out
+
+
+def _rarest(token: np.ndarray, bounds: np.ndarray, rule: Rule, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, token) of each text's rarest tokens: linked texts share at
+    least percent * size tokens of either size, so of size - that + 1 tokens one."""
+    size = np.diff(bounds)
+    text = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((token, count[_cell(token)], text))
+    nth = np.arange(len(token)) - np.repeat(bounds[:-1], size)
+    shared = -(size * rule.percent // -100)  # rounded up
+    some = order[nth < (size - shared + 1)[text]]
+    return text[some], token[some]
+
+
+def rare_tokens(docs: DataFrame, rule: Rule, bits: np.ndarray) -> DataFrame:
+    """``key, node``: the rarest tokens of the rows whose bit is set."""
+    shared = docs.sparkSession.sparkContext.broadcast((bits, rarity(docs, rule, bits)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, count = shared.value
+        for batch in batches:
+            batch = _some_rows(batch, bits, True)
+            for at, part in _seq.slices(batch["text"], SLICE_BYTES):
+                who, token = _rarest(*token_sets(_seq.as_bytes(part), rule.n), rule, count)
+                nodes = batch["node"].slice(at, len(part)).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(nodes[who])], names=["key", "node"])
+
+    return docs.mapInArrow(_seq.released(run), "key long, node long")
 
 
 def _hamming(a: str, b: str) -> Column:
@@ -256,8 +344,29 @@ def _may_link(rule: Rule, n: str, m: str, a: str, b: str) -> Column:
     return (small * 100 >= large * rule.percent) & (_hamming(a, b) * (100 + rule.percent) <= (F.col(n) + F.col(m)) * (100 - rule.percent))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+def _by_wide_sketch(pairs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
+    """``pairs`` without those whose wide sketches differ too much; a pair with
+    a set that has none stays."""
+    wide = found.where(F.size("wide") > 0)
+    a, b = (wide.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("wide").alias(f"w{k}")) for k in "uv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch[c] for c in ("nu", "nv", "wu", "wv")), strict=True):
+                near = not x.is_valid or not y.is_valid
+                if not near:
+                    differ = _fewest_different(*(z.values.to_numpy(zero_copy_only=False) for z in (x, y)))
+                    near = differ * (100 + rule.percent) <= (n.as_py() + m.as_py()) * (100 - rule.percent)
+                keep.append(near)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(a, "u", "left").join(b, "v", "left").mapInArrow(_seq.released(run), "u long, v long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     """Those of ``pairs`` (u, v) whose sets are similar enough."""
+    pairs = materialize(_by_wide_sketch(pairs, found, rule).distinct(), "near-pairs")
     chosen = sets(texts, rule, bitmap(pairs.select(F.explode(F.array("u", "v")).alias("node"))))
     a, b = (chosen.select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}")) for k in "uv")
     both = pairs.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("tu", "tv")))
@@ -265,6 +374,43 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return both.where(similar).select("u", "v")
 
 
+def _of_several_components(members: DataFrame) -> DataFrame:
+    """``key, node, component`` of the groups with members of several components,
+    with the most frequent one, ``main``, and the number of members, ``n``."""
+    counted = members.groupBy("key", "component").agg(F.count("*").alias("c"))
+    main = counted.groupBy("key").agg(
+        F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("n"), F.count("*").alias("k")
+    )
+    return members.join(main.where("k > 1").drop("k"), "key").select("key", "node", "component", "main", "n")
+
+
+def _crossing(mixed: DataFrame, sketch: DataFrame, rule: Rule) -> DataFrame:
+    """(u, v) of different components of a group, u outside the main one, whose
+    sketches allow a link.  The outside members of a large group are dealt over
+    parts, each of which meets all others."""
+    cells = [f"s{i}" for i in range(SKETCH_LONGS)]
+    members = mixed.join(sketch, "node").withColumn("parts", F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / PART_MEMBERS)).cast("int"))
+    outside = members.where("component != main").select(
+        "key",
+        F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"),
+        F.col("node").alias("u"),
+        F.col("component").alias("cu"),
+        F.col("n_shingles").alias("n"),
+        *[F.col(c).alias(f"a{c[1:]}") for c in cells],
+    )
+    others = members.select(
+        "key",
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.col("node").alias("v"),
+        F.col("component").alias("cv"),
+        (F.col("component") == F.col("main")).alias("in_main"),
+        F.col("n_shingles").alias("m"),
+        *[F.col(c).alias(f"b{c[1:]}") for c in cells],
+    )
+    different = (F.col("cu") != F.col("cv")) & (F.col("in_main") | (F.col("u") > F.col("v")))
+    return outside.join(others, ["key", "part"]).where(different & _may_link(rule, "n", "m", "a", "b")).select("u", "v").distinct()
+
+
 def near_duplicates(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``."""
     rows = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("node"), "text")
@@ -292,29 +438,18 @@ def near_duplicates(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
     y = sketch.select(F.col("node").alias("v"), F.col("n_shingles").alias("m"), *[F.col(f"s{i}").alias(f"b{i}") for i in range(SKETCH_LONGS)])
     stars = grouped.where("node > first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
     stars = stars.join(x, "u").join(y, "v").where(_may_link(rule, "n", "m", "a", "b")).select("u", "v").distinct()
-    links = materialize(verified(materialize(stars, "stars"), rows, rule), "links")
+    links = materialize(verified(materialize(stars, "stars"), rows, found, rule), "links")
     parts = connected_components(links).select("node", "component")
 
     # round 2: the members beside the first, where they are of several components
     marked = grouped.where("node != first").select("key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counted = marked.groupBy("key", "component").agg(F.count("*").alias("c"))
-    main = counted.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k"))
-    mixed = materialize(marked.join(main.where("k > 1").drop("k"), "key").join(sketch, "node"), "mixed")
-    cells = [f"s{i}" for i in range(SKETCH_LONGS)]
-    outside = mixed.where("component != main").select(
-        "key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("n_shingles").alias("n"), *[F.col(c).alias(f"a{c[1:]}") for c in cells]
-    )
-    others = mixed.select(
-        "key",
-        F.col("node").alias("v"),
-        F.col("component").alias("cv"),
-        (F.col("component") == F.col("main")).alias("in_main"),
-        F.col("n_shingles").alias("m"),
-        *[F.col(c).alias(f"b{c[1:]}") for c in cells],
-    )
-    different = (F.col("cu") != F.col("cv")) & (F.col("in_main") | (F.col("u") > F.col("v")))
-    crossing = outside.join(others, "key").where(different & _may_link(rule, "n", "m", "a", "b")).select("u", "v").distinct()
-    more = verified(materialize(crossing, "crossing"), rows, rule)
+    mixed = materialize(_of_several_components(marked), "mixed")
+    wide = materialize(mixed.where(F.col("n") > LARGE).select("node", "component").distinct(), "wide")
+    if not wide.isEmpty():
+        tokens = rare_tokens(rows, rule, bitmap(wide)).join(wide, "node")
+        mixed = materialize(mixed.where(F.col("n") <= LARGE).unionByName(_of_several_components(tokens)), "mixed")
+    crossing = _crossing(mixed, sketch, rule)
+    more = verified(materialize(crossing, "crossing"), rows, found, rule)
 
     joined = connected_components(links.unionByName(more).unionByName(members.select(F.col("node").alias("u"), F.col("rep").alias("v"))))
     out = found.select("node", "n_shingles").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
