@@ -453,6 +453,12 @@ def _catalog_sql() -> dict[str, str]:
                 "FROM topic_facts GROUP BY date, level1, level2, topic"
             )
         ),
+        "compacted_rollup": _with(
+            select=(
+                f"SELECT date, level1, level2, topic, {', '.join(_s(m) for m in METRICS)} "
+                "FROM topic_facts GROUP BY date, level1, level2, topic"
+            )
+        ),
         "daily_rollup": _with(
             select=(
                 f"SELECT date, level1, level2, topic, {', '.join(_s(m) for m in METRICS)} "

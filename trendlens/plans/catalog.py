@@ -24,7 +24,7 @@ from trendlens.plans import brand, trending
 from trendlens.plans.export import export_categories
 from trendlens.plans.roles import detect_roles, override_roles
 from trendlens.session import scratch_path
-from trendlens.streaming import read_rollup, start_rollup_stream
+from trendlens.streaming import read_rollup, start_rollup_stream, vacuum
 from trendlens.sources import fixtures as fx
 from trendlens.sources.readers import normalise_nulls, read_csv, read_parquet, read_table, union
 from trendlens.sources.schemas import EXPORTED_FACTS, KEYWORD_SCHEMA, MAP_SCHEMA, TOPIC_FACTS
@@ -453,6 +453,18 @@ def streamed_rollup(spark, d):
     return read_rollup(spark, sink, checkpoint=ckpt)
 
 
+def compacted_rollup(spark, d):
+    """A20 in small batches that are folded every third time, then vacuumed; the
+    rest of the batches is read as it is."""
+    facts = _facts(spark, d)
+    src = scratch_path(spark, "landing")
+    facts.repartition(8, F.col("topic"), F.col("date")).write.parquet(src)
+    sink, ckpt = scratch_path(spark, "folded_parts"), scratch_path(spark, "folded_ckpt")
+    start_rollup_stream(spark, src, facts.schema, sink, ckpt, files_per_batch=1, compact_every=3).awaitTermination()
+    vacuum(spark, sink, keep=1)
+    return read_rollup(spark, sink)
+
+
 def hash_sample_portable(spark, d):
     return hash_sample(_facts(spark, d), ["topic", "date"], buckets=4, keep=0, hash="md5")
 
@@ -531,6 +543,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         partitioned_roundtrip,
         daily_rollup,
         streamed_rollup,
+        compacted_rollup,
         hash_sample_portable,
     )
 }

@@ -1,5 +1,5 @@
 """Structured Streaming variants of the batch jobs."""
 
-from trendlens.streaming.rollup import read_rollup, start_rollup_stream
+from trendlens.streaming.rollup import compact, read_rollup, start_rollup_stream, vacuum
 
-__all__ = ["read_rollup", "start_rollup_stream"]
+__all__ = ["compact", "read_rollup", "start_rollup_stream", "vacuum"]
