@@ -447,6 +447,34 @@ def _catalog_sql() -> dict[str, str]:
                 "COALESCE(CAST(topic AS VARCHAR), '\\N'), COALESCE(CAST(date AS VARCHAR), '\\N'))), 1, 8)) AS BIGINT) % 4 = 0"
             )
         ),
+        "sample_per_level1": _with(
+            select=(
+                f"SELECT {FACTS_COLS} FROM topic_facts QUALIFY row_number() OVER (PARTITION BY level1 ORDER BY "
+                "CAST(('0x' || substr(md5(concat_ws('|', '42', "
+                + ", ".join(f"COALESCE(CAST({c} AS VARCHAR), '\\N')" for c in catalog.FACT_COLUMNS)
+                + ")), 1, 15)) AS BIGINT), "
+                + ", ".join(f"{c} NULLS LAST" for c in catalog.FACT_COLUMNS)
+                + ") <= 20"
+            )
+        ),
+        "topics_ranked": _with(
+            _sums_cte(),
+            select=f"SELECT CAST(row_number() OVER (ORDER BY {ORDER_CONV}) AS BIGINT) AS rank, topic, {', '.join(METRICS)} FROM sums",
+        ),
+        "top_topics_per_level1": _with(
+            f"s AS (SELECT level1, topic, {', '.join(_s(m) for m in METRICS)} FROM topic_facts WHERE topic IS NOT NULL GROUP BY level1, topic)",
+            select=(
+                f"SELECT CAST(row_number() OVER (PARTITION BY level1 ORDER BY {ORDER_CONV}) AS BIGINT) AS rank, "
+                f"level1, topic, {', '.join(METRICS)} FROM s QUALIFY row_number() OVER (PARTITION BY level1 ORDER BY {ORDER_CONV}) <= 10"
+            ),
+        ),
+        "topic_values_third_page": _with(
+            f"v AS ({_distinct('topic')})", select="SELECT topic FROM v ORDER BY topic LIMIT 20 OFFSET 40"
+        ),
+        "clustered_roundtrip": _with(select=f"SELECT {FACTS_COLS} FROM topic_facts WHERE date BETWEEN DATE '{D0}' AND DATE '{D1}'"),
+        "brand_search_indexed": _with(select=f"SELECT * FROM keywords WHERE {BRAND_HIT}"),
+        "topic_search_indexed": _with(f"v AS ({_distinct('topic')})", select=f"SELECT topic FROM v WHERE {TOPIC_HIT}"),
+        "keywords_bucketed": _with(select=f"SELECT {KW_ROWS} FROM mapped"),
         "streamed_rollup": _with(
             select=(
                 f"SELECT date, level1, level2, topic, {', '.join(_s(m) for m in METRICS)} "

@@ -19,13 +19,17 @@ from trendlens.operators import aggregate as agg
 from trendlens.operators import filters as flt
 from trendlens.operators import topn
 from trendlens.operators.brands import distinct_brands, explode_brands, keyword_kpis, with_brands_list
+from trendlens.operators.bucketed import attach_topics_bucketed, write_bucketed
 from trendlens.operators.joins import attach_topics
+from trendlens.operators.sampling import sample_per_category
+from trendlens.operators.search import build_text_index
 from trendlens.plans import brand, trending
 from trendlens.plans.export import export_categories
 from trendlens.plans.roles import detect_roles, override_roles
 from trendlens.session import scratch_path
 from trendlens.streaming import read_rollup, start_rollup_stream, vacuum
 from trendlens.sources import fixtures as fx
+from trendlens.sources.layout import write_clustered
 from trendlens.sources.readers import normalise_nulls, read_csv, read_parquet, read_table, union
 from trendlens.sources.schemas import EXPORTED_FACTS, KEYWORD_SCHEMA, MAP_SCHEMA, TOPIC_FACTS
 from trendlens.sources.writers import hash_sample, rollup, tee, write_csv, write_parquet, write_partitioned
@@ -469,6 +473,59 @@ def hash_sample_portable(spark, d):
     return hash_sample(_facts(spark, d), ["topic", "date"], buckets=4, keep=0, hash="md5")
 
 
+def sample_per_level1(spark, d):
+    """Exactly 20 rows of every category, or all it has."""
+    return sample_per_category(_facts(spark, d), ["level1"], 20, keys=FACT_COLUMNS, hash="md5").select(*FACT_COLUMNS)
+
+
+def topics_ranked(spark, d):
+    """Every topic with its rank (F1), no top-N before it."""
+    return topn.rank_all(agg.topic_totals(_facts(spark, d)), "raw_conversations", "topic")
+
+
+def top_topics_per_level1(spark, d):
+    """The top 10 (M1) of every category in one pass."""
+    facts = _facts(spark, d).where("topic is not null")
+    sums = facts.groupBy("level1", "topic").agg(*[agg.total(m, m) for m in agg.TOPIC_METRICS])
+    return topn.top_n_by(sums, ["level1"], 10, "raw_conversations", "topic")
+
+
+def topic_values_third_page(spark, d):
+    """A page reached by continuation tokens."""
+    values, token = agg.distinct_values(_facts(spark, d), "topic"), None
+    for _ in range(2):
+        token = [topn.page_after(values, ["topic"], 20, token).agg(F.max("topic")).first()[0]]
+    return topn.page_after(values, ["topic"], 20, token)
+
+
+def clustered_roundtrip(spark, d):
+    """Facts laid out by date and category together (A19), read with a filter."""
+    facts = _facts(spark, d)
+    out = scratch_path(spark, "clustered")
+    write_clustered(facts, out, ["date", "level1"], files=16)
+    return flt.by_dates(spark.read.schema(facts.schema).parquet(out), "date", DATE_RANGE).select(*FACT_COLUMNS)
+
+
+def brand_search_indexed(spark, d):
+    """Keyword rows whose brand text holds the term (C8), through an index."""
+    kw = _kw(spark, d)
+    return build_text_index(kw, "brands", scratch_path(spark, "brand_index")).rows(kw, BRAND_TERM)
+
+
+def topic_search_indexed(spark, d):
+    """Topics that contain the term (C9), through an index."""
+    values = agg.distinct_values(_facts(spark, d), "topic")
+    return build_text_index(values, "topic", scratch_path(spark, "topic_index")).texts(TOPIC_TERM)
+
+
+def keywords_bucketed(spark, d):
+    """The keyword-to-topic join (D1) of tables that are dealt once."""
+    out = scratch_path(spark, "bucketed")
+    tables = tuple(f"{side}_{out.rsplit('-', 1)[1]}" for side in ("keywords", "map"))
+    write_bucketed(_kw(spark, d), _map(spark, d), tables, out, buckets=8)
+    return attach_topics_bucketed(spark, tables).select(*KEYWORD_ROW_COLUMNS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -545,5 +602,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         streamed_rollup,
         compacted_rollup,
         hash_sample_portable,
+        sample_per_level1,
+        topics_ranked,
+        top_topics_per_level1,
+        topic_values_third_page,
+        clustered_roundtrip,
+        brand_search_indexed,
+        topic_search_indexed,
+        keywords_bucketed,
     )
 }
