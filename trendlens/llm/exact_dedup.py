@@ -6,9 +6,17 @@ character is deleted.  Rows whose normalised length, and then whose (length,
 prefix hash), is unique are settled without a look at their full content; the
 full hash decides among the rest.  All of it is DataFrame code.
 
+Where every row's hash is asked for (``hash_all``), the content must be read in
+full anyway: it is hashed in the same read, and what is refined and shuffled are
+ids and hashes, never texts.
+
 Skew: every group count is a partial aggregate, so a group with a third of all
 rows costs one row for each map task.  The two joins have the unique group
-table on one side, and adaptive execution splits a hot partition of the other.
+table, written before, on one side: Spark broadcasts it where its written size
+allows, else adaptive execution splits a hot partition of the other side.
+
+Very long texts are one value each: a task holds one of them, its normalised
+form and its hash at a time.
 
 Defined results: null texts count as empty, and empty texts are equal to each
 other and to texts of white space only.  Of equal texts the row with the most
@@ -57,19 +65,19 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int = P
         normalised(text_col).alias("body"),
     ).select("*", F.length("body").alias("body_len"), F.xxhash64(F.substring("body", 1, prefix_chars)).alias("prefix"))
 
-    # length and prefix hash come from the same read, so that one count refines by both
-    by_prefix = (
-        rows.groupBy("body_len", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("body_len", "prefix", F.lit(True).alias("open"))
-    )
+    # Where every row's hash is wanted, it is taken in the one read of the texts, and
+    # only ids and hashes are refined; else the texts of open groups are hashed.
     full = F.sha2("body", 256)
-    hashed = rows.join(by_prefix, ["body_len", "prefix"], "left").select(
-        "doc_id",
-        "n_points",
-        "body_len",
-        F.coalesce("open", F.lit(False)).alias("open"),
-        (full if hash_all else F.when(F.col("open"), full)).alias("text_sha256"),
-    )
-    hashed = materialize(hashed, "hashed")  # no texts; read twice below
+    thin = ["doc_id", "n_points", "body_len", "prefix"]
+    if hash_all:
+        rows = materialize(rows.select(*thin, full.alias("text_sha256")), "hashes")
+    # length and prefix hash come from the same read, so that one count refines by both
+    by_prefix = rows.groupBy("body_len", "prefix").agg(F.count("*").alias("n")).where("n > 1")
+    # written: a join of two shuffled sides, of which a hot key's partition can be split
+    by_prefix = materialize(by_prefix.select("body_len", "prefix", F.lit(True).alias("open")), "open-prefixes")
+    joined = rows.join(by_prefix, ["body_len", "prefix"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    sha = F.col("text_sha256") if hash_all else F.when(F.col("open"), full)
+    hashed = materialize(joined.select("doc_id", "n_points", "body_len", "open", sha.alias("text_sha256")), "hashed")  # no texts; read twice below
     groups = (
         hashed.where("open")
         .groupBy("body_len", "text_sha256")
@@ -86,6 +94,7 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int = P
             "group_size",
         )
     )
+    groups = materialize(groups, "copies")
     joined = hashed.join(groups, (F.col("open") & (F.col("body_len") == F.col("g_len")) & (F.col("text_sha256") == F.col("g_sha"))), "left")
     alone = F.col("group_size").isNull()
     return joined.select(
@@ -111,7 +120,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def keyed(doc_id: Column, n_points: Column, sha: Column) -> Column:
         return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), n_points.cast("string"), sha)
 
-    gone = _verdicts(docs, id_col, text_col).where("not kept").select(keyed(F.col("doc_id"), F.col("n_points"), F.col("text_sha256")).alias(key))
+    gone = _verdicts(docs, id_col, text_col, hash_all=True).where("not kept").select(keyed(F.col("doc_id"), F.col("n_points"), F.col("text_sha256")).alias(key))
     gone = gone.distinct()
     rows = docs.withColumn(key, keyed(F.col(id_col).cast("long"), F.length(text_of(text_col)), F.sha2(normalised(text_col), 256)))
     same = W.partitionBy(key).orderBy(F.lit(0))
