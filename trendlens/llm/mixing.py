@@ -18,7 +18,9 @@ shards.
 
 Defined results: null or empty texts have size 0 and take 0; null sources are
 one source, last in order; a corpus without words gives targets 0.  Rows that
-repeat an id are separate documents.
+repeat an id are separate documents; they, with ``row_col``, and null ids are
+dealt to shards by a hash of the text beside the id.  A very long text counts by
+its size like any other; only its number of words is kept.
 """
 
 from __future__ import annotations
@@ -114,13 +116,14 @@ def mix(
     """One row per row of ``docs``: ``doc_id, size, source, source_size, target,
     taken`` and ``rounds`` (whole repeats) with ``blocks`` (further blocks that
     touch the document).  With ``row_col``, a column that tells all rows apart,
-    also that column as ``row``, and ``nth``, the row's number (from 0) among
-    those of its source that share its id."""
+    also that column as ``row``, the row's seeded place ``at``, and ``nth``, its
+    number (from 0) among those of its source with the same id and place."""
     own = [] if row_col is None else ["row"]
     sizes = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         n_words(text_of(text_col)).alias("size"),
+        F.xxhash64(text_of(text_col)).alias("content"),
         *[F.col(row_col).alias(c) for c in own],
     )
     sizes = materialize(sizes, "mix-sizes")  # ids and counts only: the texts are read once
@@ -133,7 +136,9 @@ def mix(
     per_source = materialize(per_source.withColumnRenamed("source", "s_source").withColumnRenamed("quota", "source_quota"), "mix-sources")
 
     lines = sizes.join(per_source, F.col("source").eqNullSafe(F.col("s_source")), "left").drop("s_source")
-    lines = lines.withColumn("at", hash_int(F.lit(seed), F.col("doc_id")))
+    # null ids, and ids that may repeat, are dealt by the text too: not all to one shard
+    alone = F.lit(not own) & F.col("doc_id").isNotNull()
+    lines = lines.withColumn("at", hash_int(F.lit(seed), F.col("doc_id"), F.when(~alone, F.col("content")))).drop("content")
     lines = lines.withColumn("shard", F.col("at") % F.col("n_shards"))
     line = W.partitionBy("source", "shard").orderBy("at", F.col("doc_id").asc_nulls_last(), "size", *own)
     lines = lines.withColumn("start", F.coalesce(F.sum("size").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -174,7 +179,7 @@ def mix(
         (F.col("rounds") * F.col("size") + tokens(end) - tokens(F.col("start"))).cast("long").alias("taken"),
         "rounds",
         F.when(F.col("size") > 0, chosen(F.ceil(end / b)) - chosen(F.floor(F.col("start") / b))).otherwise(0).cast("long").alias("blocks"),
-        *[c for o in own for c in (o, "nth")],
+        *[c for o in own for c in (o, "at", "nth")],
     )
 
 
