@@ -64,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs, key, "mix-rows")
     taken = mixing.mix(rows, row_col=key).where("size > 0 and taken > 0")
     nth = F.when(F.col("nth") > 0, F.col("nth"))
-    draw = mixing.hash_int(F.lit(mixing.SEED), F.lit("draw"), F.col("doc_id"), nth) / F.lit(float(1 << 32))
+    draw = mixing.hash_int(F.lit(mixing.SEED), F.lit("draw"), F.col("at"), nth) / F.lit(float(1 << 32))
     times = F.floor(F.col("taken") / F.col("size") + draw).cast("int")
     decided = taken.select(F.col("row").alias(key), times.alias(copies)).where(F.col(copies) > 0)
     joined = rows.join(decided, key)
