@@ -116,8 +116,10 @@ def mix(
     """One row per row of ``docs``: ``doc_id, size, source, source_size, target,
     taken`` and ``rounds`` (whole repeats) with ``blocks`` (further blocks that
     touch the document).  With ``row_col``, a column that tells all rows apart,
-    also that column as ``row``, the row's seeded place ``at``, and ``nth``, its
-    number (from 0) among those of its source with the same id and place."""
+    also that column as ``row``, and ``copies``: how often the whole document
+    stands in the mix.  Along a shard's line the documents' shares (taken / size)
+    add up, and one stands as often as the sum passes a whole number (from a
+    seeded first place on), so a line's copies differ from its shares by less than one."""
     own = [] if row_col is None else ["row"]
     sizes = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -142,9 +144,6 @@ def mix(
     lines = lines.withColumn("shard", F.col("at") % F.col("n_shards"))
     line = W.partitionBy("source", "shard").orderBy("at", F.col("doc_id").asc_nulls_last(), "size", *own)
     lines = lines.withColumn("start", F.coalesce(F.sum("size").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    if own:
-        same_id = W.partitionBy("source", "shard", "at", "doc_id").orderBy("size", *own)
-        lines = lines.withColumn("nth", F.row_number().over(same_id) - 1)
 
     shards = lines.groupBy("source", "shard").agg(F.sum("size").alias("length"), F.first("source_quota").alias("source_quota"))
     shards = apportion(shards, ["source"], ["source", "shard"], "length", "source_quota")
@@ -170,16 +169,24 @@ def mix(
         return b * chosen(j) + (x % b) * (chosen(j + 1) - chosen(j))
 
     end = F.col("start") + F.col("size")
+    placed = placed.withColumn("taken", (F.col("rounds") * F.col("size") + tokens(end) - tokens(F.col("start"))).cast("long"))
+    more = []
+    if own:
+        share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)
+        before = F.coalesce(F.sum(share).over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+        first = hash_int(F.lit(seed), F.lit("draw"), F.col("source"), F.col("shard")) / F.lit(float(1 << 32))
+        copies = F.floor(before + share + first) - F.floor(before + first)
+        more = [*own, F.least(copies, F.ceil(share)).cast("int").alias("copies")]
     return placed.select(
         "doc_id",
         "source",
         "size",
         "source_size",
         "target",
-        (F.col("rounds") * F.col("size") + tokens(end) - tokens(F.col("start"))).cast("long").alias("taken"),
+        "taken",
         "rounds",
         F.when(F.col("size") > 0, chosen(F.ceil(end / b)) - chosen(F.floor(F.col("start") / b))).otherwise(0).cast("long").alias("blocks"),
-        *[c for o in own for c in (o, "at", "nth")],
+        *more,
     )
 
 
