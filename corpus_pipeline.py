@@ -56,17 +56,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stands in the mix as often as its taken words fill it; the
-    part of a repeat that is left over is rounded up or down by a seeded draw,
-    so that the sources' words stay near their targets.  Rows that share an id
-    are decided and drawn each."""
+    """A document stands in the mix as often as its taken words fill it; what is
+    left over is rounded along a seeded order of the documents, so that the
+    sources' words stay near their targets.  Rows that share an id are decided
+    each."""
     key, copies = _own(docs, "row_key"), _own(docs, "mix_copies")
     rows = _numbered(docs, key, "mix-rows")
-    taken = mixing.mix(rows, row_col=key).where("size > 0 and taken > 0")
-    nth = F.when(F.col("nth") > 0, F.col("nth"))
-    draw = mixing.hash_int(F.lit(mixing.SEED), F.lit("draw"), F.col("at"), nth) / F.lit(float(1 << 32))
-    times = F.floor(F.col("taken") / F.col("size") + draw).cast("int")
-    decided = taken.select(F.col("row").alias(key), times.alias(copies)).where(F.col(copies) > 0)
+    decided = mixing.mix(rows, row_col=key).where("copies > 0").select(F.col("row").alias(key), F.col("copies").alias(copies))
     joined = rows.join(decided, key)
     return joined.withColumn(key, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(*docs.columns)
 
