@@ -35,6 +35,8 @@ from trendlens.llm._common import id_and_text, table
 CACHE_WORDS = 300_000
 LONG = 64
 DECODE_ROWS = 100
+#: Text whose new words are folded together: each fold has a fixed cost for every length of word.
+FOLD_BYTES = 1 << 20
 NO_RANK = np.int64(1 << 60)
 
 
@@ -202,7 +204,7 @@ class Encoder:
 def encode_batches(batches: Iterator[pa.Array], vocabulary: Vocabulary, pattern: str, cache_words: int) -> Iterator[pa.Array]:
     encoder = Encoder(vocabulary, pattern, cache_words)
     for batch in batches:
-        parts = [encoder.encode(texts.to_pylist()) for _, texts in _seq.slices(batch)]
+        parts = [encoder.encode(texts.to_pylist()) for _, texts in _seq.slices(batch, FOLD_BYTES)]
         yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
 
@@ -248,7 +250,7 @@ class Tokenizer:
             vocabulary = Vocabulary.of(shared.value)
             encoder = Encoder(vocabulary, pattern, cache_words)
             for batch in batches:
-                for at, texts in _seq.slices(batch["text"]):
+                for at, texts in _seq.slices(batch["text"], FOLD_BYTES):
                     ids = encoder.encode(texts.to_pylist())
                     columns = [batch["doc_id"].slice(at, len(texts)), ids, decode_lists(ids, vocabulary)]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
