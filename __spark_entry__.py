@@ -447,6 +447,18 @@ def _catalog_sql() -> dict[str, str]:
                 "COALESCE(CAST(topic AS VARCHAR), '\\N'), COALESCE(CAST(date AS VARCHAR), '\\N'))), 1, 8)) AS BIGINT) % 4 = 0"
             )
         ),
+        "quarantine_good": (
+            "SELECT concat(p_name, ' ', CAST(p_partkey AS VARCHAR(20))) AS keyword, CAST(p_size * 10 AS BIGINT) AS volume, "
+            "CAST(DATE '1995-01-01' + CAST(p_partkey % 60 AS INT) AS DATE) AS date FROM part WHERE p_partkey % 31 <> 0 AND p_partkey % 37 <> 0"
+        ),
+        "quarantine_rejected": (
+            "SELECT concat(p_name, ' ', CAST(p_partkey AS VARCHAR(20))) AS keyword, "
+            "CASE WHEN p_partkey % 31 = 0 THEN 'many' ELSE CAST(p_size * 10 AS VARCHAR) END AS volume, "
+            "CASE WHEN p_partkey % 37 = 0 THEN '1995-13-45' ELSE CAST(CAST(DATE '1995-01-01' + CAST(p_partkey % 60 AS INT) AS DATE) AS VARCHAR) END AS date, "
+            "concat_ws('; ', CASE WHEN p_partkey % 31 = 0 THEN 'not a bigint in volume: many' END, "
+            "CASE WHEN p_partkey % 37 = 0 THEN 'not a date in date: 1995-13-45' END) AS reasons "
+            "FROM part WHERE p_partkey % 31 = 0 OR p_partkey % 37 = 0"
+        ),
         "sample_per_level1": _with(
             select=(
                 f"SELECT {FACTS_COLS} FROM topic_facts QUALIFY row_number() OVER (PARTITION BY level1 ORDER BY "

@@ -30,6 +30,7 @@ from trendlens.session import scratch_path
 from trendlens.streaming import read_rollup, start_rollup_stream, vacuum
 from trendlens.sources import fixtures as fx
 from trendlens.sources.layout import write_clustered
+from trendlens.sources.quarantine import load_csv
 from trendlens.sources.readers import normalise_nulls, read_csv, read_parquet, read_table, union
 from trendlens.sources.schemas import EXPORTED_FACTS, KEYWORD_SCHEMA, MAP_SCHEMA, TOPIC_FACTS
 from trendlens.sources.writers import hash_sample, rollup, tee, write_csv, write_parquet, write_partitioned
@@ -526,6 +527,27 @@ def keywords_bucketed(spark, d):
     return attach_topics_bucketed(spark, tables).select(*KEYWORD_ROW_COLUMNS)
 
 
+def _loaded(spark, d):
+    """Keywords from a CSV file in which some volumes and days are no such."""
+    kw = fx.keywords(spark, d).withColumn("_k", F.regexp_extract("keyword", r"(\d+)$", 1).cast("bigint"))
+    volume = F.when(F.col("_k") % 31 == 0, F.lit("many")).otherwise(F.col("volume").cast("string"))
+    day = F.when(F.col("_k") % 37 == 0, F.lit("1995-13-45")).otherwise(F.col("date").cast("string"))
+    out = scratch_path(spark, "spoilt_csv")
+    write_csv(kw.select("keyword", volume.alias("volume"), day.alias("date")), out)
+    return load_csv(spark, out, "keyword string, volume bigint, date date", scratch_path(spark, "loaded"), required=["keyword"])
+
+
+def quarantine_good(spark, d):
+    """The rows that fit."""
+    return _loaded(spark, d).good
+
+
+def quarantine_rejected(spark, d):
+    """The rows that don't (A9), as they were read, with the reasons."""
+    rejected = _loaded(spark, d).rejected
+    return rejected.select("keyword", "volume", "date", F.array_join("reasons", "; ").alias("reasons"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -610,5 +632,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         brand_search_indexed,
         topic_search_indexed,
         keywords_bucketed,
+        quarantine_good,
+        quarantine_rejected,
     )
 }
