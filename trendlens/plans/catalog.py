@@ -29,6 +29,7 @@ from trendlens.plans.roles import detect_roles, override_roles
 from trendlens.session import scratch_path
 from trendlens.streaming import read_rollup, start_rollup_stream, vacuum
 from trendlens.sources import fixtures as fx
+from trendlens.sources.cache import kept
 from trendlens.sources.layout import write_clustered
 from trendlens.sources.quarantine import load_csv
 from trendlens.sources.readers import normalise_nulls, read_csv, read_parquet, read_table, union
@@ -548,6 +549,13 @@ def quarantine_rejected(spark, d):
     return rejected.select("keyword", "volume", "date", F.array_join("reasons", "; ").alias("reasons"))
 
 
+def kept_topics(spark, d):
+    """Sums per topic from a kept result (A11); the second call reads it."""
+    root = scratch_path(spark, "results")
+    kept(agg.topic_totals(_facts(spark, d)), root)
+    return kept(agg.topic_totals(_facts(spark, d)), root)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -634,5 +642,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         keywords_bucketed,
         quarantine_good,
         quarantine_rejected,
+        kept_topics,
     )
 }

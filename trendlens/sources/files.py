@@ -55,3 +55,13 @@ def write_text(spark: SparkSession, path: str, text: str, overwrite: bool) -> No
 def delete(spark: SparkSession, path: str) -> None:
     at, fs = _fs(spark, path)
     fs.delete(at, True)
+
+
+def listing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Path, size and time of each file, in the order of the paths."""
+    out = []
+    for path in sorted(paths):
+        at, fs = _fs(spark, path)
+        status = fs.getFileStatus(at)
+        out.append(f"{path} {status.getLen()} {status.getModificationTime()}")
+    return out
