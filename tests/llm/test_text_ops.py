@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from conftest_llm import SF, got, pairs
 from oracle_check import compare, duck
-from trendlens.llm import bpe, chat, lattice_lm, licenses, mixing, quality, queries
+from trendlens.llm import _seq, bpe, chat, lattice_lm, licenses, mixing, quality, queries
 
 TABLES = ["odd", "small_docs", "empty"]
 
@@ -348,3 +348,45 @@ def test_run_is_the_stages(spark):
         docs = stage(spark, docs, SF)
     key = lambda r: (r.doc_id, r.ids_sha256)
     assert sorted(map(key, corpus_pipeline.run(spark, SF).collect())) == sorted(map(key, docs.collect()))
+
+
+def _plain_cells(text, buckets):
+    """Cells of the 1-grams and 2-grams of a text, one number at a time."""
+    whole = (1 << 64) - 1
+    value, odd = [int(v) for v in _seq._BYTE], 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & whole
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & whole
+        return x ^ (x >> 31)
+
+    def word_hash(word):
+        data = word.encode()
+        return mix((sum(value[b] * pow(odd, j, 1 << 64) for j, b in enumerate(data)) + len(data) * 0xD6E8FEB86659FD93) & whole)
+
+    one = [word_hash(w) for w in brute.words(text)]
+    two = [mix((3 * a + b) & whole) for a, b in zip(one, one[1:], strict=False)]
+    return [h % buckets for h in one + two]
+
+
+def test_log_ratios_and_verdicts_are_those_of_plain_python(spark, small_docs):
+    docs = pairs(small_docs)
+    marks = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        marks[r.doc_id].append(r.quality == 1 and (r.toxic or 0) == 0)
+    trusted = {i for i, m in marks.items() if all(m)}
+    cells = [_plain_cells(t, quality.BUCKETS) for _, t in docs]
+    raw, good = collections.Counter(), collections.Counter()
+    for (i, _), own in zip(docs, cells, strict=True):
+        raw.update(own)
+        good.update(own if i in trusted else ())
+    share, s = sum(good.values()) / sum(raw.values()), quality.SMOOTHING
+    ratio = {c: math.log((good[c] + s) / (raw[c] * share + s)) for c in raw}
+    found = {r.doc_id: r for r in quality.op9_quality_rules(spark, SF).collect()}
+    kept = 0
+    for (i, _), own in zip(docs, cells, strict=True):
+        llr = sum(ratio[c] for c in own) / max(len(own), 1)
+        assert found[i].llr == pytest.approx(llr, abs=1e-9)
+        assert found[i].kept == (not found[i].base_failed and llr >= quality.THRESHOLD) or abs(llr - quality.THRESHOLD) < 1e-9
+        kept += found[i].kept
+    assert 0 < kept < len(docs)
