@@ -128,3 +128,9 @@ def test_tee_csv(spark):
     assert writers.tee(df, a, b, fmt="csv") == 2
     schema = "t string, n bigint"
     assert rows(readers.read_csv(spark, a, schema=schema)) == rows(readers.read_csv(spark, b, schema=schema)) == rows(df)
+
+
+def test_chunk_size_warns(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    with pytest.warns(UserWarning, match="no effect"):
+        assert readers.read_table(spark, f"{tmp_path}/t", file_type="parquet", chunk_size=1000).count() == 3

@@ -8,6 +8,7 @@ result, which is the same as the unchunked read.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 from functools import reduce
 
@@ -181,8 +182,10 @@ def read_table(
 
     Each path of a list has its own type, so CSV and Parquet files may be mixed;
     their frames are united by column name.  ``use_chunking`` / ``chunk_size``
-    are accepted for compatibility; Spark always reads in splits.
+    are accepted for compatibility, with a warning; Spark always reads in splits.
     """
+    if use_chunking or chunk_size is not None:
+        warnings.warn("chunk_size has no effect: Spark reads in splits (spark.sql.files.maxPartitionBytes)", stacklevel=2)
     by_format: dict[str, list[str]] = {}
     for p in [path] if isinstance(path, str) else path:
         by_format.setdefault(detect_format(p, file_type), []).append(p)

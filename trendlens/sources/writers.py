@@ -170,6 +170,7 @@ def spread_by_key(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_
     parts = df.groupBy(*[F.col(k).alias(v) for k, v in renamed.items()]).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task)).cast("int").alias("_parts")
     )
+    parts = materialize(parts, "key_parts")  # a row for each key: joined by its written size, without dealing by the hot key
     same = None
     for k, v in renamed.items():
         cond = df[k].eqNullSafe(parts[v])
