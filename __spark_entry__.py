@@ -448,6 +448,8 @@ def _catalog_sql() -> dict[str, str]:
             )
         ),
         "kept_topics": _with(_sums_cte(), select=f"SELECT topic, {', '.join(METRICS)} FROM sums"),
+        "remote_csv_ranges": _with(select=f"SELECT {FACTS_COLS} FROM topic_facts"),
+        "remote_parquet_topics": _with(_sums_cte(), select=f"SELECT topic, {', '.join(METRICS)} FROM sums"),
         "quarantine_good": (
             "SELECT concat(p_name, ' ', CAST(p_partkey AS VARCHAR(20))) AS keyword, CAST(p_size * 10 AS BIGINT) AS volume, "
             "CAST(DATE '1995-01-01' + CAST(p_partkey % 60 AS INT) AS DATE) AS date FROM part WHERE p_partkey % 31 <> 0 AND p_partkey % 37 <> 0"

@@ -20,9 +20,10 @@ def test_detect_format():
         readers.detect_format("/d/x", "excel")
 
 
-def test_http_is_rejected(spark):
-    with pytest.raises(ValueError):
-        readers.read_table(spark, "https://example.invalid/x.csv")
+def test_http_is_no_file_read(spark):
+    for read in (readers.read_csv, readers.read_parquet):
+        with pytest.raises(ValueError, match="read_table"):
+            read(spark, "https://example.invalid/x.csv")
 
 
 def test_csv_text_round_trip_like_pandas(spark):

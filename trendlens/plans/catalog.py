@@ -28,11 +28,13 @@ from trendlens.plans.export import export_categories
 from trendlens.plans.roles import detect_roles, override_roles
 from trendlens.session import scratch_path
 from trendlens.streaming import read_rollup, start_rollup_stream, vacuum
+from trendlens.sources import files
 from trendlens.sources import fixtures as fx
 from trendlens.sources.cache import kept
 from trendlens.sources.layout import write_clustered
 from trendlens.sources.quarantine import load_csv
 from trendlens.sources.readers import normalise_nulls, read_csv, read_parquet, read_table, union
+from trendlens.sources.remote import FileFetcher, read_remote_csv, read_remote_parquet
 from trendlens.sources.schemas import EXPORTED_FACTS, KEYWORD_SCHEMA, MAP_SCHEMA, TOPIC_FACTS
 from trendlens.sources.writers import hash_sample, rollup, tee, write_csv, write_parquet, write_partitioned
 
@@ -549,6 +551,28 @@ def quarantine_rejected(spark, d):
     return rejected.select("keyword", "volume", "date", F.array_join("reasons", "; ").alias("reasons"))
 
 
+def _data_files(spark, folder: str) -> list[str]:
+    return [f"{folder}/{name}" for name in files.names(spark, folder)]
+
+
+def remote_csv_ranges(spark, d):
+    """Topic rows of CSV files, read in 16 byte ranges or a few more (A4)."""
+    out = scratch_path(spark, "ranged_csv")
+    write_csv(_facts(spark, d).select(*FACT_COLUMNS), out)
+    urls, ranges = _data_files(spark, out), FileFetcher()
+    size = sum(ranges.stat(u)[0] for u in urls)
+    return read_remote_csv(spark, urls, TOPIC_FACTS, ranges, split_bytes=-(-size // 16))
+
+
+def remote_parquet_topics(spark, d):
+    """Sums per topic from the row groups of Parquet files of which only the
+    needed columns are fetched (A4)."""
+    out = scratch_path(spark, "ranged_parquet")
+    write_parquet(_facts(spark, d), out)
+    columns = ["topic", "raw_messages", "raw_users", "raw_conversations"]
+    return agg.topic_totals(read_remote_parquet(spark, _data_files(spark, out), columns, FileFetcher()))
+
+
 def kept_topics(spark, d):
     """Sums per topic from a kept result (A11); the second call reads it."""
     root = scratch_path(spark, "results")
@@ -642,6 +666,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         keywords_bucketed,
         quarantine_good,
         quarantine_rejected,
+        remote_csv_ranges,
+        remote_parquet_topics,
         kept_topics,
     )
 }

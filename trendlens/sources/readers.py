@@ -37,11 +37,15 @@ def detect_format(path: str, file_type: str = "auto") -> str:
     return "csv"
 
 
+def is_web(path: str) -> bool:
+    return path.lower().startswith(("http://", "https://"))
+
+
 def check_location(path: str) -> None:
-    """Plain HTTP is not a distributed file system (A4): land such files in
-    shared storage first.  Object-store and HDFS paths go straight to Spark."""
-    if path.lower().startswith(("http://", "https://")):
-        raise ValueError("HTTP(S) URLs cannot be split across executors; copy the file to shared storage first")
+    """Spark's file readers take no web locations (A4): ``read_table`` sends
+    them to :mod:`remote`.  Object-store and HDFS paths go straight to Spark."""
+    if is_web(path):
+        raise ValueError("HTTP(S) URLs are read by read_table, or by read_remote_csv and read_remote_parquet")
 
 
 def read_parquet(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
@@ -161,6 +165,10 @@ def parse_dates(df: DataFrame, column: str = "date", fmt: str | None = None, on_
     return df.withColumn(column, parse_timestamp(column, fmt=fmt, on_bad=on_bad))
 
 
+def _names(schema: T.StructType | str) -> list[str]:
+    return (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).names
+
+
 def read_table(
     spark: SparkSession,
     path: str | list[str],
@@ -183,15 +191,29 @@ def read_table(
     Each path of a list has its own type, so CSV and Parquet files may be mixed;
     their frames are united by column name.  ``use_chunking`` / ``chunk_size``
     are accepted for compatibility, with a warning; Spark always reads in splits.
+    HTTP(S) locations are read by byte ranges (:mod:`remote`).
     """
     if use_chunking or chunk_size is not None:
         warnings.warn("chunk_size has no effect: Spark reads in splits (spark.sql.files.maxPartitionBytes)", stacklevel=2)
-    by_format: dict[str, list[str]] = {}
+    by_format: dict[tuple[str, bool], list[str]] = {}
     for p in [path] if isinstance(path, str) else path:
-        by_format.setdefault(detect_format(p, file_type), []).append(p)
+        by_format.setdefault((detect_format(p, file_type), is_web(p)), []).append(p)
     frames = []
-    for fmt, paths in by_format.items():
-        if fmt == "parquet":
+    for (fmt, web), paths in by_format.items():
+        if web:
+            from trendlens.sources import remote
+
+            if fmt == "parquet":
+                frames.append(remote.read_remote_parquet(spark, paths, None if schema is None else _names(schema)))
+            elif multiline:
+                raise ValueError("multiline cells cannot be read by ranges; copy the file to shared storage first")
+            else:
+                frames.append(
+                    remote.read_remote_csv(
+                        spark, paths, schema, null_tokens=null_tokens, pandas_na=pandas_na, mode=mode, corrupt_column=corrupt_column
+                    )
+                )
+        elif fmt == "parquet":
             frames.append(read_parquet(spark, paths, schema))
         else:
             frames.append(
