@@ -108,6 +108,27 @@ def license_base(rows, phrases):
     return sorted(out, key=repr)
 
 
+def license_scan(rows, phrases, templates, label_of, min_score):
+    """doc_id, base labels, all labels, score: every template at every place."""
+    out = []
+    for i, t in rows:
+        w = license_words(t)
+        at = lambda s, ws: 0 <= s and w[s : s + len(ws)] == ws
+        base = {label for p, label in phrases.items() if any(at(s, p.split()) for s in range(len(w)))}
+        scores = {}
+        for name, (text, key) in templates.items():
+            text, key = license_words(text), license_words(key)
+            o = next(o for o in range(len(text)) if text[o : o + len(key)] == key)
+            for s in range(-o, len(w)):
+                if at(s + o, key):
+                    met = sum(0 <= s + j < len(w) and w[s + j] == x for j, x in enumerate(text))
+                    scores[name] = max(scores.get(name, 0), met / len(text))
+        scores = {name: score for name, score in scores.items() if score >= min_score}
+        labels = base | {label_of.get(name, name) for name in scores}
+        out.append((i, ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else max(scores.values(), default=0.0)))
+    return sorted(out, key=repr)
+
+
 def quality(rows):
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     out = []

@@ -109,6 +109,43 @@ def test_license_templates(spark):
     assert all(0 <= m.score <= 1 for r in found.values() for m in r.matches)
 
 
+def _edited_licenses():
+    """Whole texts, cut, edited and run together, in upper and lower case."""
+    draw, rows = random.Random(3), []
+    for name, (text, _) in licenses.TEMPLATES.items():
+        w = text.split()
+        cut = draw.randrange(len(w))
+        edited = [x if draw.random() < 0.9 else "other" for x in w]
+        inserted = w[:cut] + ["Example", "Corp"] + w[cut:]
+        rows += [" ".join(v) for v in (w, ["preface", *w, "rest"], w[:cut], w[cut:], edited, inserted, w + w, [x.upper() for x in w])]
+        rows.append("/*\n * " + "\n * ".join(w) + "\n */")
+    rows.append(" ".join(text for text, _ in licenses.TEMPLATES.values()))
+    return [(i, t) for i, t in enumerate(rows)]
+
+
+def _license_brute(docs):
+    return brute.license_scan(docs, licenses.PHRASES, licenses.TEMPLATES, licenses.LABELS, licenses.MIN_SCORE)
+
+
+@pytest.mark.parametrize("table", [*TABLES, "edited"])
+def test_license_labels_and_scores(request, spark, tmp_path, table):
+    docs = spark.createDataFrame(_edited_licenses(), "doc_id long, text string") if table == "edited" else request.getfixturevalue(table)
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = _license_brute(pairs(docs))
+    assert got(licenses.op5_license_scan(spark, str(tmp_path)), "doc_id", "base_labels", "labels", "score") == expected
+    if table == "edited":
+        whole = {label for _, _, labels, score in expected if score == 1.0 for label in labels.split(",")}
+        assert whole == {licenses.LABELS.get(n, n) for n in licenses.TEMPLATES}
+
+
+def test_license_in_a_text_of_megabytes(spark):
+    mit = licenses.TEMPLATES["mit-text"][0]
+    rows = [(1, "mit license software " * 100_000 + mit + " the" * 300_000), (2, "mit permission " * 200_000)]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r.doc_id: (r.n_words, [(m.label, m.start, m.score) for m in r.matches]) for r in out.collect()}
+    assert ("mit", 300_000, 1.0) in found[1][1] and found[2] == (400_000, [])
+
+
 def test_license_query_gives_smallest_and_largest_start(spark, tmp_path):
     rows = [
         (1, "under the MIT license"),

@@ -1,13 +1,15 @@
 """Licence scan through a positional rare-token index.
 
-Each licence template is a word sequence with a mandatory key phrase.  The
-corpus document frequencies of the templates' words (a table bounded by the
-templates' vocabulary) give every word an IDF.  The index holds, for every
+Each licence template (a whole licence text, a standard header or a one-line
+notice) is a word sequence with a mandatory key phrase.  The corpus document
+frequencies of the key phrases' words (a table bounded by the templates'
+vocabulary) give every such word an IDF.  The index holds, for every
 template, the posting of its key phrase's highest-IDF word: a match must contain
 that word, so a lookup by it misses none.  A word found at ``i`` whose posting
 in the template is ``o`` proposes the start ``i - o``; the template's other
 postings are intersected at the same relative positions, and the key phrase is
-verified.  The score is the share of the template's words that stand in place.
+verified.  The score is the share of all the template's words that stand in
+place, so a cut or edited copy scores what is left of the whole.
 Base phrases are templates that are key phrase throughout.  All of it is
 DataFrame code inside one row: no shuffle but the frequency count, whose groups
 are the templates' words.
@@ -16,12 +18,16 @@ Words: A-Z are lower-cased (no other letter), then
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 
 Defined results: null or empty texts have no words, no places, empty labels
-and score 0.  Rows that repeat an id are scanned each.
+and score 0.  Rows that repeat an id are scanned each.  Of equally good places
+of a template the first counts.  A text is scanned whole, as one array of words
+in its row: memory grows with the longest text, by about 50 bytes a word, and
+the work with the words and with the places where a key phrase's word stands.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping
 from functools import reduce
 
@@ -29,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendlens.llm._common import id_and_text, table
+from trendlens.llm.license_texts import TEXTS
 
 #: Phrases of the base and their labels.
 PHRASES = {
@@ -37,9 +44,9 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Opening words of public licence texts and notices, with the
-#: key phrase without which a match does not count.
-TEMPLATES = {
+#: One-line notices and opening words of public licence texts, with
+#: the key phrase without which a match does not count.
+NOTICES = {
     "agpl-3": ("licensed under the gnu affero general public license version 3", "affero general public license version 3"),
     "apache-2": (
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
@@ -70,11 +77,19 @@ TEMPLATES = {
     ),
 }
 
-#: Names of templates that are notices of the licence of another template.
-LABELS = {"mit-notice": "mit"}
+#: All templates: the notices, and whole texts and headers.
+TEMPLATES = {**NOTICES, **{name: (text, key) for name, (_, text, key) in TEXTS.items()}}
+
+#: Labels of templates whose name is not their label.
+LABELS = {"mit-notice": "mit", **{name: label for name, (label, _, _) in TEXTS.items()}}
 MIN_SCORE = 0.5
 
 
+def template_words(text: str) -> list[str]:
+    """Words of a template, as :func:`word_array` finds them in documents."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
 def word_array(text: Column) -> Column:
     """Lower-cased words.  The Kelvin sign is the one other character whose
     lower case is an ASCII letter, so it is set aside first."""
@@ -117,11 +132,11 @@ def _phrase_places(words: Column, hits: Column, phrase: list[str], anchor: int,
 
 def _best_start(words: Column, hits: Column, label: str, template: list[str], key: list[str], key_at: int, anchor_at: int) -> Column:
     """The proposed start at which most postings meet, the first of equals."""
+    postings = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in enumerate(template)])
 
     def scored(s: Column) -> Column:
-        met = [F.get(words, s + o).eqNullSafe(F.lit(w)).cast("int") for o, w in enumerate(template)]
-        score = reduce(lambda a, b: a + b, met) / len(met)
-        return F.struct(score.alias("score"), (-s).cast("long").alias("back"), F.lit(label).alias("label"))
+        met = F.filter(postings, lambda p: F.get(words, s + p["o"]).eqNullSafe(p["w"]))
+        return F.struct((F.size(met) / len(template)).alias("score"), (-s).cast("long").alias("back"), F.lit(label).alias("label"))
 
     proposed = F.filter(_starts(hits, key[anchor_at], key_at + anchor_at), lambda s: _stands(words, s + key_at, key))
     return F.array_max(F.transform(proposed, scored))
@@ -140,8 +155,8 @@ def scan(
     score of the best place of each template at or above ``min_score``)."""
     rows = id_and_text(docs, id_col, text_col)
     split_phrases = {p: p.split(" ") for p in phrases}
-    split_templates = {n: (t.split(" "), k.split(" ")) for n, (t, k) in templates.items()}
-    idf = word_idf(rows, {w for ws in [*split_phrases.values(), *(t for t, _ in split_templates.values())] for w in ws})
+    split_templates = {n: (template_words(t), template_words(k)) for n, (t, k) in templates.items()}
+    idf = word_idf(rows, {w for ws in [*split_phrases.values(), *(k for _, k in split_templates.values())] for w in ws})
 
     phrase_at = {p: anchor(ws, idf) for p, ws in split_phrases.items()}
     key_at = {n: next(o for o in range(len(t)) if t[o : o + len(k)] == k) for n, (t, k) in split_templates.items()}
@@ -179,6 +194,38 @@ def scan(
     )
 
 
+def _sql() -> str:
+    """The query in DuckDB: every place of every phrase and key phrase, without an index."""
+    listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    rows = [f"(true, '{label}', {listed(p.split(' '))}, {listed(p.split(' '))}, 0)" for p, label in PHRASES.items()]
+    for name, (text, key) in TEMPLATES.items():
+        t, k = template_words(text), template_words(key)
+        at = next(o for o in range(len(t)) if t[o : o + len(k)] == k)
+        rows.append(f"(false, '{LABELS.get(name, name)}', {listed(t)}, {listed(k)}, {at})")
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+patterns(base, label, t, k, key_at) AS (VALUES {", ".join(rows)}),
+pos AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM docs),
+hits AS (
+  SELECT d.r, base, label, i, len(list_filter(range(len(t)), lambda o: i - key_at + o >= 0 AND w[i - key_at + o + 1] = t[o + 1])) / len(t) AS score
+  FROM pos JOIN patterns ON word = k[1] JOIN docs d ON d.r = pos.r WHERE w[i + 1 : i + len(k)] = k),
+found AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(i) FILTER (base) AS first_word, max(i) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM hits WHERE base OR score >= {MIN_SCORE} GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN found USING (r)
+"""
+
+
+SQL = _sql()
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``first_word`` and ``last_word``: smallest and largest start of a base phrase."""
     found = scan(table(spark, sf_dir, "documents"))

@@ -39,6 +39,7 @@ ORACLE = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op3_suffix_array_dedup": suffix_array.SQL,
     "op4_suffix_tree_dedup": suffix_tree.SQL,
+    "op5_license_scan": licenses.SQL,
     "op6_jaccard_join": jaccard_join.SQL,
     "op8_mix_sources": mixing.SQL,
     "op11_warc": warc.SQL,
