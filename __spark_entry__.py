@@ -390,6 +390,21 @@ def _catalog_sql() -> dict[str, str]:
         "keyword_date_bounds": _with(select="SELECT min(date) AS min_date, max(date) AS max_date FROM keywords"),
         "skewed_map_topics": _SKEWED_MAP,
         "odd_brands_exploded": _ODD_BRANDS,
+        "odd_brands_jvm": _ODD_BRANDS,
+        "download_filtered_csv": _with(
+            select=(
+                f"SELECT {FACTS_COLS}, 'filtered_topics_{LEVEL1}_{LEVEL2}.csv' AS file_name FROM topic_facts "
+                f"WHERE level1 = '{LEVEL1}' AND level2 = '{LEVEL2}' "
+                f"AND date BETWEEN DATE '{catalog.DATE_RANGE[0]}' AND DATE '{catalog.DATE_RANGE[1]}'"
+            )
+        ),
+        "chart_bars": _with(
+            _sums_cte(),
+            f"top AS (SELECT topic, {', '.join(METRICS)} FROM sums WHERE lower(topic) NOT IN {TOTALS} ORDER BY {ORDER_CONV} LIMIT 10)",
+            select=(
+                f"SELECT 1 + count(*) OVER () - row_number() OVER (ORDER BY {ORDER_CONV}) AS bar, topic, {', '.join(METRICS)} FROM top"
+            ),
+        ),
         "top_topics_by_users": _with(
             _sums_cte(),
             select=(

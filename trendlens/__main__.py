@@ -4,6 +4,7 @@
     python -m trendlens info   PATH
     python -m trendlens values PATH COLUMN [--search TERM] [--page 0] [--page-size 50]
     python -m trendlens export PATH OUT --values A B ... [--column category] [--format csv|parquet]
+    python -m trendlens download PATH FOLDER [--level1 X] [--level2 Y] [--from D] [--to D] [--single-file]
 
 PATH is a CSV or Parquet file or folder (type by suffix, else CSV).  Under
 spark-submit the cluster's session is used.  Only bounded results are shown:
@@ -20,7 +21,7 @@ from pyspark.sql import SparkSession
 from trendlens.operators import aggregate as agg
 from trendlens.operators import topn
 from trendlens.plans import trending
-from trendlens.plans.export import export_categories
+from trendlens.plans.export import export_categories, export_filtered
 from trendlens.plans.roles import detect_roles
 from trendlens.sources.readers import read_table
 
@@ -31,11 +32,16 @@ def _parser() -> argparse.ArgumentParser:
     top = sub.add_parser("top", help="top topics by the metric")
     top.add_argument("path")
     top.add_argument("--n", type=int, default=trending.TOP_N)
-    top.add_argument("--level1")
-    top.add_argument("--level2")
-    top.add_argument("--from", dest="start")
-    top.add_argument("--to", dest="end")
     top.add_argument("--exclude-totals", action="store_true")
+    down = sub.add_parser("download", help="filtered rows as CSV, under a name made of the categories")
+    down.add_argument("path")
+    down.add_argument("folder")
+    for p_ in (top, down):
+        p_.add_argument("--level1")
+        p_.add_argument("--level2")
+        p_.add_argument("--from", dest="start")
+        p_.add_argument("--to", dest="end")
+    down.add_argument("--single-file", action="store_true")
     info = sub.add_parser("info", help="rows, distinct topics and categories, date range")
     info.add_argument("path")
     vals = sub.add_parser("values", help="sorted distinct values of a column, one page")
@@ -67,7 +73,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     df = read_table(spark, args.path)
     roles = detect_roles(df.columns)
-    if args.cmd == "top":
+    if args.cmd == "download":
+        out, n = export_filtered(df, args.folder, args.level1, args.level2, _range(args.start, args.end), roles, args.single_file)
+        print(f"{n:,} rows written to {out}")
+    elif args.cmd == "top":
         out = trending.top_topics(
             df, args.n, args.level1, args.level2, _range(args.start, args.end), args.exclude_totals, roles
         )

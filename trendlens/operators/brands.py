@@ -11,7 +11,7 @@ from trendlens.functions.brands import parse_brands
 from trendlens.operators.aggregate import total
 
 
-def with_brands_list(df: DataFrame, source: str = "brands", name: str = "brands_list", exact: bool = True) -> DataFrame:
+def with_brands_list(df: DataFrame, source: str = "brands", name: str = "brands_list", exact: bool | str = True) -> DataFrame:
     """Add the parsed list column."""
     return df.withColumn(name, parse_brands(source, exact=exact))
 

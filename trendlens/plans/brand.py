@@ -66,7 +66,7 @@ def map_from_facts(facts: DataFrame) -> DataFrame:
     return topic_map(facts, "topic", "category", "sub_category")
 
 
-def with_lists(keywords: DataFrame, exact: bool = True) -> DataFrame:
+def with_lists(keywords: DataFrame, exact: bool | str = True) -> DataFrame:
     """Parsed ``brands_list`` and coerced ``date`` on the keyword rows."""
     if "brands_list" not in keywords.columns:
         keywords = keywords.withColumn("brands_list", parse_brands("brands", exact=exact))
@@ -76,7 +76,7 @@ def with_lists(keywords: DataFrame, exact: bool = True) -> DataFrame:
 def prepare_keywords(
     keywords: DataFrame,
     tmap: DataFrame | None,
-    exact: bool = True,
+    exact: bool | str = True,
     broadcast: str | None = "auto",
     max_broadcast_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
     salts: int = DEFAULT_SALTS,
@@ -434,7 +434,7 @@ def brand_search(
     brand: str,
     mode: str = "contains",
     exact: bool = False,
-    lists_exact: bool = True,
+    lists_exact: bool | str = True,
     materialize="auto",
     dedupe: bool = False,
 ) -> BrandReport:
@@ -455,7 +455,7 @@ def topic_search(
     tmap: DataFrame | None,
     topic: str,
     mode: str = "contains",
-    lists_exact: bool = True,
+    lists_exact: bool | str = True,
     materialize="auto",
     dedupe: bool = False,
 ) -> BrandReport:
@@ -474,7 +474,7 @@ def topic_search(
 def overview(
     keywords: DataFrame,
     tmap: DataFrame | None,
-    lists_exact: bool = True,
+    lists_exact: bool | str = True,
     materialize="auto",
     dedupe: bool = False,
 ) -> BrandReport:

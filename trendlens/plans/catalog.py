@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trendlens.functions.nulls import PANDAS_NA_TOKENS, parse_timestamp
@@ -24,7 +24,7 @@ from trendlens.operators.joins import attach_topics
 from trendlens.operators.sampling import sample_per_category
 from trendlens.operators.search import build_text_index
 from trendlens.plans import brand, trending
-from trendlens.plans.export import export_categories
+from trendlens.plans.export import export_categories, export_filtered
 from trendlens.plans.roles import detect_roles, override_roles
 from trendlens.session import scratch_path
 from trendlens.streaming import read_rollup, start_rollup_stream, vacuum
@@ -323,6 +323,11 @@ def odd_brands_exploded(spark, d):
     return explode_brands(with_brands_list(fx.odd_brand_lists(spark, d)), keep=("keyword", "volume"))
 
 
+def odd_brands_jvm(spark, d):
+    """The same rows without a Python node."""
+    return explode_brands(with_brands_list(fx.odd_brand_lists(spark, d), exact="jvm"), keep=("keyword", "volume"))
+
+
 def top_topics_by_users(spark, d):
     facts = _facts(spark, d)
     roles = override_roles(detect_roles(facts.columns), facts.columns, metric="raw_users")
@@ -360,6 +365,22 @@ def export_filtered_csv(spark, d):
     return read_csv(spark, out, schema=report.rows.schema)
 
 
+def download_filtered_csv(spark, d):
+    """Rows of a category and a period, exported under the name that the filters
+    give (A15, A16), with that name."""
+    folder = scratch_path(spark, "downloads")
+    path, _ = export_filtered(_facts(spark, d).select(*FACT_COLUMNS), folder, LEVEL1, LEVEL2, DATE_RANGE)
+    return read_csv(spark, path, schema=TOPIC_FACTS).withColumn("file_name", F.lit(path.removeprefix(f"{folder}/")))
+
+
+def chart_bars(spark, d):
+    """The chart's top 10 in the order of its bars, with each bar's place from
+    the bottom (G6)."""
+    bars = topn.for_display(trending.top_topics(_facts(spark, d), 10, exclude_totals=True, rank=False), "raw_conversations", "topic")
+    placed = bars.withColumn("_at", F.monotonically_increasing_id())
+    return placed.select(F.row_number().over(Window.orderBy("_at")).cast("bigint").alias("bar"), *bars.columns)  # ten rows
+
+
 def export_brand_rows_csv(spark, d):
     """The brand tab's rows (M10) as CSV, lists as text."""
     rows = brand.brand_search(_kw(spark, d), _map(spark, d), BRAND_TERM).rows
@@ -639,6 +660,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         keyword_date_bounds,
         skewed_map_topics,
         odd_brands_exploded,
+        odd_brands_jvm,
         top_topics_by_users,
         export_brand_rows_csv,
         export_awkward_text,
@@ -649,6 +671,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         export_categories_csv,
         export_categories_parquet,
         export_filtered_csv,
+        download_filtered_csv,
+        chart_bars,
         normalised_nulls,
         parsed_dates,
         partitioned_roundtrip,
