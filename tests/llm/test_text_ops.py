@@ -169,6 +169,14 @@ def test_license_query_gives_smallest_and_largest_start(spark, tmp_path):
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def test_a_long_word_of_many_documents_is_in_the_head(spark):
+    url = "https://example.org/" + "x" * 500
+    rows = [(i, f"w{i} " + (url if i % 3 == 0 else "other")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    counts = lattice_lm.word_counts(docs).withColumn("marginal", F.lit(-1.0))
+    assert {r.word for r in lattice_lm.frequent(counts, 2).collect()} == {url, "other"}
+
+
 @pytest.mark.parametrize("table", ["odd", "small_docs"])
 @pytest.mark.parametrize("head_words", [0, 200])
 def test_lattice(request, table, head_words):

@@ -14,7 +14,7 @@ segmentation of the training documents' words, smoothed.
 Spark counts the words of all training documents; the table of distinct words
 grows with the input and stays distributed.  Each distinct word is scored once.
 Documents look up the ``HEAD_WORDS`` most frequent words in a broadcast table
-of fixed size; all other words of a document are joined with the word table,
+of fixed size (hashes and numbers, so long words are no matter); all other words of a document are joined with the word table,
 pre-aggregated per document.  The key is a 64-bit hash of the word.
 
 Defined results: null or empty texts consist of the end token.  A null id hashes
@@ -39,7 +39,6 @@ from trendlens.llm._common import table, text_of
 from trendlens.sources.writers import materialize
 
 HEAD_WORDS = 100_000
-HEAD_LONGEST = 64  # bytes of a word in the broadcast table
 TASK_WORDS = 200_000  # distinct words that a counting task holds
 SMOOTHING = 0.5
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -236,14 +235,14 @@ def held_out(doc_id: Column) -> Column:
 def frequent(words: DataFrame, most: int) -> DataFrame:
     """Frequent words, ``most`` at most: all those above a level of counts.  The
     levels (a few hundred) are counted first, so nothing is sorted as a whole."""
-    short = words.where(F.octet_length("word") <= HEAD_LONGEST).withColumn("level", F.floor(F.log2(F.col("count") + 1) * 16))
+    levels = words.withColumn("level", F.floor(F.log2(F.col("count") + 1) * 16))
     lowest, room = None, most
-    for r in sorted(short.groupBy("level").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+    for r in sorted(levels.groupBy("level").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
         room -= r["n"]
         if room < 0:
             break
         lowest = r["level"]
-    return short.where(F.lit(False) if lowest is None else F.col("level") >= lowest)
+    return levels.where(F.lit(False) if lowest is None else F.col("level") >= lowest)
 
 
 def score_documents(
@@ -260,7 +259,7 @@ def score_documents(
     pieces = train_pieces(counts, n_ends, model_path)
     words = materialize(with_marginals(counts, pieces), "marginals")
 
-    top = frequent(words, head_words).toPandas()
+    top = frequent(words, head_words).select("hash", "count", "marginal").toPandas()  # three numbers a word, however long
     top = top.iloc[np.argsort(top["hash"].to_numpy(np.int64).view(np.uint64))]
     count = top["count"].to_numpy(np.int64)
     head = (top["hash"].to_numpy(np.int64).view(np.uint64), (count > 0).astype(np.float64), np.log10((count + 0.5) / unit), top["marginal"].to_numpy(np.float64))
