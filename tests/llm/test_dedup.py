@@ -111,6 +111,30 @@ def test_near_finds_links_beside_the_groups_first_member(spark):
         assert got(jaccard_join.near_duplicates(docs, jaccard_join.Rule(3, percent))) == brute.near(rows, 3, percent)
 
 
+def test_near_copies_beside_the_first_are_not_all_paired(spark, monkeypatch):
+    """Copies that are like each other, but unlike twenty texts of smaller ids,
+    which come first in their groups: they are joined by stars, not pair by pair."""
+    draw, rows = random.Random(5), []
+    for i in range(120):
+        words = [f"w{k}" for k in range(240)]
+        for k in draw.sample(range(5, 235), 2 if i >= 20 else 9):
+            words[k] = f"own{i}_{k}"
+        rows.append((i, " ".join(words)))
+    paired, crossing = [], jaccard_join._crossing
+
+    def counted(*args):
+        out = crossing(*args)
+        paired.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_crossing", counted)
+    rule = jaccard_join.Rule(5, 80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jaccard_join.near_duplicates(docs, rule)) == brute.near(rows, 5, 80)
+    assert len({c for _, _, c in brute.near(rows, 5, 80)}) == 21
+    assert sum(paired) <= 4 * len(rows)
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (102, 102), (7, 200)]
     found = dict(got(connected_components(spark.createDataFrame(chain, "u long, v long"))))

@@ -24,8 +24,11 @@ Groups of copies, without all pairs: documents of equal sets are one class,
 settled by an aggregate.  Round 1 pairs every member of a word group with the
 group's first member only, verifies, and finds the components.  Round 2 looks
 at the members beside the first: where they still are of several components,
-those outside the most frequent one are paired with members of other components.
-Links inside a component change nothing, so the components are exact.
+every member is compared with one that a hash picks in each group, anew in each
+turn.  Near copies, which agree in many words of many groups, are joined by as
+many comparisons as groups have members.  Where groups still are of several
+components, those outside the most frequent one are paired with members of other
+components.  Links inside a component change nothing, so the components are exact.
 
 A word group with more than ``LARGE`` such members (templates: texts that share
 blocks but stay under the threshold) is dealt anew by a second pigeonhole: of
@@ -79,6 +82,12 @@ RARITY_CELLS = 1 << 18
 #: Members of a group that are compared as one part, and parts at most.
 PART_MEMBERS = 4096
 MOST_PARTS = 256
+#: Turns of stars before the members of several components are paired, at most,
+#: the links that a turn must find for another, and the pairs for each member up
+#: to which pairing takes no turn.
+STAR_TURNS = 12
+FEW_LINKS = 256
+FEW_PAIRS = 4
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -384,6 +393,30 @@ def _of_several_components(members: DataFrame) -> DataFrame:
     return members.join(main.where("k > 1").drop("k"), "key").select("key", "node", "component", "main", "n")
 
 
+def _many_pairs(mixed: DataFrame) -> bool:
+    """Whether pairing the outside members takes many comparisons a member."""
+    outside = F.sum(F.when(F.col("component") != F.col("main"), F.col("n")))
+    row = mixed.agg(outside.alias("pairs"), F.count("*").alias("members")).first()
+    return (row["pairs"] or 0) > FEW_PAIRS * row["members"]
+
+
+def _stars(mixed: DataFrame, sketch: DataFrame, rule: Rule, turn: int) -> DataFrame:
+    """(u, v) of a group's members and the one that a hash picks in it, of
+    another component, whose sketches allow a link."""
+    picked = F.min_by(F.struct(F.col("node").alias("v"), F.col("component").alias("cv")), F.xxhash64("key", "node", F.lit(turn)))
+    pairs = mixed.join(mixed.groupBy("key").agg(picked.alias("hub")), "key").where(F.col("component") != F.col("hub.cv"))
+    return _allowed(pairs.select(F.greatest("node", "hub.v").alias("u"), F.least("node", "hub.v").alias("v")), sketch, rule)
+
+
+def _allowed(pairs: DataFrame, sketch: DataFrame, rule: Rule) -> DataFrame:
+    """Those of ``pairs`` (u, v), once each, whose sizes and sketches allow a link."""
+    x, y = (
+        sketch.select(F.col("node").alias(k), F.col("n_shingles").alias(n), *[F.col(f"s{i}").alias(f"{c}{i}") for i in range(SKETCH_LONGS)])
+        for k, n, c in (("u", "n", "a"), ("v", "m", "b"))
+    )
+    return pairs.distinct().join(x, "u").join(y, "v").where(_may_link(rule, "n", "m", "a", "b")).select("u", "v")
+
+
 def _crossing(mixed: DataFrame, sketch: DataFrame, rule: Rule) -> DataFrame:
     """(u, v) of different components of a group, u outside the main one, whose
     sketches allow a link.  The outside members of a large group are dealt over
@@ -411,6 +444,33 @@ def _crossing(mixed: DataFrame, sketch: DataFrame, rule: Rule) -> DataFrame:
     return outside.join(others, ["key", "part"]).where(different & _may_link(rule, "n", "m", "a", "b")).select("u", "v").distinct()
 
 
+def _mixed(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of ``groups`` (key, node) of several components by ``links``."""
+    parts = connected_components(links).select("node", "component")
+    marked = groups.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return materialize(_of_several_components(marked), "mixed")
+
+
+def _by_stars(
+    mixed: DataFrame, links: DataFrame, sketch: DataFrame, texts: DataFrame, found: DataFrame, rule: Rule
+) -> tuple[DataFrame, DataFrame]:
+    """The groups that stay of several components, and the links, after turns of
+    stars, each a comparison for each member.  They end when a turn joins few
+    members, so that few of those that are left have links to most of a group."""
+    for turn in range(STAR_TURNS):
+        if not _many_pairs(mixed):
+            break
+        more = materialize(verified(materialize(_stars(mixed, sketch, rule, turn), "stars"), texts, found, rule), "links")
+        n_more = more.count()
+        if not n_more:
+            break
+        links = links.unionByName(more)
+        mixed = _mixed(mixed.select("key", "node"), links)
+        if n_more < FEW_LINKS:
+            break
+    return mixed, links
+
+
 def near_duplicates(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``."""
     rows = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("node"), "text")
@@ -434,16 +494,12 @@ def near_duplicates(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
     grouped = grouped.withColumn("first", F.first("node").over(group.rowsBetween(W.unboundedPreceding, 0)))
     grouped = materialize(grouped.where("back is not null or on is not null").select("key", "node", "first"), "groups")
 
-    x = sketch.select(F.col("node").alias("u"), F.col("n_shingles").alias("n"), *[F.col(f"s{i}").alias(f"a{i}") for i in range(SKETCH_LONGS)])
-    y = sketch.select(F.col("node").alias("v"), F.col("n_shingles").alias("m"), *[F.col(f"s{i}").alias(f"b{i}") for i in range(SKETCH_LONGS)])
-    stars = grouped.where("node > first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
-    stars = stars.join(x, "u").join(y, "v").where(_may_link(rule, "n", "m", "a", "b")).select("u", "v").distinct()
+    stars = _allowed(grouped.where("node > first").select(F.col("node").alias("u"), F.col("first").alias("v")), sketch, rule)
     links = materialize(verified(materialize(stars, "stars"), rows, found, rule), "links")
-    parts = connected_components(links).select("node", "component")
 
     # round 2: the members beside the first, where they are of several components
-    marked = grouped.where("node != first").select("key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = materialize(_of_several_components(marked), "mixed")
+    mixed = _mixed(grouped.where("node != first").select("key", "node"), links)
+    mixed, links = _by_stars(mixed, links, sketch, rows, found, rule)
     wide = materialize(mixed.where(F.col("n") > LARGE).select("node", "component").distinct(), "wide")
     if not wide.isEmpty():
         tokens = rare_tokens(rows, rule, bitmap(wide)).join(wide, "node")
