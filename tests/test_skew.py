@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helpers import SF_ORACLE, rows
 from trendlens.operators.joins import attach_topics, attach_topics_salted, attach_topics_to_pairs
-from trendlens.plans import catalog
+from trendlens.plans import brand, catalog
 from trendlens.sources import fixtures as fx
 
 
@@ -76,3 +76,18 @@ def test_hot_map_pair_is_spread(spark, adaptive):
     finally:
         for k, v in saved.items():
             spark.conf.set(k, v)
+
+
+def test_broadcast_fan_out_runs_in_all_tasks(spark):
+    """Keywords of one split and a broadcast map: the copies are made in all tasks."""
+    kw = spark.createDataFrame(
+        [(f"k{i}", i, None, "A" if i % 3 else None, "B") for i in range(200)],
+        "keyword string, volume long, brands string, level1 string, level2 string",
+    ).coalesce(1)
+    kw = kw.withColumn("date", F.lit("2024-01-01").cast("date"))
+    tmap = spark.createDataFrame([(f"t{i}", "A", "B") for i in range(20)], "topic string, category string, sub_category string")
+    expected = rows(attach_topics(kw, tmap), "keyword", "topic")
+    for out in (brand.prepare_keywords(kw, tmap),):
+        assert rows(out, "keyword", "topic") == expected
+        per_task = out.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert len(per_task) == 8 and max(r["count"] for r in per_task) < len(expected) / 2

@@ -58,6 +58,15 @@ def write_and_measure(df: DataFrame) -> tuple[DataFrame, int]:
     return written, int(written.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()["b"])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all shuffle partitions, before a broadcast join that turns
+    each into many.  Such a join runs in the tasks of its input, and a table of
+    short rows is one or a few splits, however many rows come out of it."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks)
+
+
 def attach_topics(
     keywords: DataFrame,
     tmap: DataFrame | None,

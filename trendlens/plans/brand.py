@@ -46,6 +46,7 @@ from trendlens.operators.joins import (
     attach_topics_salted,
     attach_topics_to_pairs,
     salted_join,
+    spread,
     topic_map,
     write_and_measure,
 )
@@ -86,9 +87,9 @@ def prepare_keywords(
 
     Lists are parsed before the join, once per keyword rather than once per
     copy.  ``broadcast='auto'`` writes the map once and broadcasts it when it
-    is estimated at ``max_broadcast_bytes`` or less; a larger map is joined with
-    the heavy pairs split into ``salts`` buckets, so no hot pair lands in one
-    task.
+    is estimated at ``max_broadcast_bytes`` or less, to keywords spread over all
+    tasks; a larger map is joined with the heavy pairs split into ``salts``
+    buckets, so no hot pair lands in one task.
     ``None`` leaves the choice to Spark's size statistics and AQE.
     """
     if broadcast not in ("auto", None):
@@ -100,7 +101,7 @@ def prepare_keywords(
             mapped = attach_topics_salted(kw, written, salts, L1, L2)
             rest = [c for c in mapped.columns if c != "brands_list"]
             return mapped.select(*rest, "brands_list")
-        tmap = F.broadcast(written)
+        kw, tmap = with_lists(spread(keywords), exact), F.broadcast(written)
     mapped = attach_topics(kw, tmap, L1, L2)
     rest = [c for c in mapped.columns if c != "brands_list"]
     return mapped.select(*rest, "brands_list")
