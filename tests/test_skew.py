@@ -87,7 +87,7 @@ def test_broadcast_fan_out_runs_in_all_tasks(spark):
     kw = kw.withColumn("date", F.lit("2024-01-01").cast("date"))
     tmap = spark.createDataFrame([(f"t{i}", "A", "B") for i in range(20)], "topic string, category string, sub_category string")
     expected = rows(attach_topics(kw, tmap), "keyword", "topic")
-    for out in (brand.prepare_keywords(kw, tmap),):
+    for out in (brand.prepare_keywords(kw, tmap), brand.rows_from_topics(kw, brand.pair_topics(kw, tmap), 0)):
         assert rows(out, "keyword", "topic") == expected
         per_task = out.groupBy(F.spark_partition_id().alias("task")).count().collect()
         assert len(per_task) == 8 and max(r["count"] for r in per_task) < len(expected) / 2

@@ -246,13 +246,13 @@ def rows_from_topics(
     """The joined keyword rows from the (pair, topic) rows: keyword columns,
     then ``topic``, ``category``, ``sub_category``.  Only the topic rows given
     are joined (a filtered label set never builds the other copies); topic rows
-    of ``size`` bytes are broadcast under the bound, else every pair is split
-    into salted buckets."""
+    of ``size`` bytes are broadcast under the bound, to keywords spread over all
+    tasks, else every pair is split into salted buckets."""
     kw = keywords.drop("topic") if "topic" in keywords.columns else keywords
     # without a map the topic rows carry labels only, as attach_topics(kw, None) does
     extra = [c for c in ("topic", "category", "sub_category") if c in topics.columns]
     if size <= max_broadcast_bytes:
-        j = kw.alias("l").join(F.broadcast(topics).alias("r"), _on_pair("l", "r"), "inner")
+        j = spread(kw).alias("l").join(F.broadcast(topics).alias("r"), _on_pair("l", "r"), "inner")
     else:
         j = salted_join(kw, topics, [(L1, L1), (L2, L2)], "inner", salts)
     return j.select(*[F.col(f"l.{c}").alias(c) for c in kw.columns], *[F.col(f"r.{c}").alias(c) for c in extra])
