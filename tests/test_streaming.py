@@ -116,3 +116,22 @@ def test_half_written_batches_and_other_checkpoints(spark):
         Manifest(spark, sink).add_generation(0, 0, [])
     start_rollup_stream(spark, empty, facts.schema, sink + "-empty", ckpt + "-empty").awaitTermination()
     assert read_rollup(spark, sink + "-empty").collect() == []
+
+
+def test_folded_batches_have_a_file_for_every_core(spark, monkeypatch):
+    """Of one file, one task writes a batch and few read it, however many cores there are."""
+    from trendlens.plans import catalog
+
+    facts, seen = fx.topic_facts(spark, SF_SMALL), {}
+
+    def start(spark, src, schema, sink, ckpt, **kw):
+        seen.update(kw, src=src, sink=sink)
+        return start_rollup_stream(spark, src, schema, sink, ckpt, **kw)
+
+    monkeypatch.setattr(catalog, "start_rollup_stream", start)
+    assert rows(catalog.compacted_rollup(spark, SF_SMALL)) == rows(rollup(facts))
+    assert seen["files_per_batch"] >= spark.sparkContext.defaultParallelism
+    landed = len([n for n in files.names(spark, seen["src"]) if n.startswith("part-")])
+    assert landed > 2 * spark.sparkContext.defaultParallelism
+    state = Manifest(spark, seen["sink"]).state()
+    assert state.generation >= 0 and -(-landed // seen["files_per_batch"]) == max(state.last_batch, *state.batches, -1) + 1

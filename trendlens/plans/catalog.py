@@ -482,14 +482,20 @@ def streamed_rollup(spark, d):
     return read_rollup(spark, sink, checkpoint=ckpt)
 
 
+# Fixed value: micro-batches of the folded rollup.
+FOLDED_BATCHES = 8
+
+
 def compacted_rollup(spark, d):
     """A20 in small batches that are folded every third time, then vacuumed; the
-    rest of the batches is read as it is."""
+    rest of the batches is read as it is.  A batch has a file for every core: of
+    one file, one task writes it and few read it."""
     facts = _facts(spark, d)
     src = scratch_path(spark, "landing")
-    facts.repartition(8, F.col("topic"), F.col("date")).write.parquet(src)
+    per_batch = max(1, spark.sparkContext.defaultParallelism)
+    facts.repartition(FOLDED_BATCHES * per_batch, F.col("topic"), F.col("date")).write.parquet(src)
     sink, ckpt = scratch_path(spark, "folded_parts"), scratch_path(spark, "folded_ckpt")
-    start_rollup_stream(spark, src, facts.schema, sink, ckpt, files_per_batch=1, compact_every=3).awaitTermination()
+    start_rollup_stream(spark, src, facts.schema, sink, ckpt, files_per_batch=per_batch, compact_every=3).awaitTermination()
     vacuum(spark, sink, keep=1)
     return read_rollup(spark, sink)
 
