@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest_llm import got, pairs
-from trendlens.llm import _repeats, exact_dedup, jaccard_join, suffix_array, suffix_tree
+from trendlens.llm import _repeats, components, exact_dedup, jaccard_join, suffix_array, suffix_tree
 from trendlens.llm.components import connected_components
 
 COLUMNS = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -144,6 +144,34 @@ def test_components(spark):
     assert got(connected_components(spark.createDataFrame([], "u long, v long"))) == []
 
 
+def test_small_tables_take_few_tasks(spark, monkeypatch):
+    """Each shuffle leaves files for each task before it: rounds over a few links
+    fill the disks where they run in all partitions."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, written = {k: spark.conf.get(k) for k in held}, {}
+
+    def wrote(frame, name, real=components.materialize):
+        out = real(frame, name)
+        written.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(components, "materialize", wrote)
+    monkeypatch.setattr(jaccard_join, "materialize", wrote)
+    rows = _templated(90, own=6, shared=60)
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        found = got(jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), jaccard_join.Rule(3, 80)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == sorted(brute.near(rows, 3, 80), key=repr)
+    cores = spark.sparkContext.defaultParallelism
+    # the first table of a component search is as its links come, the rounds are not
+    assert max(written["mixed"] + written["near-pairs"] + written["stars"]) <= cores
+    assert sum(n > cores for n in written["links"]) <= len(written["mixed"]) + 1
+
+
 def _templated(n, own=22, shared=150, seed=1):
     """Texts that share most words but stay under the threshold; every tenth is
     a near copy of the one before."""

@@ -62,7 +62,7 @@ from pyspark.sql import functions as F
 from trendlens.llm import _seq
 from trendlens.llm._common import id_and_text, table
 from trendlens.llm.components import connected_components
-from trendlens.sources.writers import materialize
+from trendlens.sources.writers import in_few_tasks, materialize
 
 U = np.uint64
 SKETCH_LONGS = 32
@@ -356,6 +356,7 @@ def _may_link(rule: Rule, n: str, m: str, a: str, b: str) -> Column:
 def _by_wide_sketch(pairs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     """``pairs`` without those whose wide sketches differ too much; a pair with
     a set that has none stays."""
+    n_pairs = pairs.count()
     wide = found.where(F.size("wide") > 0)
     a, b = (wide.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("wide").alias(f"w{k}")) for k in "uv")
 
@@ -370,51 +371,60 @@ def _by_wide_sketch(pairs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame
                 keep.append(near)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(a, "u", "left").join(b, "v", "left").mapInArrow(_seq.released(run), "u long, v long")
+    both = in_few_tasks(in_few_tasks(pairs.join(a, "u", "left"), n_pairs).join(b, "v", "left"), n_pairs)
+    return in_few_tasks(both.mapInArrow(_seq.released(run), "u long, v long").distinct(), n_pairs)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose sets are similar enough."""
-    pairs = materialize(_by_wide_sketch(pairs, found, rule).distinct(), "near-pairs")
+    """Those of ``pairs`` (u, v), which are written, whose sets are similar enough."""
+    pairs = materialize(_by_wide_sketch(pairs, found, rule), "near-pairs")
+    n_pairs = pairs.count()
     chosen = sets(texts, rule, bitmap(pairs.select(F.explode(F.array("u", "v")).alias("node"))))
     a, b = (chosen.select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}")) for k in "uv")
-    both = pairs.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("tu", "tv")))
+    both = in_few_tasks(in_few_tasks(pairs.join(a, "u"), n_pairs).join(b, "v"), n_pairs)
+    both = both.withColumn("common", F.size(F.array_intersect("tu", "tv")))
     similar = F.col("common") * 100 >= (F.size("tu") + F.size("tv") - F.col("common")) * rule.percent
     return both.where(similar).select("u", "v")
 
 
-def _of_several_components(members: DataFrame) -> DataFrame:
+def _of_several_components(members: DataFrame, rows: int) -> DataFrame:
     """``key, node, component`` of the groups with members of several components,
-    with the most frequent one, ``main``, and the number of members, ``n``."""
-    counted = members.groupBy("key", "component").agg(F.count("*").alias("c"))
+    with the most frequent one, ``main``, and the number of members, ``n``.
+    ``rows``: that of ``members``, about."""
+    counted = in_few_tasks(members.groupBy("key", "component").agg(F.count("*").alias("c")), rows)
     main = counted.groupBy("key").agg(
         F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("n"), F.count("*").alias("k")
     )
-    return members.join(main.where("k > 1").drop("k"), "key").select("key", "node", "component", "main", "n")
+    main = in_few_tasks(main.where("k > 1").drop("k"), rows)
+    return in_few_tasks(members.join(main, "key").select("key", "node", "component", "main", "n"), rows)
 
 
-def _many_pairs(mixed: DataFrame) -> bool:
-    """Whether pairing the outside members takes many comparisons a member."""
+def _many_pairs(mixed: DataFrame) -> tuple[bool, int]:
+    """Whether pairing the outside members takes many comparisons a member, and
+    the number of members."""
     outside = F.sum(F.when(F.col("component") != F.col("main"), F.col("n")))
     row = mixed.agg(outside.alias("pairs"), F.count("*").alias("members")).first()
-    return (row["pairs"] or 0) > FEW_PAIRS * row["members"]
+    return (row["pairs"] or 0) > FEW_PAIRS * row["members"], row["members"]
 
 
-def _stars(mixed: DataFrame, sketch: DataFrame, rule: Rule, turn: int) -> DataFrame:
+def _stars(mixed: DataFrame, rows: int, sketch: DataFrame, rule: Rule, turn: int) -> DataFrame:
     """(u, v) of a group's members and the one that a hash picks in it, of
     another component, whose sketches allow a link."""
     picked = F.min_by(F.struct(F.col("node").alias("v"), F.col("component").alias("cv")), F.xxhash64("key", "node", F.lit(turn)))
-    pairs = mixed.join(mixed.groupBy("key").agg(picked.alias("hub")), "key").where(F.col("component") != F.col("hub.cv"))
-    return _allowed(pairs.select(F.greatest("node", "hub.v").alias("u"), F.least("node", "hub.v").alias("v")), sketch, rule)
+    hubs = in_few_tasks(mixed.groupBy("key").agg(picked.alias("hub")), rows)
+    pairs = in_few_tasks(mixed.join(hubs, "key").where(F.col("component") != F.col("hub.cv")), rows)
+    return _allowed(pairs.select(F.greatest("node", "hub.v").alias("u"), F.least("node", "hub.v").alias("v")), rows, sketch, rule)
 
 
-def _allowed(pairs: DataFrame, sketch: DataFrame, rule: Rule) -> DataFrame:
-    """Those of ``pairs`` (u, v), once each, whose sizes and sketches allow a link."""
+def _allowed(pairs: DataFrame, rows: int, sketch: DataFrame, rule: Rule) -> DataFrame:
+    """Those of ``pairs`` (u, v), at most ``rows``, once each, whose sizes and
+    sketches allow a link."""
     x, y = (
         sketch.select(F.col("node").alias(k), F.col("n_shingles").alias(n), *[F.col(f"s{i}").alias(f"{c}{i}") for i in range(SKETCH_LONGS)])
         for k, n, c in (("u", "n", "a"), ("v", "m", "b"))
     )
-    return pairs.distinct().join(x, "u").join(y, "v").where(_may_link(rule, "n", "m", "a", "b")).select("u", "v")
+    both = in_few_tasks(in_few_tasks(pairs.distinct(), rows).join(x, "u"), rows).join(y, "v")
+    return in_few_tasks(both.where(_may_link(rule, "n", "m", "a", "b")).select("u", "v"), rows)
 
 
 def _crossing(mixed: DataFrame, sketch: DataFrame, rule: Rule) -> DataFrame:
@@ -444,11 +454,11 @@ def _crossing(mixed: DataFrame, sketch: DataFrame, rule: Rule) -> DataFrame:
     return outside.join(others, ["key", "part"]).where(different & _may_link(rule, "n", "m", "a", "b")).select("u", "v").distinct()
 
 
-def _mixed(groups: DataFrame, links: DataFrame) -> DataFrame:
+def _mixed(groups: DataFrame, rows: int, links: DataFrame) -> DataFrame:
     """The members of ``groups`` (key, node) of several components by ``links``."""
     parts = connected_components(links).select("node", "component")
-    marked = groups.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return materialize(_of_several_components(marked), "mixed")
+    marked = in_few_tasks(groups.join(parts, "node", "left"), rows).withColumn("component", F.coalesce("component", "node"))
+    return materialize(_of_several_components(marked, rows), "mixed")
 
 
 def _by_stars(
@@ -458,14 +468,15 @@ def _by_stars(
     stars, each a comparison for each member.  They end when a turn joins few
     members, so that few of those that are left have links to most of a group."""
     for turn in range(STAR_TURNS):
-        if not _many_pairs(mixed):
+        many, rows = _many_pairs(mixed)
+        if not many:
             break
-        more = materialize(verified(materialize(_stars(mixed, sketch, rule, turn), "stars"), texts, found, rule), "links")
+        more = materialize(verified(materialize(_stars(mixed, rows, sketch, rule, turn), "stars"), texts, found, rule), "links")
         n_more = more.count()
         if not n_more:
             break
         links = links.unionByName(more)
-        mixed = _mixed(mixed.select("key", "node"), links)
+        mixed = _mixed(mixed.select("key", "node"), rows, links)
         if n_more < FEW_LINKS:
             break
     return mixed, links
@@ -494,16 +505,17 @@ def near_duplicates(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
     grouped = grouped.withColumn("first", F.first("node").over(group.rowsBetween(W.unboundedPreceding, 0)))
     grouped = materialize(grouped.where("back is not null or on is not null").select("key", "node", "first"), "groups")
 
-    stars = _allowed(grouped.where("node > first").select(F.col("node").alias("u"), F.col("first").alias("v")), sketch, rule)
+    n_grouped = grouped.count()
+    stars = _allowed(grouped.where("node > first").select(F.col("node").alias("u"), F.col("first").alias("v")), n_grouped, sketch, rule)
     links = materialize(verified(materialize(stars, "stars"), rows, found, rule), "links")
 
     # round 2: the members beside the first, where they are of several components
-    mixed = _mixed(grouped.where("node != first").select("key", "node"), links)
+    mixed = _mixed(grouped.where("node != first").select("key", "node"), n_grouped, links)
     mixed, links = _by_stars(mixed, links, sketch, rows, found, rule)
     wide = materialize(mixed.where(F.col("n") > LARGE).select("node", "component").distinct(), "wide")
     if not wide.isEmpty():
-        tokens = rare_tokens(rows, rule, bitmap(wide)).join(wide, "node")
-        mixed = materialize(mixed.where(F.col("n") <= LARGE).unionByName(_of_several_components(tokens)), "mixed")
+        tokens = materialize(rare_tokens(rows, rule, bitmap(wide)).join(wide, "node"), "rare")
+        mixed = materialize(mixed.where(F.col("n") <= LARGE).unionByName(_of_several_components(tokens, tokens.count())), "mixed")
     crossing = _crossing(mixed, sketch, rule)
     more = verified(materialize(crossing, "crossing"), rows, found, rule)
 

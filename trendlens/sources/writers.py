@@ -211,6 +211,18 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a small table that are worth a task of their own.
+ROWS_PER_TASK = 10_000
+
+
+def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows, in as many tasks as they are worth, but one
+    for each core at least.  Every shuffle leaves files for each task before it;
+    of small tables that are shuffled again and again, these and not the rows
+    fill the disks.  A table with many rows keeps its tasks."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))
+
+
 def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """Bernoulli sample for a first look."""
     return df.sample(withReplacement=False, fraction=fraction, seed=seed)
