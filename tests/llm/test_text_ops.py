@@ -305,6 +305,35 @@ def test_bpe_random_texts(vocabulary, reference):
         assert decoded.to_pylist() == [t.encode() for t in texts]
 
 
+def test_bpe_takes_little_memory_beside_its_texts(vocabulary, reference):
+    """The words of all texts of a slice, index arrays for each byte and a cache
+    without a limit in bytes filled the executors."""
+    import tracemalloc
+
+    encoder = bpe.Encoder(vocabulary, public_tokenizers.PATTERN)
+    texts = ["the cat sat on the mat, " * 40 + str(i) for i in range(500)]
+    encoder.encode(texts)
+    tracemalloc.start()
+    ids = encoder.encode(texts)
+    decoded = bpe.decode_lists(ids, vocabulary)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.to_pylist() == [reference.encode_ordinary(t) for t in texts]
+    assert decoded.to_pylist() == [t.encode() for t in texts]
+    assert peak < 12 * sum(map(len, texts))
+
+
+def test_bpe_cache_is_limited_in_bytes(vocabulary, reference):
+    encoder = bpe.Encoder(vocabulary, public_tokenizers.PATTERN, cache_bytes=200_000)
+    draw = random.Random(4)
+    most = 0
+    for _ in range(30):
+        texts = ["".join(draw.choices("abcdefghij", k=500)) + " the cat" for _ in range(10)] + [None, ""]
+        assert encoder.encode(texts).to_pylist() == [reference.encode_ordinary(t or "") for t in texts]
+        most = max(most, len(encoder.place))
+    assert most * 500 < 300_000 and len(encoder.place) < 300
+
+
 # --- pipeline ------------------------------------------------------------------------
 
 

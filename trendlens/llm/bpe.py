@@ -10,7 +10,9 @@ concatenates the binary pieces of the ids.
 This replaces the fold by Spark higher-order functions, which gave the same
 ids but took too long (figures: README).  Documents stay where they were read:
 nothing is shuffled.  What is broadcast is the vocabulary, a fixed size.  A
-task keeps the ids of at most ``cache_words`` words.
+task keeps the ids of about ``cache_words`` words at most, and of fewer where
+they take more than ``CACHE_BYTES``; the words of one text are all that is held
+beside the distinct ones.
 
 Defined results: null or empty texts have no ids and decode to no bytes.  Any
 Unicode text decodes to its UTF-8 bytes.  Special-token strings are text.
@@ -22,7 +24,8 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,14 @@ from trendlens.llm import _seq
 from trendlens.llm._common import id_and_text, table
 
 CACHE_WORDS = 300_000
+#: Memory of the cached words, about: a task has it beside all that the executor holds.
+CACHE_BYTES = 16 << 20
+#: Besides its text, a cached word has an entry in a dictionary, its number and the end of its ids.
+WORD_BYTES = 100
 LONG = 64
 DECODE_ROWS = 100
 #: Text whose new words are folded together: each fold has a fixed cost for every length of word.
-FOLD_BYTES = 1 << 20
+FOLD_BYTES = 1 << 19
 NO_RANK = np.int64(1 << 60)
 
 
@@ -51,8 +58,7 @@ class Vocabulary:
         for piece, rank in ranks.items():
             pieces[rank] = piece
         self.bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        self.lengths = np.array([len(p) for p in pieces], dtype=np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bounds = np.concatenate([[0], np.cumsum([len(p) for p in pieces], dtype=np.int64)])
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         pairs = {}
         for piece, rank in ranks.items():
@@ -60,7 +66,6 @@ class Vocabulary:
                 left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
                 if left is not None and right is not None:
                     pairs[left * self.size + right] = rank
-        self.pairs = pairs
         self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
 
@@ -80,6 +85,12 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NO_RANK)
 
+    def rank_of(self, left: int, right: int) -> int | None:
+        """The rank of one pair."""
+        key = left * self.size + right
+        at = int(self.pair_keys.searchsorted(key))
+        return int(self.pair_ranks[at]) if at < len(self.pair_keys) and self.pair_keys[at] == key else None
+
     def fold(self, words: list[bytes]) -> list[list[int]]:
         """Ids of words of one length."""
         n, width = len(words), len(words[0])
@@ -115,22 +126,22 @@ class Vocabulary:
 
     def fold_long(self, word: bytes) -> list[int]:
         """Ids of one word through a heap of its pairs."""
-        ids = [int(self.byte_ids[b]) for b in word]
-        n = len(ids)
-        after, before, pairs, size = list(range(1, n + 1)), list(range(-1, n - 1)), self.pairs, self.size
-        heap = [(r, i, i + 1) for i in range(n - 1) if (r := pairs.get(ids[i] * size + ids[i + 1])) is not None]
+        parts = self.byte_ids[np.frombuffer(word, dtype=np.uint8)]
+        ids, n = parts.tolist(), len(word)
+        after, before, rank_of = list(range(1, n + 1)), list(range(-1, n - 1)), self.rank_of
+        heap = [(r, i, i + 1) for i, r in enumerate(self.rank(parts[:-1], parts[1:]).tolist()) if r != NO_RANK]
         heapq.heapify(heap)
         while heap:
             rank, i, j = heapq.heappop(heap)
-            if ids[i] < 0 or after[i] != j or j >= n or pairs.get(ids[i] * size + ids[j]) != rank:
+            if ids[i] < 0 or after[i] != j or j >= n or rank_of(ids[i], ids[j]) != rank:
                 continue
             ids[i], ids[j] = rank, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if (r := pairs.get(rank * size + ids[after[i]])) is not None:
+                if (r := rank_of(rank, ids[after[i]])) is not None:
                     heapq.heappush(heap, (r, i, after[i]))
-            if before[i] >= 0 and (r := pairs.get(ids[before[i]] * size + rank)) is not None:
+            if before[i] >= 0 and (r := rank_of(ids[before[i]], rank)) is not None:
                 heapq.heappush(heap, (r, before[i], i))
         return [x for x in ids if x >= 0]
 
@@ -153,10 +164,10 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces' bytes one after the other, and the end of each piece."""
-        length = self.lengths[ids]
-        ends = np.cumsum(length)
-        source = np.repeat(self.starts[ids] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
-        return self.bytes[source], ends
+        pieces = pa.Array.from_buffers(pa.large_binary(), self.size, [None, pa.py_buffer(self.bounds), pa.py_buffer(self.bytes)])
+        _, bounds, data = pieces.take(pa.array(ids)).buffers()
+        ends = np.frombuffer(bounds, np.int64, len(ids) + 1)[1:]
+        return np.frombuffer(data, np.uint8, ends[-1]) if len(ids) else np.zeros(0, np.uint8), ends
 
 
 def word_pattern(pattern: str):
@@ -167,38 +178,49 @@ def word_pattern(pattern: str):
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
+class Places(dict):
+    """Words and their numbers, in the order in which they were first met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
-    """Ids of texts, with a cache of the words met so far."""
+    """Ids of texts, with a cache of the words met so far.  It is emptied before
+    the next texts once it has ``cache_words`` words or takes about
+    ``cache_bytes`` of memory."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, cache_words: int = CACHE_WORDS):
-        self.vocabulary, self.cache_words, self.words_of = vocabulary, cache_words, word_pattern(pattern).findall
+    def __init__(self, vocabulary: Vocabulary, pattern: str, cache_words: int = CACHE_WORDS, cache_bytes: int = CACHE_BYTES):
+        self.vocabulary, self.words_of = vocabulary, word_pattern(pattern).findall
+        self.cache_words, self.cache_bytes = cache_words, cache_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.place, self.held = Places(), 0
+        self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int32)
 
-    def learn(self, words: set[str]) -> None:
-        fresh = list(words.difference(self.place))
-        if len(self.place) + len(fresh) > self.cache_words:
-            self.clear()
-            fresh = list(words)
+    def places(self, text: str) -> np.ndarray:
+        words = self.words_of(text)
+        return np.fromiter(map(self.place.__getitem__, words), np.int32, len(words))
+
+    def learn(self, fresh: list[str]) -> None:
         ids = self.vocabulary.encode_words(fresh)
-        self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes, dtype=np.int32)])
+        self.held += sum(map(getsizeof, fresh)) + WORD_BYTES * len(fresh)
 
     def encode(self, texts: list[str | None]) -> pa.Array:
-        words = [self.words_of(t or "") for t in texts]
-        self.learn(set(chain.from_iterable(words)))
-        per_text = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
-        size = self.bounds[at + 1] - self.bounds[at]
-        ends = np.cumsum(size)
-        source = np.repeat(self.bounds[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        text_end = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
-        return pa.ListArray.from_arrays(pa.array(text_end.astype(np.int32)), pa.array(self.flat[source]))
+        if len(self.place) >= self.cache_words or self.held + self.flat.nbytes >= self.cache_bytes:
+            self.clear()
+        known = len(self.place)
+        at = [self.places(t or "") for t in texts]
+        self.learn(list(islice(self.place, known, None)))
+        edges = np.concatenate([[0], np.cumsum([len(a) for a in at], dtype=np.int64)])
+        words = pa.ListArray.from_arrays(pa.array(self.bounds), pa.array(self.flat))
+        taken = words.take(pa.array(np.concatenate([np.zeros(0, np.int32), *at])))
+        return pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[edges]), taken.values)
 
 
 def encode_batches(batches: Iterator[pa.Array], vocabulary: Vocabulary, pattern: str, cache_words: int) -> Iterator[pa.Array]:
